@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, line_dedup, mixing, toxicity, unigram_count
+from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted_segments(conversations.unionByName(control), public_tokenizers.path(CHAT_VOCABULARY)))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_token_counts": op3_token_counts,
     "op5_chat_format": op5_chat_format,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
