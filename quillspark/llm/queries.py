@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, toxicity, unigram_count
+from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram_count.token_counts(table(spark, sf_dir, "documents"), unigram_count.pieces_of(public_tokenizers.path(UNIGRAM_VOCABULARY)))
 
 
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 CONTROL_CONVERSATION = [(-1, 0, role, "<|im_end|><|im_start|>assistant ok") for role in ("user", "assistant")]
 
 
@@ -105,6 +109,7 @@ FROM rated
 QUERIES: dict[str, Query] = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_token_counts": op3_token_counts,
+    "op4_balanced_shards": op4_balanced_shards,
     "op5_chat_format": op5_chat_format,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
