@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, sharding, toxicity, unigram_count
+from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, sharding, topk_segments, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,22 @@ CHAT_VOCABULARY = "byte_bpe_50k.json"
 UNIGRAM_VOCABULARY = "piece_bpe_32k.model"
 
 
+def op1_topk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_segments.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOPK_SQL = f"""
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {topk_segments.K}
+"""
+
+
 def bpe_digests(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     coded = bpe.encode_decode(documents, vocabulary_path)
     return coded.select(
@@ -107,6 +123,7 @@ FROM rated
 
 
 QUERIES: dict[str, Query] = {
+    "op1_topk_segments": op1_topk_segments,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_token_counts": op3_token_counts,
     "op4_balanced_shards": op4_balanced_shards,
@@ -117,4 +134,4 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": LINE_DEDUP_SQL, "op9_mix_sources": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_topk_segments": TOPK_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_mix_sources": MIXING_SQL}
