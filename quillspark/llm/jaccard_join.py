@@ -303,3 +303,9 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall
     linked = told.groupBy(F.col("doc_id").alias("linked_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"))
     return rows.join(linked, rows["doc_id"] == linked["linked_id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def keep_one_of_each_class(documents: DataFrame, **settings) -> DataFrame:
+    """The documents but those that a class with a smaller id stands for; a repeated id keeps its rows together."""
+    away = stored(jaccard_classes(documents, **settings).filter("class_id <> doc_id").select("doc_id").distinct())
+    return documents.join(F.broadcast(away) if away.count() <= BROADCAST_NODES else away, "doc_id", "left_anti").select(*documents.columns)

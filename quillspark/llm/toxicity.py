@@ -39,6 +39,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 TIMES = (1, 2, 4)
 HIT_PATTERNS = (1, 2, 4)
 CACHED_WORDS = 500_000
+#: Documents with this score or more are predicted toxic.
+REJECTED = 0.5
 
 
 def stems_of(word: str) -> list[str]:
@@ -210,20 +212,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score) of every whole text."""
+    """The documents with ``score``, made from every whole text."""
+    documents = documents.drop("score")
     shared = documents.sparkSession.sparkContext.broadcast((model.features, model.lexicon, model.weights, model.intercept))
-    rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = ToxicityModel(*shared.value)
         for batch in batches:
-            scores = [local.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, type=pa.float64())], names=["doc_id", "score"])
+            scores = [local.score(t) for t in batch.column(at).to_pylist()]
+            yield batch.append_column("score", pa.array(scores, type=pa.float64()))
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    scored = score_documents(documents, fit(documents, labels))
-    return scored.select("doc_id", (crc_bucket("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score_documents(documents.select("doc_id", "text"), fit(documents, labels))
+    return scored.select("doc_id", (crc_bucket("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= REJECTED).cast("int").alias("predicted"))
