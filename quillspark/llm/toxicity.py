@@ -201,12 +201,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
             found = [local.hits(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.int32()))], names=["label", "hits"])
 
-    found = rows.mapInArrow(run, "label int, hits array<int>").orderBy("label", F.xxhash64("hits"), "hits").toPandas()
+    # in an order of its own, so that reruns add up the same numbers alike
+    found = sorted((r["label"], r["hits"]) for r in rows.mapInArrow(run, "label int, hits array<int>").collect())
+    given = np.array([label for label, _ in found])
     hits = np.zeros((len(found), len(model.weights)), dtype=np.int8)
-    for k, present in enumerate(found["hits"]):
-        hits[k, np.asarray(present, dtype=np.int64)] = 1
+    for k, (_, present) in enumerate(found):
+        hits[k, present] = 1
     voting = [*sorted(model.lexicon), *range(len(names), len(names) + len(HIT_PATTERNS))]
-    posterior, model.voter_rates, model.voter_shares = fit_label_model(hits[:, voting], found["label"].to_numpy())
+    posterior, model.voter_rates, model.voter_shares = fit_label_model(hits[:, voting], given)
     model.weights, model.intercept = fit_classifier(hits, posterior)
     return model
 
