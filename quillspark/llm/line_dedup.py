@@ -9,6 +9,9 @@ near-duplicate join to reduce to one.
 Lines end at line feeds and are compared without surrounding spaces; blank lines are kept. Rows without a site add no
 spread. A line that stands in fewer documents than ``min_sites`` cannot reach it and gets no sketch.
 
+The keys of the boilerplate lines are broadcast while there are at most ``BROADCAST_LINES`` of them, and each text is
+cleaned where it is read; beyond that, every document is joined with the boilerplate lines that it holds.
+
 Defined cases: a null text stays null and has no lines; an empty one stays empty; repeated rows count as one more
 document of the same site and are cleaned alike; null ids are allowed; an empty table gives an empty result; other
 columns pass through, and clashing ones (``n_lines``, ``n_removed``) are replaced.
@@ -16,8 +19,13 @@ columns pass through, and clashing ones (``n_lines``, ``n_removed``) are replace
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import cut, stored
 
@@ -25,6 +33,8 @@ from quillspark.llm.common import cut, stored
 MIN_SITES, WHOLE_SHARE = 10, 0.5
 #: Estimates within this part of the threshold are counted exactly: over 15 standard errors of a sketch of 2^12 registers.
 NEAR, SKETCH_BITS = 0.25, 12
+#: Keys of 8 bytes each.
+BROADCAST_LINES = 500_000
 
 
 def line_key(line: Column) -> Column:
@@ -47,25 +57,66 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("line_key"))
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, whole_share: float = WHOLE_SHARE, site_col: str = "source") -> DataFrame:
+def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, whole_share: float = WHOLE_SHARE, site_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The documents with ``text`` cleaned, ``n_lines`` and ``n_removed`` added."""
-    split = F.split("text", "\n", -1)
+    documents = documents.drop("n_lines", "n_removed")
     lines = stored(
-        documents.select(row_key().alias("row_key"), F.col(site_col).cast("string").alias("site"), F.explode(split).alias("line"))
+        documents.select(row_key().alias("row_key"), F.col(site_col).cast("string").alias("site"), F.explode(F.split("text", "\n", -1)).alias("line"))
         .filter(F.trim("line") != "")
         .select("row_key", "site", line_key(F.col("line")).alias("line_key"))
     )
-    bad = lines.join(boilerplate(lines, min_sites), "line_key").groupBy("row_key").agg(F.collect_set("line_key").alias("bad_lines"))
-    joined = documents.drop("n_lines", "n_removed", "bad_lines", "row_key").withColumn("row_key", row_key()).join(bad, "row_key", "left")
+    bad = cut(boilerplate(lines, min_sites))
+    if bad.count() <= broadcast_lines:
+        return cleaned_in_place(documents, [r["line_key"] for r in bad.collect()], whole_share)
+    return cleaned_by_join(documents, lines.join(bad, "line_key"), whole_share)
+
+
+def cleaned_in_place(documents: DataFrame, bad_lines: list[int], whole_share: float) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(frozenset(bad_lines))
+    at = documents.columns.index("text")
+    counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
+
+    def key(line: str) -> int:
+        k = xxhash.xxh64_intdigest(line.strip(" ").encode(), seed=42)  # what xxhash64 of Spark gives
+        return k - (1 << 64) if k >> 63 else k
+
+    def clean(text: str | None, bad: frozenset[int]) -> tuple[str | None, int, int]:
+        if text is None:
+            return None, 0, 0
+        lines = text.split("\n")
+        gone = [bool(line.strip(" ")) and key(line) in bad for line in lines]
+        chars = [len(line.strip(" ")) for line in lines]
+        removed = sum(gone)
+        if not removed or sum(n for n, g in zip(chars, gone, strict=True) if g) > whole_share * sum(chars):
+            return text, len(lines), 0
+        return "\n".join(line for line, g in zip(lines, gone, strict=True) if not g), len(lines), removed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = shared.value
+        for batch in batches:
+            rows = [clean(t, bad) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array([r[0] for r in rows], type=pa.string())
+            columns += [pa.array([r[k] for r in rows], type=pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_lines", "n_removed"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *counts]))
+
+
+def cleaned_by_join(documents: DataFrame, bad: DataFrame, whole_share: float) -> DataFrame:
+    """bad: (row_key, line_key) of the boilerplate lines that each row holds."""
+    split = F.split("text", "\n", -1)
+    held = bad.groupBy("row_key").agg(F.collect_set("line_key").alias("bad_lines"))
+    joined = documents.drop("bad_lines", "row_key").withColumn("row_key", row_key()).join(held, "row_key", "left")
 
     def removed(line: Column) -> Column:
-        return F.array_contains("bad_lines", line_key(line))
+        return (F.trim(line) != "") & F.array_contains("bad_lines", line_key(line))
 
     def chars(lines: Column) -> Column:
         return F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(F.trim(line)))
 
     gone = F.filter(split, removed)
     accompanies = F.coalesce(F.col("bad_lines").isNotNull() & (chars(gone) <= F.lit(whole_share) * chars(split)), F.lit(False))
-    marked = joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("bigint")).withColumn("n_removed", F.when(accompanies, F.size(gone)).otherwise(0).cast("bigint"))
+    marked = joined.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("bigint")).withColumn("n_removed", F.when(accompanies, F.size(gone)).otherwise(0).cast("bigint"))
     cleaned = F.when(F.col("n_removed") > 0, F.array_join(F.filter(split, lambda line: ~removed(line)), "\n")).otherwise(F.col("text"))
-    return marked.withColumn("text", cleaned).drop("bad_lines", "row_key")
+    return marked.withColumn("text", cleaned).select(*documents.columns, "n_lines", "n_removed")
