@@ -43,7 +43,7 @@ def model_cost(model, input_tokens, output_tokens, cache_write=None, cache_read=
 
 def wide(c) -> Column:
     """A quantity for decimal division: an int divisor would leave six places only."""
-    return _column(c).cast("decimal(20,0)")
+    return _column(c).cast("decimal(12,0)")
 
 
 def fee_share(fees, part, whole) -> Column:

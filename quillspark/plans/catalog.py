@@ -1,4 +1,4 @@
-"""All named queries of the library over the driver tables."""
+"""All named queries of the library over the driver tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import research, trading
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (trading, research):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
