@@ -26,19 +26,21 @@ def model_cost(model, input_tokens, output_tokens, cache_write=None, cache_read=
     """Dollars, rounded to 8 places. Cached tokens cost their share of the input price; batches cost half."""
     name = _column(model)
 
+    # scales are kept small enough for the whole product to be exact
     def price(k: int) -> Column:
-        out = F.lit(DEFAULT_PRICE[k]).cast("decimal(10,4)")
+        out = F.lit(DEFAULT_PRICE[k]).cast("decimal(5,2)")
         for key, pair in prices.items():
-            out = F.when(name == key, F.lit(pair[k]).cast("decimal(10,4)")).otherwise(out)
+            out = F.when(name == key, F.lit(pair[k]).cast("decimal(5,2)")).otherwise(out)
         return out
 
     def tokens(c) -> Column:
-        return F.coalesce(_column(c) if c is not None else F.lit(0), F.lit(0)).cast("decimal(18,2)")
+        return F.coalesce(_column(c) if c is not None else F.lit(0), F.lit(0)).cast("decimal(14,0)")
 
-    weighted = tokens(input_tokens) + tokens(cache_write) * F.lit(CACHE_WRITE).cast("decimal(4,2)") + tokens(cache_read) * F.lit(CACHE_READ).cast("decimal(4,2)")
-    total = (weighted * price(0) + tokens(output_tokens) * price(1)) / F.lit(1_000_000).cast("decimal(10,0)")
+    weighted = tokens(input_tokens) + tokens(cache_write) * F.lit(CACHE_WRITE).cast("decimal(3,2)") + tokens(cache_read) * F.lit(CACHE_READ).cast("decimal(3,2)")
+    total = weighted * price(0) + tokens(output_tokens) * price(1)
     batch = F.coalesce(_column(is_batch) if is_batch is not None else F.lit(False), F.lit(False))
-    return F.round(F.when(batch, total * F.lit(BATCH).cast("decimal(3,2)")).otherwise(total), 8).cast("decimal(18,8)")
+    factor = F.when(batch, F.lit(BATCH).cast("decimal(2,1)")).otherwise(F.lit(1).cast("decimal(2,1)"))
+    return F.round(total * factor * F.lit("0.000001").cast("decimal(6,6)"), 8).cast("decimal(18,8)")
 
 
 def wide(c) -> Column:

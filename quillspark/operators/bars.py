@@ -34,6 +34,11 @@ def _full(value: Column, size: int, keys: list[str], counted: Column | str = "da
     return F.when(F.count(counted).over(frame) == size, value.over(frame))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Half up, after noise of double sums in the tenth place has been taken off."""
+    return F.round(F.round(value, 10), places)
+
+
 def resample(bars: DataFrame, bucket: Column, keys: list[str] | None = None) -> DataFrame:
     """One bar for each bucket: first open, highest high, lowest low, last close, summed volume."""
     keys = keys or ["symbol"]
@@ -124,7 +129,7 @@ def volume_ratio(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Volume against the average of up to 20 bars before."""
     keys = keys or ["symbol"]
     before = F.avg("volume").over(_days(keys).rowsBetween(-20, -1))
-    return bars.select(*keys, "day", F.when(before > 0, F.round(F.col("volume") / before, 4)).alias("volume_ratio"))
+    return bars.select(*keys, "day", F.when(before > 0, rounded(F.col("volume") / before, 4)).alias("volume_ratio"))
 
 
 def candles(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -151,7 +156,7 @@ def candles(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
         part(h - F.greatest(o, c)).alias("upper_shadow"),
         part(F.least(o, c) - low).alias("lower_shadow"),
         F.when(low > F.col("last_high"), "up").when(h < F.col("last_low"), "down").otherwise("none").alias("gap"),
-        F.round("atr", 4).alias("atr"),
+        rounded(F.col("atr"), 4).alias("atr"),
     )
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import research, trading
+from quillspark.plans import ingest, research, trading
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (trading, research):
+for module in (trading, research, ingest):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -112,22 +112,21 @@ for _name in ("weekly", "monthly"):
 
 def ma_alignment(spark: SparkSession, d: str) -> DataFrame:
     out = b.moving_averages(t.bars(spark, d))
-    return out.select("symbol", "day", *[F.round(f"ma{p}", 3).alias(f"ma{p}") for p in b.AVERAGES], *[F.round(f"deviation{p}", 3).alias(f"deviation{p}") for p in b.AVERAGES], "alignment")
+    return out.select("symbol", "day", *[F.round(f"ma{p}", 6).alias(f"ma{p}") for p in b.AVERAGES], *[f"deviation{p}" for p in b.AVERAGES], "alignment")
 
 
 QUERIES["ma_alignment"] = ma_alignment
 _ma = ", ".join(f"CASE WHEN count(*) OVER w{p} = {p} THEN avg(close) OVER w{p} END AS ma{p}" for p in b.AVERAGES)
 _frames = ", ".join(f"w{p} AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)" for p in b.AVERAGES)
 ORACLE_SQL["ma_alignment"] = f"""WITH {t.BARS_SQL}, averaged AS (SELECT symbol, day, close, {_ma} FROM bars WINDOW {_frames})
-SELECT symbol, day, {", ".join(f"round(ma{p}, 3) AS ma{p}" for p in b.AVERAGES)}, {", ".join(f"round(round((close - ma{p}) / ma{p} * 100, 4), 3) AS deviation{p}" for p in b.AVERAGES)},
+SELECT symbol, day, {", ".join(f"round(ma{p}, 6) AS ma{p}" for p in b.AVERAGES)}, {", ".join(f"round((close - ma{p}) / ma{p} * 100, 4) AS deviation{p}" for p in b.AVERAGES)},
        CASE WHEN ma5 IS NULL THEN 'unknown' WHEN ma120 IS NULL THEN 'partial' WHEN ma5 > ma20 AND ma20 > ma60 AND ma60 > ma120 THEN 'bullish'
             WHEN ma5 < ma20 AND ma20 < ma60 AND ma60 < ma120 THEN 'bearish' ELSE 'mixed' END AS alignment
 FROM averaged"""
 
 
 def bollinger(spark: SparkSession, d: str) -> DataFrame:
-    out = b.bollinger(t.bars(spark, d))
-    return out.select("symbol", "day", *[F.round(c, 3).alias(c) for c in ("position", "bandwidth", "lower", "mid", "upper")], "squeeze_expanding")
+    return b.bollinger(t.bars(spark, d))
 
 
 QUERIES["bollinger"] = bollinger
@@ -137,7 +136,7 @@ ORACLE_SQL["bollinger"] = f"""WITH {t.BARS_SQL}, banded AS (
 shared AS (SELECT *, mid - spread AS lower, mid + spread AS upper, ((mid + spread) - (mid - spread)) / mid * 100 AS share FROM banded),
 usual AS (SELECT *, CASE WHEN count(share) OVER w = 20 THEN avg(share) OVER w END AS usual FROM shared WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
 told AS (SELECT *, CASE WHEN upper - lower > 0 THEN round((close - lower) / (upper - lower), 4) END AS position, CASE WHEN mid > 0 THEN round(share, 4) END AS bandwidth FROM usual)
-SELECT symbol, day, round(position, 3) AS position, round(bandwidth, 3) AS bandwidth, round(round(lower, 4), 3) AS lower, round(round(mid, 4), 3) AS mid, round(round(upper, 4), 3) AS upper,
+SELECT symbol, day, position, bandwidth, round(lower, 4) AS lower, round(mid, 4) AS mid, round(upper, 4) AS upper,
        CASE WHEN bandwidth IS NULL OR n_bars < 40 THEN 'unknown' WHEN bandwidth > usual * 1.05 THEN 'expanding' WHEN bandwidth < usual * 0.95 THEN 'squeeze' ELSE 'neutral' END AS squeeze_expanding
 FROM told"""
 
@@ -148,11 +147,11 @@ def volume_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["volume_ratio"] = volume_ratio
 ORACLE_SQL["volume_ratio"] = f"""WITH {t.BARS_SQL}, averaged AS (SELECT symbol, day, volume, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS usual FROM bars)
-SELECT symbol, day, CASE WHEN usual > 0 THEN round(volume / usual, 4) END AS volume_ratio FROM averaged"""
+SELECT symbol, day, CASE WHEN usual > 0 THEN round((volume / usual)::DECIMAL(38,10), 4)::DOUBLE END AS volume_ratio FROM averaged"""
 
 
 def candles(spark: SparkSession, d: str) -> DataFrame:
-    return b.candles(t.bars(spark, d)).withColumn("atr", F.round("atr", 3))
+    return b.candles(t.bars(spark, d))
 
 
 QUERIES["candles"] = candles
@@ -164,7 +163,7 @@ SELECT symbol, day, CASE WHEN last_close IS NULL THEN 'unknown' WHEN body > atr_
             WHEN body < atr_raw * 0.1 THEN 'doji' WHEN close > open THEN 'bullish' ELSE 'bearish' END AS pattern,
        CASE WHEN last_close IS NOT NULL THEN round(body / extent, 4) END AS body_ratio, CASE WHEN last_close IS NOT NULL THEN round((high - greatest(open, close)) / extent, 4) END AS upper_shadow,
        CASE WHEN last_close IS NOT NULL THEN round((least(open, close) - low) / extent, 4) END AS lower_shadow,
-       CASE WHEN low > last_high THEN 'up' WHEN high < last_low THEN 'down' ELSE 'none' END AS gap, round(round(atr_raw, 4), 3) AS atr
+       CASE WHEN low > last_high THEN 'up' WHEN high < last_low THEN 'down' ELSE 'none' END AS gap, round(atr_raw::DECIMAL(38,10), 4)::DOUBLE AS atr
 FROM told"""
 
 
@@ -195,9 +194,9 @@ FROM led"""
 
 
 def indicator_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshots of all sales, told as text; bars are those of the trade's broker."""
-    sales = t.trades(spark, d).filter("side = 'sell'").select("id", F.col("broker").alias("symbol"), "traded_at")
-    out = snapshot_text(b.trade_snapshots(sales, t.bars(spark, d)))
+    """Snapshots of all purchases told as text, from the daily bars of the user."""
+    bought = t.table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("symbol"), F.col("ts").alias("traded_at"))
+    out = snapshot_text(b.trade_snapshots(bought, t.event_bars(spark, d)))
     return out.select("id", "symbol", "as_of", F.col("ma.alignment").alias("alignment"), F.col("candle.pattern").alias("pattern"), "text")
 
 

@@ -157,3 +157,11 @@ usage AS (
   SELECT event_id AS id, ts AS called_at, '@c' || (user_id % 12) AS channel, event_type AS purpose, ['small', 'medium', 'large'][(user_id % 3 + 1)::INT] AS model,
          value::DECIMAL(12,2) AS cost, k * 10 AS input_tokens, k AS output_tokens, CASE WHEN k % 4 <> 0 THEN ['good', 'partial', 'poor'][(k % 3 + 1)::INT] END AS parse_quality, event_id AS message_id
   FROM (SELECT *, (props::JSON ->> '$.k')::INT AS k FROM events))"""
+
+
+def event_bars(spark: SparkSession, directory: str) -> DataFrame:
+    """Daily bars of the users from the values of their events."""
+    rows = table(spark, directory, "events").select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("at"), "value")
+    return rows.groupBy("symbol", "day").agg(
+        F.min_by("value", "at").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "at").alias("close"), F.count("*").cast("double").alias("volume")
+    )
