@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Longer strings are encoded without being remembered; a worker forgets all of them at this many entries.
-CACHED_CHARS, CACHED_ENTRIES = 48, 600_000
+CACHED_CHARS, CACHED_ENTRIES = 48, 200_000
 #: Fragments over this many bytes are merged with a heap.
 LONG_FRAGMENT = 120
 #: Python splits at these four, which are not white space to Unicode.

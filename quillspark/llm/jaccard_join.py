@@ -43,7 +43,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
 #: Candidate nodes up to this many (16 bytes each) are broadcast to the second scan of the texts, else joined by shuffle.
 BROADCAST_NODES = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 SEED = 7919
 
 

@@ -47,13 +47,18 @@ def row_key() -> Column:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(line_key) of the lines that stand on ``min_sites`` sites at least. lines: (line_key, site)."""
-    frequent = cut(lines.groupBy("line_key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("line_key"))
-    placed = lines.join(frequent, "line_key", "left_semi").filter(F.col("site").isNotNull())
+    """(line_key) of the lines that stand on ``min_sites`` sites at least. lines: (line_key, site).
+
+    Rows are first counted by line and site, so that a line in a third of all documents is a few rows for each site
+    when it meets its sketch.
+    """
+    counted = stored(lines.groupBy("line_key", "site").agg(F.count("*").alias("n")))
+    frequent = counted.groupBy("line_key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_sites).select("line_key")
+    placed = counted.join(cut(frequent), "line_key", "left_semi").filter(F.col("site").isNotNull())
     spread = cut(placed.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_BITS)).alias("sites")))
     far = spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("line_key")
     near = spread.filter(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR))).select("line_key")
-    exact = lines.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.countDistinct("site").alias("sites"))
+    exact = counted.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.countDistinct("site").alias("sites"))
     return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("line_key"))
 
 

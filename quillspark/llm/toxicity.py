@@ -38,7 +38,7 @@ WORD_CHARS, PREFIXES = 32, (3, 4, 5, 6, 7, 8)
 WORDS = re.compile(r"[^\W\d_]+")
 TIMES = (1, 2, 4)
 HIT_PATTERNS = (1, 2, 4)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 #: Documents with this score or more are predicted toxic.
 REJECTED = 0.5
 
