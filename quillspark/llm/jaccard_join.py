@@ -140,7 +140,8 @@ def leaves(nodes: DataFrame, runs: int, leaf: int, depth: int, similarity: float
     open_paths = nodes.select("node", F.explode(roots).alias("path"))
     done = None
     for level in range(1, depth + 1):
-        sizes = open_paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        # stored, so that the join deals both sides anew and Spark can split the rows of a hot path over tasks
+        sizes = stored(open_paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
         members = stored(open_paths.join(sizes, "path"))
         ended = members if level == depth else members.filter(F.col("n") <= leaf)
         done = ended if done is None else done.unionByName(ended)
