@@ -31,7 +31,7 @@ CASES = [
     (lambda: t.url_kind(L("https://t.me/x/1")), "unsupported"),
     (lambda: t.url_kind(L("https://bit.ly/x")), "short_url"),
     (lambda: t.drive_id(L("https://drive.google.com/file/d/AbC/view")), "AbC"),
-    (lambda: t.first_outside_url(L("https://t.me/a/1 https://x.com/b")), "https://x.com/b"),
+    (lambda: t.first_outside_url(L("https://t.me/ab/1 https://x.com/b")), "https://x.com/b"),
     (lambda: t.quality_flag(L("a" * 40 + "... ")), "truncated"),
     (lambda: t.retryable(L("unsupported_host:x")), False),
     (lambda: t.token_estimate(L("abcd")), 2),
@@ -57,7 +57,7 @@ def test_messages(spark):
     told = [
         (m.DIGEST_CHANNEL, 1, "▶ 삼성전자(005930) 반도체 업황 개선 - 미래에셋증권\n- 목표가: 80,000원 → 85,000원 (매수)\nhttps://x.com/a.pdf"),
         (m.DIGEST_CHANNEL, 2, "오늘\n\n▶ 반도체 산업 점검 - KB증권 홍길동\n▶ LG(003550) 지주 - 하나증권 <link>"),
-        ("x", 3, "LG(003550) title here 키움증권 목표가 90,000원 HOLD https://t.me/a/1"),
+        ("x", 3, "LG(003550) title here 키움증권 목표가 90,000원 HOLD https://t.me/ab/1"),
         ("x", 4, "(Continuing"),
         ("x", 5, None),
         ("x", 6, ""),
@@ -67,7 +67,7 @@ def test_messages(spark):
     first = rows[1, 0]
     assert (first["stock_code"], first["prev_target_price"], first["target_price"], first["opinion"], first["broker"], first["quality"]) == ("005930", 80000, 85000, "매수", "미래에셋증권", "good")
     assert rows[2, 0]["analyst"] == "홍길동"
-    assert (rows[3, 0]["opinion"], rows[3, 0]["pdf_url"], rows[3, 0]["chat_links"]) == ("중립", None, ["https://t.me/a/1"])
+    assert (rows[3, 0]["opinion"], rows[3, 0]["pdf_url"], rows[3, 0]["chat_links"]) == ("중립", None, ["https://t.me/ab/1"])
 
 
 def test_payloads(spark):
