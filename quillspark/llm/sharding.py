@@ -54,7 +54,9 @@ def move(rows: DataFrame, quota: float, salt: int) -> DataFrame:
     linked = rows.filter(F.col("peers") > 1)
     drawn = F.element_at("homes", (F.pmod(F.xxhash64("draw", "number", F.lit(salt)), F.size("homes")) + 1).cast("int"))
     wish = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(drawn)
-    asking = stored(linked.join(homes_of_groups(linked, quota, salt), "group").withColumn("wish", wish).drop("homes"))
+    # stored, so that the join deals both sides anew and Spark can split the rows of a hot group over tasks
+    homes = stored(homes_of_groups(linked, quota, salt))
+    asking = stored(linked.join(homes, "group").withColumn("wish", wish).drop("homes"))
     demand = asking.groupBy("wish").agg(F.count(F.when(F.col("wish") == F.col("shard"), 1)).alias("staying"), F.count(F.when(F.col("wish") != F.col("shard"), 1)).alias("requests"))
     chance = F.greatest(F.lit(quota) - F.col("staying"), F.lit(0.0)) / F.greatest("requests", F.lit(1))
     draw = F.pmod(F.xxhash64("draw", "number", F.lit(salt), F.lit("admit")), F.lit(1 << 30)) / float(1 << 30)
@@ -100,7 +102,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document."""
     keys = keyed(documents, shards)
     n_rows = keys.count()
-    peers = keys.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("peers")).filter("peers > 1")
+    peers = stored(keys.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("peers")).filter("peers > 1"))
     rows = stored(keys.join(peers, "group", "left").select("number", "draw", "group", "shard", F.coalesce("peers", F.lit(1)).alias("peers")))
     quota = max(1.0, n_rows / shards)
     for salt in range(rounds):
