@@ -44,6 +44,11 @@ def unstore(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lower the bytes of an Arrow batch (64 MB by default), of which JVM and Python hold several copies for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{most}b")
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

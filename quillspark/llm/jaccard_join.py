@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, stored
+from quillspark.llm.common import small_batches, stored
 from quillspark.llm.components import by_key, components, spanning
 from quillspark.llm.embedding_dedup import Links
 
@@ -43,7 +43,9 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
 #: Candidate nodes up to this many (16 bytes each) are broadcast to the second scan of the texts, else joined by shuffle.
 BROADCAST_NODES = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
+#: Rows of a block that are decided at a time.
+STRIP = 256
 SEED = 7919
 
 
@@ -261,7 +263,7 @@ def compare(data: dict[str, np.ndarray], across: bool, similarity: float, found:
     several = np.bincount(column)[column] > 1  # a token of one set alone is in no intersection
     rows, column = rows[several], np.unique(column[several], return_inverse=True)[1]
     shared = np.zeros((len(nodes), len(nodes)), dtype=np.float32)
-    width = max(1, 8_000_000 // len(nodes))
+    width = max(1, 2_000_000 // len(nodes))
     by_column = np.argsort(column, kind="stable")
     rows, column = rows[by_column], column[by_column]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
@@ -269,20 +271,24 @@ def compare(data: dict[str, np.ndarray], across: bool, similarity: float, found:
         part = np.zeros((len(nodes), int(column[b - 1]) - start + 1), dtype=np.float32)
         part[rows[a:b], column[a:b] - start] = 1
         shared += part @ part.T
-    linked = shared * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
-    close = np.abs(shared * (1 + similarity) - similarity * (sizes[:, None] + sizes[None, :])) < 1e-2
-    if close.any():  # at the threshold decide in double precision
-        r, c = np.nonzero(close)
-        linked[r, c] = shared[r, c].astype(np.float64) / (sizes[r] + sizes[c] - shared[r, c].astype(np.float64)) >= similarity
-    np.fill_diagonal(linked, False)
-    if across:
-        linked &= own[:, None] != own[None, :]
-    found.counts(nodes, linked @ copies)
+    linked = np.zeros(shared.shape, dtype=bool)
+    counts = np.zeros(len(nodes), dtype=np.int64)
+    for start in range(0, len(nodes), STRIP):  # decided in double precision, a strip of rows at a time
+        strip = slice(start, start + STRIP)
+        both = shared[strip].astype(np.float64)
+        linked[strip] = both / (sizes[strip, None] + sizes[None, :] - both) >= similarity
+        if across:
+            linked[strip] &= own[strip, None] != own[None, :]
+        at = np.arange(start, start + len(both))
+        linked[at, at] = False
+        counts[strip] = linked[strip] @ copies
+    found.counts(nodes, counts)
     found.edges(nodes, spanning(linked))
 
 
 def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH, loose: float = LOOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): one row for each document, with the smallest id of its class and its links."""
+    small_batches(documents.sparkSession)
     prints = stored(fingerprints(documents, id_col, text_col))
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash")))
     members = leaves(nodes, runs_for(similarity, recall, depth), leaf, depth, similarity)
