@@ -26,8 +26,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sources share."""
-    return line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """All documents, without the lines that many sources share; only documents of nothing else keep them."""
+    return line_dedup.remove_boilerplate(docs, whole_share=None).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 A line that stands on many sites is boilerplate. Lines are hashed; a HyperLogLog sketch of the sites is kept for each
 hash and merged by aggregation. Estimates far from the threshold decide by themselves, lines near it get an exact
-distinct count. Boilerplate lines leave every document that they only accompany: where they make up more than
-``whole_share`` of a document's characters it is a copy of a widespread document, which is left whole for the
-near-duplicate join to reduce to one.
+distinct count. With ``whole_share`` None, as in the pipeline, boilerplate lines leave every document that has words in
+other lines too; a document of boilerplate lines alone is left whole, for the near-duplicate join to reduce its copies
+to one. With a number, as in the SQL of op8, documents of which they make up more than that part of the characters are
+left whole too.
 
 Lines end at line feeds and are compared without surrounding spaces; blank lines are kept. Rows without a site add no
 spread. A line that stands in fewer documents than ``min_sites`` cannot reach it and gets no sketch.
@@ -19,6 +20,7 @@ columns pass through, and clashing ones (``n_lines``, ``n_removed``) are replace
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +37,8 @@ MIN_SITES, WHOLE_SHARE = 10, 0.5
 NEAR, SKETCH_BITS = 0.25, 12
 #: Keys of 8 bytes each.
 BROADCAST_LINES = 500_000
+#: What a line of a document's own holds: a character that is no white space.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def line_key(line: Column) -> Column:
@@ -62,7 +66,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return far.unionByName(exact.filter(F.col("sites") >= min_sites).select("line_key"))
 
 
-def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, whole_share: float = WHOLE_SHARE, site_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, whole_share: float | None = WHOLE_SHARE, site_col: str = "source", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The documents with ``text`` cleaned, ``n_lines`` and ``n_removed`` added."""
     documents = documents.drop("n_lines", "n_removed")
     lines = stored(
@@ -76,23 +80,29 @@ def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, whole_s
     return cleaned_by_join(documents, lines.join(bad, "line_key"), whole_share)
 
 
-def cleaned_in_place(documents: DataFrame, bad_lines: list[int], whole_share: float) -> DataFrame:
+def cleaned_in_place(documents: DataFrame, bad_lines: list[int], whole_share: float | None) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(frozenset(bad_lines))
     at = documents.columns.index("text")
+    own_words = re.compile(WORD)
     counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
 
     def key(line: str) -> int:
         k = xxhash.xxh64_intdigest(line.strip(" ").encode(), seed=42)  # what xxhash64 of Spark gives
         return k - (1 << 64) if k >> 63 else k
 
+    def left_whole(lines: list[str], gone: list[bool]) -> bool:
+        if whole_share is None:
+            return not any(own_words.search(line) for line, g in zip(lines, gone, strict=True) if not g)
+        chars = [len(line.strip(" ")) for line in lines]
+        return sum(n for n, g in zip(chars, gone, strict=True) if g) > whole_share * sum(chars)
+
     def clean(text: str | None, bad: frozenset[int]) -> tuple[str | None, int, int]:
         if text is None:
             return None, 0, 0
         lines = text.split("\n")
         gone = [bool(line.strip(" ")) and key(line) in bad for line in lines]
-        chars = [len(line.strip(" ")) for line in lines]
         removed = sum(gone)
-        if not removed or sum(n for n, g in zip(chars, gone, strict=True) if g) > whole_share * sum(chars):
+        if not removed or left_whole(lines, gone):
             return text, len(lines), 0
         return "\n".join(line for line, g in zip(lines, gone, strict=True) if not g), len(lines), removed
 
@@ -108,7 +118,7 @@ def cleaned_in_place(documents: DataFrame, bad_lines: list[int], whole_share: fl
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, *counts]))
 
 
-def cleaned_by_join(documents: DataFrame, bad: DataFrame, whole_share: float) -> DataFrame:
+def cleaned_by_join(documents: DataFrame, bad: DataFrame, whole_share: float | None) -> DataFrame:
     """bad: (row_key, line_key) of the boilerplate lines that each row holds."""
     split = F.split("text", "\n", -1)
     held = bad.groupBy("row_key").agg(F.collect_set("line_key").alias("bad_lines"))
@@ -121,7 +131,11 @@ def cleaned_by_join(documents: DataFrame, bad: DataFrame, whole_share: float) ->
         return F.aggregate(lines, F.lit(0), lambda n, line: n + F.length(F.trim(line)))
 
     gone = F.filter(split, removed)
-    accompanies = F.coalesce(F.col("bad_lines").isNotNull() & (chars(gone) <= F.lit(whole_share) * chars(split)), F.lit(False))
+    if whole_share is None:
+        beside = F.exists(split, lambda line: ~removed(line) & line.rlike(WORD))
+    else:
+        beside = chars(gone) <= F.lit(whole_share) * chars(split)
+    accompanies = F.coalesce(F.col("bad_lines").isNotNull() & beside, F.lit(False))
     marked = joined.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(split)), F.lit(0)).cast("bigint")).withColumn("n_removed", F.when(accompanies, F.size(gone)).otherwise(0).cast("bigint"))
     cleaned = F.when(F.col("n_removed") > 0, F.array_join(F.filter(split, lambda line: ~removed(line)), "\n")).otherwise(F.col("text"))
     return marked.withColumn("text", cleaned).select(*documents.columns, "n_lines", "n_removed")

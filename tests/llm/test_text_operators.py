@@ -208,3 +208,26 @@ def test_line_dedup_of_odd_rows(spark, broadcast_lines):
     assert by_id[None] == [("a long line without any id here", 2, 1)] and by_id[103] == [("another fine line, quite long", 2, 1)]
     assert all(by_id[k][0][2] == 0 for k in range(200, 209))
     assert line_dedup.remove_boilerplate(docs.limit(0), broadcast_lines=broadcast_lines).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_lines", [500_000, 0])
+def test_line_dedup_leaves_only_pure_boilerplate_whole(spark, broadcast_lines):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, f"own line {k}\n{passage}\n", f"s{k}") for k in range(12)]
+    rows += [(100, passage, "s1"), (101, f" {passage}\n\n \t\r\n{passage}", "s2"), (102, f"{passage}\n\u00a0é", "s3"), (None, f"{passage}\nx", "s4"), (103, None, "s5"), (104, "\n", "s6")]
+    found = line_dedup.remove_boilerplate(documents(spark, rows), whole_share=None, broadcast_lines=broadcast_lines).collect()
+    by_id = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in found}
+    assert len(found) == len(rows)
+    assert all(by_id[k] == (f"own line {k}\n", 3, 1) for k in range(12))
+    assert by_id[100] == (passage, 1, 0) and by_id[101] == (rows[13][1], 4, 0)
+    assert (by_id[102], by_id[None]) == (("\u00a0é", 2, 1), ("x", 2, 1))
+    assert (by_id[103], by_id[104]) == ((None, 0, 0), ("\n", 2, 0))
+
+
+def test_pipeline_removes_passages_from_short_documents(spark):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"word{k}" for k in range(60))
+    docs = documents(spark, [(k, f"own line {k}\n{passage}", f"s{k}") for k in range(12)] + [(100, passage, "s1")])
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.without_boilerplate(spark, docs, "").collect()}
+    assert found == {k: (f"own line {k}", len(f"own line {k}")) for k in range(12)} | {100: (passage, len(passage))}
