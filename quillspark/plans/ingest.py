@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,13 +157,13 @@ def number_grounding(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value)::DECIMAL(30,6), 4)::DOUBLE AS value FROM events GROUP BY 1, 2""")
 def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.daily_counts(ingest.parquet_stream(spark, d, "events"))
-    return ingest.run_to_memory(rows, f"daily_{uuid.uuid4().hex}", "complete")
+    return ingest.run_to_files(rows, "complete")
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.first_seen(ingest.parquet_stream(spark, d, "events"), ["event_id"]).select("event_id", "user_id")
-    return ingest.run_to_memory(rows, f"dedup_{uuid.uuid4().hex}", "append")
+    return ingest.run_to_files(rows, "append")
 
 
 @query("""WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
@@ -173,5 +171,5 @@ numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UN
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM numbered GROUP BY user_id, s""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.sessions(ingest.parquet_stream(spark, d, "events"))
-    told = ingest.run_to_memory(rows, f"sessions_{uuid.uuid4().hex}", "complete")
+    told = ingest.run_to_files(rows, "complete")
     return told.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")

@@ -1,11 +1,14 @@
 """Message ingest and event statistics as Structured Streaming jobs.
 
 A batch is written under its own number, replacing what a failed attempt left there, and known ids are dropped, so that
-a batch that runs twice has the effect of one. Bounded replay uses the same jobs with ``availableNow``.
+a batch that runs twice has the effect of one. Bounded replay uses the same jobs with ``availableNow``; its results are
+Parquet tables in the shared folder, like its checkpoints, and its state is in RocksDB, on the executors' disks.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.messages import parse_messages
 
+#: Keys seen and open sessions can exceed the memory of executors; that of RocksDB is bounded, for all tasks of an executor.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+}
+
 
 def parquet_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 100) -> DataFrame:
     """The files of one table as a stream; event times are cast to a zoned timestamp, which watermarks need."""
@@ -67,8 +77,37 @@ def start_ingest(messages: DataFrame, target: str, checkpoint: str, active: Call
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_memory(rows: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its result table."""
-    query = rows.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return rows.sparkSession.table(name)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is absent (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+    return context.getCheckpointDir()
+
+
+def run_to_files(rows: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there and return its result, read from Parquet files.
+
+    Appended batches are written under their own number; in complete mode each batch replaces the one before.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    target = f"{folder}/rows"
+
+    def path(number: int) -> str:
+        return target if mode == "complete" else f"{target}/batch={number}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path(number))
+
+    spark.createDataFrame([], rows.schema).write.parquet(path(-1))  # for a stream without rows
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        query = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(rows.schema).parquet(target).select(*rows.columns)

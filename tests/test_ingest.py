@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.operators import upserts as u
+from quillspark.plans import ingest as plans
 from quillspark.sources import broker_csv, files
 from quillspark.streaming import ingest
 
@@ -75,3 +76,16 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
         ingest.start_ingest(stream, str(target), str(tmp_path / "cp"), active).awaitTermination()
     got = spark.read.parquet(str(target)).groupBy("branch").agg(F.count("*").alias("n")).collect()
     assert {r["branch"]: r["n"] for r in got} == {"report": 1, "pending": 1}
+
+
+def test_streams_end_in_files(spark, tmp_path):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    events = spark.range(50).selectExpr("id % 40 AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 40 AS int)) AS ts", "id % 3 AS user_id", "'view' AS event_type", "1.5D AS value")
+    events.coalesce(1).write.parquet(str(tmp_path / "part"))
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    found = plans.stream_dedup(spark, str(tmp_path))
+    assert found.inputFiles() and found.columns == ["event_id", "user_id"] and sorted(r["event_id"] for r in found.collect()) == list(range(40))
+    days = plans.stream_daily_counts(spark, str(tmp_path))
+    assert days.inputFiles() and sorted((r["day"].toordinal() - 738886, r["n"], r["value"]) for r in days.collect()) == [(k, 2, 3.0) if k < 10 else (k, 1, 1.5) for k in range(40)]
+    assert plans.stream_sessions(spark, str(tmp_path)).inputFiles()
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
