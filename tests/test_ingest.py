@@ -89,3 +89,15 @@ def test_streams_end_in_files(spark, tmp_path):
     assert days.inputFiles() and sorted((r["day"].toordinal() - 738886, r["n"], r["value"]) for r in days.collect()) == [(k, 2, 3.0) if k < 10 else (k, 1, 1.5) for k in range(40)]
     assert plans.stream_sessions(spark, str(tmp_path)).inputFiles()
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+
+
+def test_streams_read_all_part_files(spark, tmp_path):
+    """120 files that are not in order of time, each event twice."""
+    events = spark.range(480).selectExpr("id % 240 AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast((id % 240) * 7 % 240 AS int)) AS ts", "id % 240 % 5 AS user_id", "'view' AS event_type", "1.5D AS value")
+    events.repartition(120).write.parquet(str(tmp_path / "events.parquet"))
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 100
+    assert sorted(map(tuple, plans.stream_dedup(spark, str(tmp_path)).collect())) == [(k, k % 5) for k in range(240)]
+    days = plans.stream_daily_counts(spark, str(tmp_path)).collect()
+    assert len(days) == 240 and {(r["n"], r["value"]) for r in days} == {(2, 3.0)}
+    sessions = plans.stream_sessions(spark, str(tmp_path)).collect()
+    assert len(sessions) == 240 and {r["n"] for r in sessions} == {2}
