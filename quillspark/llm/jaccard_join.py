@@ -101,11 +101,27 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     return out.view(np.int32)
 
 
-def runs_for(similarity: float, recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met with probability ``recall``, in leaves of the largest depth."""
-    onward = similarity * (1 + (1 / similarity - 1) * (1 - similarity))
-    met = similarity * onward ** (depth - 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+def met(similarity: float, runs: int, depth: int, loose: float = LOOSE) -> float:
+    """Probability that a pair at ``similarity`` shares a leaf of this depth in some run and passes the loose filter.
+
+    All tokens come from the same places, so this averages over the number of places in which the minhashes agree.
+    """
+    total, both = 0.0, 1 / similarity - 1
+    for agreed in range(math.ceil(loose * PLACES), PLACES + 1):
+        p, onward = agreed / PLACES, 1.0
+        for _ in range(depth - 1):
+            onward = (1 - both) * p * onward + both * (1 - (1 - p * onward) ** 2)
+        missed = sum(math.comb(agreed, k) * math.comb(PLACES - agreed, runs - k) * (1 - onward) ** k for k in range(runs + 1)) / math.comb(PLACES, runs)  # roots are distinct places
+        total += math.comb(PLACES, agreed) * similarity**agreed * (1 - similarity) ** (PLACES - agreed) * (1 - missed)
+    return total
+
+
+def runs_for(similarity: float, recall: float, depth: int, loose: float = LOOSE) -> int:
+    """Runs after which a pair at the threshold is met with probability ``recall``, in leaves of the largest depth.
+
+    One run for each place where the loose filter keeps ``recall`` out of reach.
+    """
+    return next((n for n in range(1, PLACES) if met(similarity, n, depth, loose) >= recall), PLACES)
 
 
 def fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -291,7 +307,7 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall
     small_batches(documents.sparkSession)
     prints = stored(fingerprints(documents, id_col, text_col))
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash")))
-    members = leaves(nodes, runs_for(similarity, recall, depth), leaf, depth, similarity)
+    members = leaves(nodes, runs_for(similarity, recall, depth, loose), leaf, depth, similarity)
     grouped = stored(components(stored(candidates(nodes, members, leaf, loose))).join(nodes.select("node", "first_id", "copies", "n_shingles"), "node"))
     extent = grouped.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     wanted = stored(grouped.join(extent, "component").withColumnRenamed("first_id", "doc_id"))

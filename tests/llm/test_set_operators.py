@@ -114,6 +114,30 @@ def test_jaccard_of_near_copies(spark, settings):
     assert sum(found[k] == expected[k] for k in texts) >= 0.99 * len(texts)
 
 
+def test_jaccard_runs_reach_their_recall():
+    """Pairs at the threshold in paths that stay over the leaf size down to the largest depth."""
+    rng = np.random.default_rng(3)
+    places, depth, n = jaccard_join.PLACES, jaccard_join.DEPTH, 20_000
+
+    def simulated(runs):
+        agree = rng.random((n, places)) < 0.8
+        found = np.zeros(n, dtype=bool)
+        for r in range(runs):
+            paths = agree[:, r * 17 % places].astype(int)
+            for _ in range(depth - 1):
+                # each shared path goes on by one token, a quarter of them by two
+                tokens = paths + rng.binomial(paths, 0.25)
+                paths = rng.binomial(tokens, agree.mean(axis=1))
+            found |= paths > 0
+        return (found & (agree.sum(axis=1) >= jaccard_join.LOOSE * places)).mean()
+
+    for runs in (2, 5, 11):
+        expected = jaccard_join.met(0.8, runs, depth)
+        assert abs(simulated(runs) - expected) < 5 * (expected * (1 - expected) / n) ** 0.5
+    runs = jaccard_join.runs_for(0.8, jaccard_join.RECALL, depth)
+    assert jaccard_join.met(0.8, runs, depth) >= jaccard_join.RECALL > jaccard_join.met(0.8, 11, depth)
+
+
 def test_jaccard_of_odd_rows(spark):
     rows = [(1, "one two"), (2, "one  two"), (3, ""), (4, None), (5, ""), (None, "one two"), (6, "a b c d e f g"), (6, "a b c d e f g"), (7, "q " * 100000), (8, "q\tq\nq q q q")]
     docs = documents(spark, rows).selectExpr("*", "1 AS node", "2 AS class_id", "3 AS n_links")
