@@ -89,6 +89,15 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("stem", "times").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
 
 
+def without_nested(counts: DataFrame) -> DataFrame:
+    """The counted stems but those within a shorter prefix that the same numbers of documents hold, hence the same documents."""
+    letters = F.length(F.regexp_replace("stem", r"\*$", ""))
+    prefixes = F.array_compact(F.array(*[F.when(letters > k, F.concat(F.substring("stem", 1, k), F.lit("*"))) for k in PREFIXES]))
+    inner = counts.withColumn("inner", F.col("stem")).withColumn("stem", F.explode(prefixes))
+    nested = inner.join(counts, ["stem", "times", "toxic", "clean"], "left_semi").select(F.col("inner").alias("stem"), "times").distinct()
+    return counts.join(nested, ["stem", "times"], "left_anti")
+
+
 def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
     rows = [(*f, label, n) for label in (0, 1) for f, n in counts[label].items()]
     names = ["stem", "times", "label", "n"]
@@ -183,8 +192,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     if len(totals) < 2:
         return ToxicityModel({}, set(), np.zeros(len(HIT_PATTERNS)), -60.0)
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
-    # of nested stems that the same numbers of documents hold, one is enough
-    distinct = class_counts(rows).filter(F.col("toxic") + F.col("clean") >= MIN_SUPPORT).groupBy("toxic", "clean", "times", F.substring("stem", 1, 3)).agg(F.min("stem").alias("stem"))
+    distinct = without_nested(stored(class_counts(rows).filter(F.col("toxic") + F.col("clean") >= MIN_SUPPORT)))
     counted = stored(distinct.withColumn("odds", odds))
     strength = F.col("odds") * F.sqrt("toxic")
     voters = counted.filter((F.col("odds") >= 2.0) & (F.col("toxic") >= MIN_SUPPORT)).orderBy(strength.desc(), "stem", "times").limit(MAX_VOTERS).collect()

@@ -173,6 +173,19 @@ def test_toxicity_of_odd_tables(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_merges_nested_stems_only(spark):
+    texts = [(1, "concur contest") for _ in range(4)] + [(1, "concrete")] * 5 + [(0, "contest")]
+    counts = toxicity.class_counts(spark.createDataFrame(texts, "label int, text string")).filter("times = 1")
+    kept = {r["stem"] for r in toxicity.without_nested(counts).collect()}
+    held = {}
+    for stem in {s for _, t in texts for s, _ in toxicity.features_of(t)}:
+        held.setdefault(tuple((stem, 1) in toxicity.features_of(t) for _, t in texts), []).append(stem)
+    assert sum(map(len, held.values())) > len(kept) >= len(held)
+    assert kept == {"con*", "conc*", "concu*", "concr*", "cont*"}
+    words = spark.createDataFrame([("abc", 1, 4, 0), ("abcd", 1, 4, 0), ("abce", 1, 4, 0), ("abc*", 2, 4, 0), ("abcd*", 1, 4, 0)], "stem string, times int, toxic long, clean long")
+    assert toxicity.without_nested(words).count() == 5
+
+
 def test_label_model_finds_accurate_voters():
     import numpy as np
 
