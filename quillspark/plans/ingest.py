@@ -147,10 +147,11 @@ def date_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of each text's first thousand characters that stand again in its rest or in the benchmark of its order."""
-    documents = t.table(spark, d, "documents")
-    charts = t.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("charts"))
-    rows = documents.join(charts, "doc_id", "left").select(F.col("doc_id").alias("report_id"), F.col("lang").alias("report_type"), F.substring("text", 1, 1000).alias("analysis"), F.expr("substring(text, 1001)").alias("body"), "charts")
+    """Numbers of the assistant's turns that stand in the whole document or in the other turns of its conversation."""
+    told = lambda whose: F.array_join(F.array_sort(F.collect_list(F.when(whose, F.col("text")))), " ")
+    assistant = F.col("role").eqNullSafe("assistant")
+    turns = t.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(told(assistant).alias("analysis"), told(~assistant).alias("charts"))
+    rows = t.table(spark, d, "documents").join(turns, "doc_id", "left").select(F.col("doc_id").alias("report_id"), F.col("lang").alias("report_type"), "analysis", F.col("text").alias("body"), "charts")
     return g.grounding_by_type(g.grounded(rows))
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -101,3 +102,24 @@ def test_streams_read_all_part_files(spark, tmp_path):
     assert len(days) == 240 and {(r["n"], r["value"]) for r in days} == {(2, 3.0)}
     sessions = plans.stream_sessions(spark, str(tmp_path)).collect()
     assert len(sessions) == 240 and {r["n"] for r in sessions} == {2}
+
+
+def test_number_grounding_of_whole_texts(spark, tmp_path):
+    documents = [(1, "word " * 400 + "1,234 and 55", "en"), (2, "short 77", "en"), (3, None, "ko"), (4, "88 stands alone", None)]
+    turns = [(1, 0, "user", "of 55 or 66"), (1, 1, "assistant", "x " * 800 + "1234, 55, 66 and 99"), (2, 0, "assistant", "77"), (2, 1, "assistant", "78 5"), (3, 0, "assistant", "12.5"), (3, 1, None, "12.5")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    numbers = lambda texts: {n.replace(",", "") for n in re.findall(r"[0-9][0-9,]*(?:[.][0-9]+)?", " ".join(texts)) if len(re.sub("[^0-9]", "", n)) >= 2}
+    expected = {}
+    for doc, text, lang in documents:
+        analysis, charts = (numbers([x for c, _, role, x in turns if c == doc and (role == "assistant") == own]) for own in (True, False))
+        body = numbers([text or ""])
+        row = expected.setdefault(lang or "unknown", [0] * 6)
+        parts = (len(analysis), len(analysis & body - charts), len(analysis & charts - body), len(analysis & body & charts), len(analysis - body - charts))
+        row[:] = [a + b for a, b in zip(row, (1, *parts), strict=True)]
+    found = {r["report_type"]: r for r in plans.number_grounding(spark, str(tmp_path)).collect()}
+    assert set(found) == set(expected) and expected["en"] == [2, 6, 2, 1, 1, 2]
+    for kind, (n, total, *parts) in expected.items():
+        r = found[kind]
+        assert (r["n_reports"], r["layer2_total"]) == (n, total)
+        assert [r[f"{p}_pct"] for p in ("md_only", "chart_only", "both", "neither")] == [round(100 * p / total, 2) if total else 0.0 for p in parts]
