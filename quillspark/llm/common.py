@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one of our own only where that is absent and all runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-"))
     return context.getCheckpointDir()
 
 
@@ -35,22 +40,29 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstore(df: DataFrame) -> None:
-    """Delete the files behind a table that ``stored`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lower the bytes of an Arrow batch (64 MB by default), of which JVM and Python hold several copies for each task."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{most}b")
-
-
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def unstore(*tables: DataFrame) -> None:
+    """Delete the files behind tables that ``stored`` returned, once nothing lazy reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> Iterator[None]:
+    """Lower the bytes of an Arrow batch (64 MB by default), of which JVM and Python hold several copies for each task.
+
+    For jobs that are run inside; the session's own setting is put back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, f"{most}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def uniform(*parts: Column | str) -> Column:

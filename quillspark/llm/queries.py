@@ -62,13 +62,41 @@ CONTROL_CONVERSATION = [(-1, 0, role, "<|im_end|><|im_start|>assistant ok") for
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(c, k, r, t) for k, (c, _, r, t) in enumerate(CONTROL_CONVERSATION)], conversations.schema)
-    return chat.read_back(chat.formatted_segments(conversations.unionByName(control), public_tokenizers.path(CHAT_VOCABULARY)))
+    told = chat.conversation_digests(conversations.unionByName(control), public_tokenizers.path(CHAT_VOCABULARY))
+    return told.drop("n_tokens", "loss_tokens")  # which SQL can't count
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, ['user', 'assistant'][k + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) t(k)),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(length('<|im_start|><|im_sep|><|im_end|>' || chr(10)) + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS chars
+  FROM turns GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, chars::BIGINT AS formatted_chars FROM told
+"""
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[k : k + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared.n::DOUBLE / (x.n + y.n - shared.n) >= 0.8),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS doc_id, min(b) AS low FROM reached GROUP BY 1),
+counts AS (SELECT a AS doc_id, count(*) AS n FROM links GROUP BY 1)
+SELECT doc_id, least(doc_id, coalesce(low, doc_id)) AS class_id, coalesce(n, 0)::BIGINT AS n_links FROM documents LEFT JOIN classes USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -77,13 +105,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-LINE_DEDUP_SQL = f"""
+LINE_DEDUP_SQL = rf"""
 WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
 bad AS (SELECT trim(line) AS bad FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
 marked AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-judged AS (SELECT doc_id, pos, line, length(trim(line)) AS chars, bad IS NOT NULL AS is_bad FROM marked LEFT JOIN bad ON trim(line) = bad),
+judged AS (SELECT doc_id, pos, line, bad IS NOT NULL AS is_bad FROM marked LEFT JOIN bad ON trim(line) = bad),
 documents_judged AS (
-  SELECT doc_id, count(*) AS n_lines, sum(is_bad::int) AS n_bad, coalesce(sum(chars) FILTER (is_bad), 0) <= {line_dedup.WHOLE_SHARE} * sum(chars) AS accompanies,
+  SELECT doc_id, count(*) AS n_lines, sum(is_bad::int) AS n_bad, bool_or(NOT is_bad AND regexp_matches(line, '[^\x20\x09-\x0D]')) AS accompanies,
          string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_bad) AS kept
   FROM judged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (CASE WHEN accompanies THEN n_bad ELSE 0 END)::BIGINT AS n_removed,
@@ -101,6 +129,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+EMBEDDING_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS MATERIALIZED (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM usable),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= 0.98),
+reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS vec_id, min(b) AS low FROM reached GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN classes USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
 MIXING_SQL = r"""
 WITH sized AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -134,4 +177,11 @@ QUERIES: dict[str, Query] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk_segments": TOPK_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op9_mix_sources": MIXING_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk_segments": TOPK_SQL,
+    "op5_chat_format": CHAT_SQL,
+    "op6_jaccard_join": JACCARD_SQL,
+    "op8_line_dedup": LINE_DEDUP_SQL,
+    "op9_mix_sources": MIXING_SQL,
+    "op10_embedding_dedup": EMBEDDING_SQL,
+}

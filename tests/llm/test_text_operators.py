@@ -126,19 +126,38 @@ def expected_chat(rows):
 def test_chat_on_whole_table(spark):
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{DATA}/conversations.parquet'").fetchall()
     rows += [(-1, k, role, "<|im_end|><|im_start|>assistant ok") for k, role in enumerate(("user", "assistant"))]
-    found = {r["conv_id"]: tuple(r)[1:5] for r in queries.op5_chat_format(spark, str(DATA)).collect()}
-    assert found == expected_chat(rows)
+    df = queries.op5_chat_format(spark, str(DATA))
+    assert {r["conv_id"]: tuple(r)[1:5] for r in df.collect()} == expected_chat(rows)
+    same_as_sql(df, duck(DATA), queries.CHAT_SQL)
 
 
-def test_chat_on_odd_rows(spark):
+@pytest.mark.parametrize("settings", [{}, {"SEGMENT_TURNS": 3}, {"SEGMENT_TURNS": 3, "SEGMENT_CHARS": 50, "BROADCAST_CONVERSATIONS": 0}])
+def test_chat_on_odd_rows(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(chat, name, value)
     hard = ["<|im_sep|>", "<\\|im_end|>", "<\\\\|", "<|", "é😀" * 400, "", None, "a\r\n", "<<|im_start|>|"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(hard)]
-    rows += [(2, None, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (None, 1, "assistant", "z"), (3, 10**6, "assistant", "long " * 40000), (3, -5, "user", "q")]
+    rows += [(2, None, None, "x"), (2, 0, "assistant", "y"), (2, 0, "assistant", "y"), (None, 1, "assistant", "z"), (None, 900, "assistant", "zz"), (3, 10**6, "assistant", "long " * 40000), (3, -5, "user", "q")]
     rows += [(4, k, "assistant", f"t{k} ") for k in range(1000)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    segments = chat.formatted_segments(table.selectExpr("*", "1 AS segment", "2 AS part"), public_tokenizers.path(queries.CHAT_VOCABULARY))
-    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.read_back(segments).collect()} == expected_chat(rows)
-    assert chat.read_back(chat.formatted_segments(table.limit(0), public_tokenizers.path(queries.CHAT_VOCABULARY))).count() == 0
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS segment", "2 AS part", "3 AS is_long", "4 AS long_id")
+    vocabulary = public_tokenizers.path(queries.CHAT_VOCABULARY)
+    told = {r["conv_id"]: r for r in chat.conversation_digests(table, vocabulary).collect()}
+    assert {k: tuple(r)[1:5] for k, r in told.items()} == expected_chat(rows)
+    segments = chat.formatted_segments(table, vocabulary).orderBy("conv_id", "segment", "part").collect()
+    library = chat.tokenizer_for(open(vocabulary, encoding="utf-8").read())
+    for conv in {r[0] for r in rows}:
+        own = [s for s in segments if s["conv_id"] == conv]
+        whole = library.encode("".join(s["formatted"] for s in own), add_special_tokens=False)  # segments give the ids of one encoding
+        assert [k for s in own for k in s["input_ids"]] == whole.ids
+        assert (told[conv]["n_tokens"], told[conv]["loss_tokens"]) == (len(whole.ids), sum(sum(s["loss_mask"]) for s in own))
+        assert told[conv]["formatted_chars"] == sum(len(s["formatted"]) for s in own)
+        spans, at = [], 0
+        for s in own:
+            spans += [(a + at, b + at) for a, b in zip(s["token_starts"], s["token_ends"], strict=True)]
+            at += len(s["formatted"])
+        assert spans == whole.offsets
+    assert chat.conversation_digests(table.limit(0), vocabulary).count() == 0
+    assert chat.formatted_segments(table.limit(0), vocabulary).count() == 0
     for t in filter(None, hard):
         assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
 
@@ -210,12 +229,13 @@ def test_line_dedup_of_odd_rows(spark, broadcast_lines):
     rows = [(k, f"own text number {k} that is long enough\n  {common} \n\nend {k} of it", f"s{k}") for k in range(12)]
     rows += [(100, common, "s1"), (101, None, "s2"), (102, "", "s3"), (None, f"a long line without any id here\n{common}", "s4"), (103, f"another fine line, quite long\n{common}", None), (0, rows[0][1], "s0")]
     rows += [(k, f"nine sites only\nlonger unique line {k} here", f"s{k}") for k in range(200, 209)]
-    docs = documents(spark, rows).selectExpr("*", "7 AS n_lines", "'x' AS bad_lines", "'y' AS row_key")
+    docs = documents(spark, rows).selectExpr("*", "7 AS n_lines", "'x' AS bad_lines", "'y' AS row_key", "'z' AS line_key", "'s' AS site")
     found = line_dedup.remove_boilerplate(docs, broadcast_lines=broadcast_lines).collect()
     by_id = {}
     for r in found:
         by_id.setdefault(r["doc_id"], []).append((r["text"], r["n_lines"], r["n_removed"]))
-    assert len(found) == len(rows) and "bad_lines" in found[0].asDict()
+    assert len(found) == len(rows) and {(r["bad_lines"], r["row_key"], r["line_key"], r["site"], r["lang"]) for r in found} == {("x", "y", "z", "s", "en")}
+    assert sorted(found[0].asDict()) == sorted(set(docs.columns) | {"n_removed"})
     assert by_id[0] == [("own text number 0 that is long enough\n\nend 0 of it", 4, 1)] * 2
     assert (by_id[100], by_id[101], by_id[102]) == ([(common, 1, 0)], [(None, 0, 0)], [("", 1, 0)])
     assert by_id[None] == [("a long line without any id here", 2, 1)] and by_id[103] == [("another fine line, quite long", 2, 1)]
@@ -228,7 +248,7 @@ def test_line_dedup_leaves_only_pure_boilerplate_whole(spark, broadcast_lines):
     passage = " ".join(f"word{k}" for k in range(60))
     rows = [(k, f"own line {k}\n{passage}\n", f"s{k}") for k in range(12)]
     rows += [(100, passage, "s1"), (101, f" {passage}\n\n \t\r\n{passage}", "s2"), (102, f"{passage}\n\u00a0é", "s3"), (None, f"{passage}\nx", "s4"), (103, None, "s5"), (104, "\n", "s6")]
-    found = line_dedup.remove_boilerplate(documents(spark, rows), whole_share=None, broadcast_lines=broadcast_lines).collect()
+    found = line_dedup.remove_boilerplate(documents(spark, rows), broadcast_lines=broadcast_lines).collect()
     by_id = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in found}
     assert len(found) == len(rows)
     assert all(by_id[k] == (f"own line {k}\n", 3, 1) for k in range(12))
