@@ -6,8 +6,9 @@ a pair is linked at ``similarity`` or more, never below. Table width and number
 that a pair just at the threshold is found with probability ``recall`` and buckets of unlike vectors stay small.
 
 Equal vectors of one label are one node with a number of copies. Buckets with one node end there. A bucket over
-``BLOCK`` nodes is compared in pairs of blocks, each a task of its own. A block sends on link counts and a spanning
-forest of its links, never all pairs; a pair that meets in several tables counts in the first.
+``BLOCK`` nodes is compared in pairs of blocks, each a task of its own. Two vectors are compared in the first table in
+which they share a bucket and in no other; a bucket over ``BLOCK`` nodes that lies whole inside a bucket of an earlier
+table is not dealt out at all. A unit sends on link counts and a spanning forest of its links, never all pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with null label or id, link
 with nothing and are kept; vectors of different length never link; repeated rows are vectors of their own; an empty
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, stored
-from quillspark.llm.components import by_key, components, spanning
+from quillspark.llm.common import cut, stored, unstore
+from quillspark.llm.components import by_key, components, spanning, spanning_across
 
 SIMILARITY, RECALL = 0.98, 0.9999
 #: Width of a hash cell in units of the distance at the threshold.
 CELL = 10.0
 BLOCK = 2048
+#: Rows of a block that are compared at a time; units up to so many pairs are compared before their earlier buckets are looked at.
+STRIP, FEW_PAIRS = 256, 4096
 SEED = 20240117
 
 
@@ -79,55 +82,62 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, recal
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            ids, labels, copies, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             for length in {len(v) for v in vectors}:
                 at = [k for k, v in enumerate(vectors) if len(v) == length]
                 x = np.array([vectors[k] for k in at])
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                keys = bucket_keys(x / np.linalg.norm(x, axis=1, keepdims=True), labels[at], width, tables, cell)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))], names=["node", "keys"])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                keys = bucket_keys(x, labels[at], width, tables, cell)
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), copies.take(pa.array(at)), buckets, *[pa.array([row.tobytes() for row in rows], type=pa.binary()) for rows in (keys, x)]], names=["node", "copies", "keys", "marks", "unit"])
 
-    keyed = stored(nodes.select("node", F.col("label").cast("bigint").alias("label"), "v").mapInArrow(hashed, "node long, keys array<long>"))
+    keyed = stored(nodes.select("node", F.col("label").cast("bigint").alias("label"), "copies", "v").mapInArrow(hashed, "node long, copies long, keys array<long>, marks binary, unit binary"))
     placed = keyed.select("node", F.posexplode("keys").alias("place", "bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # which buckets a node shares is all that the vectors travel with: other keys can't meet
-    meeting = stored(placed.join(shared, "bucket"))
-    known = meeting.groupBy("node").agg(F.array_sort(F.collect_list("bucket")).alias("keys"))
-    payload = known.join(nodes.select("node", "copies", "v"), "node")
+    # stored, so that the join deals both sides anew and Spark can split the rows of a hot bucket over tasks
+    shared = stored(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    dealt = without_covered(keyed, shared, block)
+    meeting = placed.join(dealt, "bucket")
     split = meeting.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
-    units = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-    work = units.join(payload, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").select("bucket", "i", "j", "own", "node", "copies", "keys", "v")
+    units = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "place", "own", "node")
+    # of the keys only those of earlier tables travel along
+    payload = units.join(keyed.select("node", "copies", "marks", "unit"), "node").withColumn("marks", F.substring("marks", F.lit(1), F.col("place") * 8))
+    work = payload.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").select("bucket", "i", "j", "own", "node", "copies", "marks", "unit")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Links()
-
-        def unit(key: tuple, data: dict[str, np.ndarray]) -> None:
-            if len(data["node"]) > 1:
-                lengths = np.array([len(v) for v in data["v"]])
-                for length in set(lengths.tolist()):
-                    at = np.flatnonzero(lengths == length)
-                    if len(at) > 1:
-                        link_unit({c: x[at] for c, x in data.items()}, key, similarity, found)
-
-        for _ in by_key(batches, ["own", "node", "copies", "keys", "v"], 3, unit):
+        for _ in by_key(batches, ["own", "node", "copies", "marks", "unit"], 3, lambda key, data: link_unit(data, key, similarity, found)):
             if found.size():
                 yield found.batch()
 
     links = stored(work.mapInArrow(compared, "a long, b long, n long"))
+    unstore(keyed, shared, dealt)
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     classes = components(links.filter("b is not null").select("a", "b"))
     firsts = classes.join(nodes.select("node", "first_id"), "node")
     lowest = firsts.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    resolved = (
+    resolved = cut(
         nodes.select("node", "first_id", "copies")
         .join(classes.join(lowest, "component").select("node", "component_id"), "node", "left")
         .join(counts, "node", "left")
         .select("node", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    told = marked.select("vec_id", "node").join(cut(resolved), "node", "left")
+    unstore(nodes, links)
+    told = marked.select("vec_id", "node").join(resolved, "node", "left")
     return told.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def without_covered(keyed: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """The shared buckets but those over ``block`` nodes whose nodes all share one bucket of an earlier table too."""
+    hot = shared.filter(F.col("n") > block).select("bucket")
+    if hot.isEmpty():
+        return shared
+    placed = keyed.select("node", "keys", F.posexplode("keys").alias("place", "bucket")).join(hot, "bucket")
+    earlier = placed.select("bucket", F.posexplode(F.slice("keys", F.lit(1), F.col("place"))).alias("table", "key"))
+    covered = cut(earlier.groupBy("bucket", "table").agg((F.min("key") == F.max("key")).alias("one")).filter("one").select("bucket").distinct())
+    return stored(shared.join(covered, "bucket", "left_anti"))
+
+
 class Links:
     """Link counts (b null) and forest edges (n 0) that gather between batches."""
 
@@ -143,9 +153,9 @@ class Links:
         self.b += [None] * len(some)
         self.n += n[some].tolist()
 
-    def edges(self, nodes: np.ndarray, pairs: list[tuple[int, int]]) -> None:
-        self.a += [int(nodes[x]) for x, _ in pairs]
-        self.b += [int(nodes[y]) for _, y in pairs]
+    def edges(self, rows: np.ndarray, columns: np.ndarray, pairs: list[tuple[int, int]]) -> None:
+        self.a += rows[[x for x, _ in pairs]].tolist() if pairs else []
+        self.b += columns[[y for _, y in pairs]].tolist() if pairs else []
         self.n += [0] * len(pairs)
 
     def batch(self) -> pa.RecordBatch:
@@ -155,25 +165,38 @@ class Links:
 
 
 def link_unit(data: dict[str, np.ndarray], key: tuple, similarity: float, found: Links) -> None:
-    """Links of one bucket, or of one pair of its blocks."""
-    bucket, i, j = key
-    x = np.array(data["v"].tolist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    linked = x @ x.T >= similarity
-    np.fill_diagonal(linked, False)
-    if i != j:
-        linked &= data["own"][:, None] != data["own"][None, :]
-    if not linked.any():
+    """Links of one bucket, or of one pair of its blocks, between vectors that share no bucket of an earlier table."""
+    _, i, j = key
+    if len(data["node"]) < 2:
         return
-    # a pair counts in the smallest bucket that both share
-    rows, columns = np.nonzero(np.triu(linked))
-    keys = data["keys"]
-    sets = {k: frozenset(keys[k].tolist() if hasattr(keys[k], "tolist") else keys[k]) for k in {*rows.tolist(), *columns.tolist()}}
-    lower = {k: frozenset(b for b in s if b < bucket) for k, s in sets.items()}
-    first = np.fromiter((lower[r].isdisjoint(lower[c]) for r, c in zip(rows.tolist(), columns.tolist(), strict=True)), dtype=bool, count=len(rows))
-    n = np.zeros(len(x), dtype=np.int64)
-    np.add.at(n, rows[first], data["copies"][columns[first]])
-    np.add.at(n, columns[first], data["copies"][rows[first]])
-    found.counts(data["node"], n)
-    found.edges(data["node"], spanning(linked))
+    own, sizes = data["own"], np.array([len(u) for u in data["unit"]])
+    marks = np.frombuffer(b"".join(data["marks"]), dtype=np.int64).reshape(len(own), -1)
+    for size in set(sizes.tolist()):
+        a, b = (np.flatnonzero((sizes == size) & (own == side)) for side in (i, j))
+        if not len(a) or not len(b) or (i == j and len(a) < 2):
+            continue
+        few = len(a) * len(b) <= FEW_PAIRS
+        if not few and ((marks[a] == marks[a[0]]).all(axis=0) & (marks[b] == marks[a[0]]).all(axis=0)).any():
+            continue  # all have met before
+        left, right = (np.frombuffer(b"".join(data["unit"][at]), dtype=np.float64).reshape(len(at), -1) for at in (a, b))
+        if few:
+            linked = left @ right.T >= similarity
+            if linked.any():
+                linked &= ~(marks[a, None, :] == marks[None, b, :]).any(axis=2)
+        else:
+            linked = np.ones((len(a), len(b)), dtype=bool)
+            for start in range(0, len(a), STRIP):
+                strip = slice(start, start + STRIP)
+                for t in range(marks.shape[1]) if linked[strip].any() else ():
+                    linked[strip] &= marks[a[strip], t, None] != marks[None, b, t]
+                if linked[strip].any():
+                    linked[strip] &= left[strip] @ right.T >= similarity
+        if i == j:
+            np.fill_diagonal(linked, False)
+        copies, nodes = data["copies"], data["node"]
+        found.counts(nodes[a], linked @ copies[b])
+        if i == j:
+            found.edges(nodes[a], nodes[a], spanning(linked))
+        else:
+            found.counts(nodes[b], copies[a] @ linked)
+            found.edges(nodes[a], nodes[b], spanning_across(linked))

@@ -101,6 +101,7 @@ def test_jaccard_on_whole_table(spark):
     texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall())
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.op6_jaccard_join(spark, str(DATA)).collect()}
     assert found == brute_jaccard(texts)
+    same_as_sql(queries.op6_jaccard_join(spark, str(DATA)), duck(DATA), queries.JACCARD_SQL)
 
 
 @pytest.mark.parametrize("settings", [{}, {"leaf": 4}])
@@ -138,6 +139,20 @@ def test_jaccard_runs_reach_their_recall():
     assert jaccard_join.met(0.8, runs, depth) >= jaccard_join.RECALL > jaccard_join.met(0.8, 11, depth)
 
 
+def test_jaccard_measured_recall_in_deep_paths(spark):
+    """Pairs at 0.8 to 0.85 that share a passage with all others, in leaves of four sets."""
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(100)]
+    texts = {}
+    for g in range(400):
+        own = passage + [f"g{g}w{k}" for k in range(150)]  # 246 shingles, of which 96 are everyone's
+        texts[2 * g], texts[2 * g + 1] = " ".join(own), " ".join([*own, *(f"g{g}x{k}" for k in range(rng.randint(44, 61)))])
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(documents(spark, list(texts.items())), leaf=4).collect()}
+    expected = brute_jaccard(texts)
+    assert set(expected.values()) == {(2 * g, 1) for g in range(400)}
+    assert sum(found[k] == expected[k] for k in texts) >= 0.99 * len(texts)
+
+
 def test_jaccard_of_odd_rows(spark):
     rows = [(1, "one two"), (2, "one  two"), (3, ""), (4, None), (5, ""), (None, "one two"), (6, "a b c d e f g"), (6, "a b c d e f g"), (7, "q " * 100000), (8, "q\tq\nq q q q")]
     docs = documents(spark, rows).selectExpr("*", "1 AS node", "2 AS class_id", "3 AS n_links")
@@ -205,7 +220,54 @@ def brute_embeddings(rows, similarity=0.98):
 
 def test_embedding_dedup_on_whole_table(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{DATA}/embeddings.parquet'").fetchall()
-    assert sorted(map(tuple, queries.op10_embedding_dedup(spark, str(DATA)).collect()), key=str) == brute_embeddings(rows)
+    df = queries.op10_embedding_dedup(spark, str(DATA))
+    assert sorted(map(tuple, df.collect()), key=str) == brute_embeddings(rows)
+    same_as_sql(df, duck(DATA), queries.EMBEDDING_SQL)
+
+
+def test_embedding_sql_on_near_copies(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(60):
+        base = rng.normal(size=16)
+        rows += [(len(rows) + k, [float(x) for x in base + rng.normal(size=16) * 0.08], g % 2) for k in range(int(rng.integers(1, 9)))]
+    rows += [(900, rows[0][1], rows[0][2]), (901, None, 1), (902, [0.0] * 16, 1), (903, rows[0][1], None)]
+    spark.createDataFrame(rows, VECTORS).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    found = queries.op10_embedding_dedup(spark, str(tmp_path))
+    same_as_sql(found, con, queries.EMBEDDING_SQL)
+    assert found.filter("n_links > 1").count() > 50
+
+
+def test_units_of_near_copies_meet_once():
+    """Blocks of a tight cluster: links are counted in the first table that a pair shares, and nowhere else."""
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=48) + rng.normal(size=(300, 48)) * 0.03
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    keys = rng.integers(0, 2, size=(300, 3))
+    totals = np.zeros(300, dtype=np.int64)
+    for place in range(3):
+        for value in (0, 1):
+            at = np.flatnonzero(keys[:, place] == value)
+            for i, j in ((0, 0), (0, 1), (1, 1)):
+                kept = at[np.isin(at % 2, (i, j))]
+                bytes_of = lambda rows: np.array([*(r.tobytes() for r in rows), None], dtype=object)[:-1]
+                found = embedding_dedup.Links()
+                embedding_dedup.link_unit({"own": kept % 2, "node": kept, "copies": np.ones(len(kept), dtype=np.int64), "marks": bytes_of(keys[kept, :place]), "unit": bytes_of(unit[kept])}, (0, i, j), 0.98, found)
+                for a, b, n in zip(found.a, found.b, found.n, strict=True):
+                    totals[a] += n if b is None else 0
+    linked = (unit @ unit.T >= 0.98) & (keys[:, None, :] == keys[None, :, :]).any(axis=2)
+    assert (totals == linked.sum(axis=1) - 1).all() and totals.sum() > 10_000
+
+
+def test_covered_hot_buckets_are_left_to_the_earlier_table(spark):
+    rows = [(k, [7, 8 if k < 30 else 9, 10]) for k in range(40)]
+    keyed = spark.createDataFrame(rows, "node long, keys array<long>")
+    shared = keyed.select(F.explode("keys").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    assert {r["bucket"] for r in embedding_dedup.without_covered(keyed, shared, 5).collect()} == {7}
+    assert {r["bucket"] for r in embedding_dedup.without_covered(keyed, shared, 20).collect()} == {7, 9}
+    assert {r["bucket"] for r in embedding_dedup.without_covered(keyed, shared, 50).collect()} == {7, 8, 9, 10}
 
 
 @pytest.mark.parametrize("block", [2048, 16])
