@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, stored
+from quillspark.llm.common import small_batches, stored, unstore
 from quillspark.llm.components import by_key, components, spanning
 from quillspark.llm.embedding_dedup import Links
 
@@ -40,7 +40,7 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 PLACES, LEAF, DEPTH, LOOSE = 64, 512, 4, 0.62
 #: A block holds about this many sets and shingles at most; one larger set makes a block of its own.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
-#: Candidate nodes up to this many (16 bytes each) are broadcast to the second scan of the texts, else joined by shuffle.
+#: Candidate nodes up to this many (six numbers, about 50 bytes each) are broadcast to the second scan of the texts, else joined by shuffle.
 BROADCAST_NODES = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CACHED_WORDS = 100_000
@@ -78,9 +78,9 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     h = np.fromiter(map(_hashes.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(words, len(found))
     with np.errstate(over="ignore"):
-        total = np.full(len(h) - width + 1, width, dtype=np.uint64)
+        h, total = _mix(h), np.full(len(h) - width + 1, width, dtype=np.uint64)
         for k in range(width):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + _mix(h[k : len(h) - width + 1 + k])
+            total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k]
         return np.unique(_mix(total))
 
 
@@ -89,15 +89,16 @@ def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) - (1 << 63)
 
 
+#: Odd multipliers: the token order of each place.
+ORDERS = np.random.default_rng(SEED).integers(1, 2**62, PLACES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def minhashes(s: np.ndarray) -> np.ndarray:
     """For each place the smallest value of the set under that place's order of tokens."""
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(1, 2**62, PLACES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.full(PLACES, np.iinfo(np.uint32).max, dtype=np.uint32)
     with np.errstate(over="ignore"):
-        for k in range(0, len(s), 4096):
-            block = s[k : k + 4096]
-            out = np.minimum(out, ((block[None, :] * a[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1))
+        for k in range(0, len(s), 512):  # products that stay in a core's cache
+            out = np.minimum(out, ((s[None, k : k + 512] * ORDERS[:, None]).min(axis=1) >> np.uint64(32)).astype(np.uint32))
     return out.view(np.int32)
 
 
@@ -200,7 +201,7 @@ def candidates(nodes: DataFrame, members: DataFrame, leaf: int, loose: float) ->
             np.fill_diagonal(linked, False)
             if key[1] != key[2]:
                 linked &= data["own"][:, None] != data["own"][None, :]
-            found.edges(data["node"], spanning(linked))
+            found.edges(data["node"], data["node"], spanning(linked))
 
         for _ in by_key(batches, ["own", "node", "minhash"], 3, unit):
             if found.size():
@@ -299,19 +300,30 @@ def compare(data: dict[str, np.ndarray], across: bool, similarity: float, found:
         linked[at, at] = False
         counts[strip] = linked[strip] @ copies
     found.counts(nodes, counts)
-    found.edges(nodes, spanning(linked))
+    found.edges(nodes, nodes, spanning(linked))
 
 
 def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH, loose: float = LOOSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): one row for each document, with the smallest id of its class and its links."""
-    small_batches(documents.sparkSession)
+    with small_batches(documents.sparkSession):  # all Python work runs in here, as its results are stored
+        resolved, prints = _linked_nodes(documents, similarity, recall, leaf, depth, loose, id_col, text_col)
+    told = prints.join(resolved, "node").select("doc_id", "class_id", "n_links")
+    linked = told.groupBy(F.col("doc_id").alias("linked_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"))
+    return rows.join(linked, rows["doc_id"] == linked["linked_id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def _linked_nodes(documents: DataFrame, similarity: float, recall: float, leaf: int, depth: int, loose: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, class_id, n_links) of the nodes that have links, and (doc_id, node) of all documents."""
     prints = stored(fingerprints(documents, id_col, text_col))
     nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash")))
     members = leaves(nodes, runs_for(similarity, recall, depth, loose), leaf, depth, similarity)
-    grouped = stored(components(stored(candidates(nodes, members, leaf, loose))).join(nodes.select("node", "first_id", "copies", "n_shingles"), "node"))
+    pairs = stored(candidates(nodes, members, leaf, loose))
+    grouped = stored(components(pairs).join(nodes.select("node", "first_id", "copies", "n_shingles"), "node"))
     extent = grouped.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
     wanted = stored(grouped.join(extent, "component").withColumnRenamed("first_id", "doc_id"))
-    links = stored(exact_links(stored(packed_blocks(documents, wanted, id_col, text_col)), similarity))
+    packed = stored(packed_blocks(documents, wanted, id_col, text_col))
+    links = stored(exact_links(packed, similarity))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     classes = components(links.filter("b is not null").select("a", "b")).join(nodes.select("node", "first_id"), "node")
     lowest = classes.groupBy("component").agg(F.min("first_id").alias("class_id"))
@@ -322,10 +334,8 @@ def jaccard_classes(documents: DataFrame, similarity: float = SIMILARITY, recall
         .select("node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         .filter((F.col("n_links") > 0))
     )
-    told = prints.select("doc_id", "node").join(resolved, "node").select("doc_id", "class_id", "n_links")
-    linked = told.groupBy(F.col("doc_id").alias("linked_id")).agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"))
-    return rows.join(linked, rows["doc_id"] == linked["linked_id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    unstore(nodes, pairs, grouped, wanted, packed, links)
+    return resolved, prints.select("doc_id", "node")
 
 
 def keep_one_of_each_class(documents: DataFrame, **settings) -> DataFrame:
