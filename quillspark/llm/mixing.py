@@ -6,17 +6,19 @@ by weight until none is above. The repetition rate is target / source size: a do
 once more if a number hashed from the seed, its id and its text falls under the fraction.
 
 Defined cases: a null text has size 0 and, like an empty one, takes nothing; null sources form one source, the last;
-rows repeated with id and text draw alike; an empty table gives an empty mix; all other columns pass through, and
-clashing ones (``size``, ``source_size``, ``target``, ``copies``) are replaced.
+rows repeated with id and text draw alike; an empty table gives an empty plan and an empty mix. A plan has columns of its
+own only; a mix has the documents' columns as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, uniform
+from quillspark.llm.common import cut, stored, uniform
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Source tables up to this many rows are broadcast (about 50 bytes each); longer ones are joined by shuffle.
@@ -42,20 +44,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     return marked.select("source", "source_size", F.when(F.col("capped"), F.col("limit")).otherwise(free_size * F.col("weight") / free_weight).alias("target"))
 
 
-def plan(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
-    """Every document with ``size``, its source's ``source_size`` and ``target``, and its number of ``copies``."""
-    sized = documents.drop("source_size", "target", "copies").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rated = cut(targets(sources, weights, cap)).withColumnRenamed("source", "rated_source")
-    if rated.count() <= BROADCAST_SOURCES:
-        rated = F.broadcast(rated)
-    joined = sized.join(rated, sized["source"].eqNullSafe(rated["rated_source"])).drop("rated_source")
+def size_of(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def draw_of(seed: str) -> Column:
+    return uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
+
+
+def rated(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """(source, size) of documents -> (source, source_size, target, rate) of each source, broadcast while they are few."""
+    told = cut(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(0.0)
-    draw = uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
-    return joined.withColumn("copies", F.floor(rate).cast("int") + (draw < rate - F.floor(rate)).cast("int"))
+    return (F.broadcast(told) if told.count() <= BROADCAST_SOURCES else told).withColumn("rate", rate)
+
+
+def copies_of(rate: Column, draw: Column) -> Column:
+    return F.floor(rate).cast("int") + (draw < rate - F.floor(rate)).cast("int")
+
+
+def plan(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) of every document. Texts are read once; sizes and draws are stored."""
+    sized = stored(documents.select("doc_id", "source", size_of().alias("size"), draw_of(seed).alias("draw")))
+    sources = rated(sized, weights, cap).withColumnRenamed("source", "rated_source")
+    joined = sized.join(sources, F.col("source").eqNullSafe(F.col("rated_source")))
+    return joined.select("doc_id", "source", "size", "source_size", "target", copies_of(F.col("rate"), F.col("draw")).alias("copies"))
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the documents' own columns, each row as often as it is taken."""
-    planned = plan(documents, weights, cap, seed).filter("copies > 0")
-    return planned.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*documents.columns)
+    source, rate, copy = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    sources = rated(documents.select("source", size_of().alias("size")), weights, cap).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    joined = documents.join(sources, F.col("source").eqNullSafe(F.col(source)))
+    taken = joined.withColumn(copy, copies_of(F.col(rate), draw_of(seed))).filter(F.col(copy) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copy))).select(*documents.columns)
