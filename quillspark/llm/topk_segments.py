@@ -6,14 +6,15 @@ the squared norms are known, that is an upper bound on the inner product, the su
 dropped at the coarsest resolution whose bound cannot reach the query's k-th best score; the survivors of the finest
 get their exact score.
 
-The stated queries are taken in blocks of a bounded number of rows. A block is broadcast with a first lower bound on
-each query's k-th score, its k-th best among the block's other queries, which are candidates too; every task streams its
-candidates against the block, raises the bounds as it goes, and sends on k rows a query at most.
+The vectors that take part are stored once, floored. The stated queries are taken in blocks of bounded bytes, broadcast as
+they are. A first pass over a seeded sample of the candidates, on the executors like the second, gives a lower bound on
+each query's k-th score, its k-th best in the sample. In the second pass every task streams its candidates against the
+block, raises the bounds as it goes, and sends on k rows a query at most.
 
 Defined cases: rows with null id, and vectors that are null, empty or hold null or non-finite components, take no part;
 vectors of another length are no candidates; an id that several rows bear counts once, with its best score; ties go to
 the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; extra columns are
-ignored.
+ignored. Scores are 64-bit integers; components past 2^31 / sqrt(length), whose products may exceed them, wrap around.
 """
 
 from __future__ import annotations
@@ -28,21 +29,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import stored, unstore
 
 K, SCALE = 5, 256.0
 LEVELS = (1, 4, 16)
-#: Rows in a broadcast block of queries (8 bytes a component), and in the tiles that a task multiplies.
-BLOCK_QUERIES, TILE_QUERIES, TILE_ROWS = 12_288, 2_048, 1_024
+#: Bytes of a broadcast block of queries (8 a component), and rows in the tiles that a task multiplies.
+BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 8 << 20, 2_048, 1_024
+#: Candidates expected in the sample that gives the first bounds.
+SAMPLE_ROWS, SEED = 4_096, 20_240_117
+#: Pairs whose exact scores are computed at a time.
+CHUNK = 1 << 14
 #: Up to this size of components, products summed in double are exact integers.
 EXACT_DOUBLE = 1 << 20
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v): scaled and floored components of the vectors that take part."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(vec_id, asked, v): scaled and floored components of the vectors that take part."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col("_asked").alias("asked"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False))).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.coalesce(finite, F.lit(False))).select("vec_id", "asked", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")).alias("v"))
 
 
 class Statistics:
@@ -83,12 +88,12 @@ def survivors(queries: Statistics, rows: Statistics, least: np.ndarray) -> tuple
             kept = (q[a] * x[b]).sum(axis=1) + slack[a, b] >= least[a]
             at = a[kept], b[kept]
     a, b = np.nonzero(alive) if at is None else at
-    if not (queries.exact and rows.exact):
-        scores = (queries.rows[a].astype(np.int64) * rows.rows[b].astype(np.int64)).sum(axis=1)
-    elif len(a) * 4 > alive.size:
+    if queries.exact and rows.exact and len(a) * 4 > alive.size:
         scores = (queries.rows @ rows.rows.T)[a, b].astype(np.int64)
     else:
-        scores = np.concatenate([np.einsum("ij,ij->i", queries.rows[a[k : k + 65536]], rows.rows[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)]).astype(np.int64)
+        kind = np.float64 if queries.exact and rows.exact else np.int64
+        parts = [np.einsum("ij,ij->i", queries.rows[a[k : k + CHUNK]].astype(kind), rows.rows[b[k : k + CHUNK]].astype(kind)) for k in range(0, len(a), CHUNK)]
+        scores = np.concatenate(parts or [np.zeros(0)]).astype(np.int64)
     kept = scores >= least[a]
     return a[kept], b[kept], scores[kept]
 
@@ -137,40 +142,57 @@ def _arrays(ids: pa.Array, vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarra
     return ids.to_numpy(zero_copy_only=False), flat, offsets - offsets[0]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates by inner product of the floored, scaled vectors."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
-    asked = usable(vectors.filter(is_query), id_col, vector_col)
-    blocks = max(1, math.ceil(asked.count() / block_queries))
+    rows = stored(usable(vectors.withColumn("_asked", F.coalesce(is_query, F.lit(False))), id_col, vector_col))
+    extent = rows.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"), F.max(F.size("v")).alias("width")).first()
+    if not extent["asked"]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = math.ceil(extent["asked"] * extent["width"] * 8 / block_bytes)
+    share = min(1.0, SAMPLE_ROWS / extent["n"])
+    candidates = rows.select("vec_id", "v")
+    sample = stored(candidates.filter(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 20)) < math.ceil(share * (1 << 20))))
     found = []
     for block in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        table = rows.filter(F.col("asked") & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)).select("vec_id", "v").toArrow().combine_chunks()
         if not len(table):
             continue
-        parts = []
-        for ids, values in by_length(*_arrays(table.column(0).chunk(0), table.column(1).chunk(0))):
-            fellows = Statistics(values)
-            first = Best(ids, k, np.full(len(ids), -(2.0**62)))
-            search(fellows, first, fellows, ids)
-            parts.append((ids, values, first.least))
-        found.append(stored(rows.mapInArrow(_scan(spark.sparkContext.broadcast(parts), k), "query_id long, vec_id long, score long")))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    merged = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = merged.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+        asked = spark.sparkContext.broadcast(list(by_length(*_arrays(table.column(0).chunk(0), table.column(1).chunk(0)))))
+        first = _best(sample, asked, {}, k).filter(F.col("rank") == k).select("query_id", "score")
+        # one number for each query of the block
+        least = spark.sparkContext.broadcast({r["query_id"]: r["score"] for r in first.collect()})
+        found.append(stored(candidates.mapInArrow(_scan(asked, least, k), SCORED)))
+    merged = _ranked(reduce(DataFrame.unionByName, found), k)
+    unstore(rows, sample)
+    return merged
+
+
+SCORED = "query_id long, vec_id long, score long"
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    one = scored.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(shared, k: int):
+def _best(rows: DataFrame, asked, least, k: int) -> DataFrame:
+    return _ranked(rows.mapInArrow(_scan(asked, rows.sparkSession.sparkContext.broadcast(least), k), SCORED), k)
+
+
+def _scan(asked, least, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {values.shape[1]: (Statistics(values), Best(ids, k, least)) for ids, values, least in shared.value}
+        state = {}
         for batch in batches:
             for ids, values in by_length(*_arrays(batch.column(0), batch.column(1))):
-                if values.shape[1] in state:
-                    queries, best = state[values.shape[1]]
+                width = values.shape[1]
+                if width not in state:  # not before a batch has come: many tasks may have none
+                    own = [(q, v) for q, v in asked.value if v.shape[1] == width]
+                    state[width] = [(Statistics(v), Best(q, k, np.array([least.value.get(x, -(2.0**62)) for x in q.tolist()]))) for q, v in own]
+                for queries, best in state[width]:
                     search(queries, best, Statistics(values), ids)
-        for _, best in state.values():
+        for best in (best for several in state.values() for _, best in several):
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (best.ids[best.query], best.row, best.score)], names=["query_id", "vec_id", "score"])
 
     return run
