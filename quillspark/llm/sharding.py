@@ -3,7 +3,9 @@
 Documents with equal texts are linked; a group is a hub node that all its documents are neighbours of, so no pairs are
 made. Every document starts in the shard that its id hashes to. In each round a group looks at the shards that hold most
 of it, as many as its size needs, and its other documents ask to move there; a shard admits movers while documents with
-neighbours do not fill its quota, by a hashed draw whose chance is the room left over the requests. At the end shards
+neighbours do not fill its quota, by a hashed draw whose chance is the room left over the requests. After each round the
+cut edges, pairs of neighbours in different shards, are counted from the sizes of the groups in each shard; a round that
+leaves as many as before is taken back and is the last. At the end shards
 over their quota give up their surplus, documents without neighbours first, to those under it, so that counts are at
 most one apart (law ``rows``), and documents get gapless slots.
 
@@ -12,8 +14,9 @@ are shuffled; ranks are taken in buckets of about ``BUCKET_ROWS`` rows and shift
 shard or group has to fit into one task. Texts are read once; only keys and sizes move.
 
 Defined cases: null texts have no neighbours, size 16 and checksum 0; empty texts are equal texts; null ids and
-repeated rows are documents of their own, told apart by a number that is stored with them; with fewer documents than
-shards some shards stay empty; an empty table gives an empty result; extra columns are ignored.
+repeated rows are documents of their own, told apart by an ordinal among rows of equal id and text, so that the result
+does not depend on how the rows are partitioned; with fewer documents than shards some shards stay empty; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import stored, unstore
 
-SHARDS, ROUNDS, BUCKET_ROWS = 40, 4, 50_000
+SHARDS, ROUNDS, BUCKET_ROWS = 40, 8, 50_000
 SIZE_BASE = 16
 
 
 def keyed(documents: DataFrame, shards: int) -> DataFrame:
-    """One narrow row for each document: id, size, checksum, group (null without text), number, first shard."""
+    """One narrow row for each document: id, size, checksum, group (null without text), number, draw, ordinal, first shard."""
     rows = documents.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + SIZE_BASE).cast("bigint").alias("size"),
@@ -37,44 +40,90 @@ def keyed(documents: DataFrame, shards: int) -> DataFrame:
         F.when(F.col("text").isNotNull(), F.xxhash64(F.md5("text"), "text")).alias("group"),
         F.monotonically_increasing_id().alias("number"),
     )
-    # draws depend on the document; the number only tells repeated rows apart
-    return stored(rows.withColumn("draw", F.xxhash64("doc_id", "text_crc32")).withColumn("shard", F.pmod("draw", F.lit(shards)).cast("int")))
+    # the number only brings results back to their rows; draws depend on the document and its ordinal
+    narrow = stored(rows.withColumn("draw", F.xxhash64("doc_id", "text_crc32", "group")))
+    return stored(with_ordinals(narrow).withColumn("shard", F.pmod(F.xxhash64("draw", "ordinal"), F.lit(shards)).cast("int")))
+
+
+def with_ordinals(rows: DataFrame) -> DataFrame:
+    """Adds ``ordinal``: 0, 1, ... among rows of equal draw, which are alike, so that any order of them will do.
+
+    Counted within the partitions that the numbers tell, then shifted by the counts of those before: a row that is
+    repeated very often is never gathered in one task.
+    """
+    sliced = rows.withColumn("slice", F.shiftright("number", 33))
+    counts = stored(sliced.groupBy("draw", "slice").agg(F.count("*").alias("n")))
+    repeated = stored(counts.groupBy("draw").agg(F.sum("n").alias("n")).filter("n > 1").select("draw"))
+    if repeated.isEmpty():
+        return rows.withColumn("ordinal", F.lit(0).cast("bigint"))
+    before = W.partitionBy("draw").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.join(repeated, "draw", "left_semi").select("draw", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = stored(sliced.join(repeated, "draw", "left_semi")).withColumn("inside", F.row_number().over(W.partitionBy("draw", "slice").orderBy("number")) - 1)
+    told = inside.join(starts, ["draw", "slice"]).withColumn("ordinal", F.col("inside") + F.col("start"))
+    return rows.join(repeated, "draw", "left_anti").withColumn("ordinal", F.lit(0).cast("bigint")).unionByName(told.select(*rows.columns, "ordinal"))
+
+
+def cut_edges(rows: DataFrame) -> float:
+    """Pairs of neighbours in different shards."""
+    held = rows.filter(F.col("peers") > 1).groupBy("group", "shard").agg(F.count("*").cast("double").alias("n"))
+    pairs = held.groupBy("group").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    return pairs.agg(F.sum("pairs").alias("cut")).first()["cut"] or 0.0
 
 
 def homes_of_groups(linked: DataFrame, quota: float, salt: int) -> DataFrame:
-    """(group, homes array): the shards that hold most of each group, as many as it fills; ties by hash."""
+    """(group, homes array): the shards that hold most of each group, as many as it fills, fullest first; ties by hash."""
     held = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
     ranked = W.partitionBy("group").orderBy(F.col("n").desc(), F.xxhash64("group", "shard", F.lit(salt)))
     placed = held.withColumn("total", F.sum("n").over(W.partitionBy("group"))).withColumn("order", F.row_number().over(ranked))
-    return placed.filter(F.col("order") <= F.ceil(F.col("total") / F.lit(quota))).groupBy("group").agg(F.array_sort(F.collect_list("shard")).alias("homes"))
+    homes = F.transform(F.array_sort(F.collect_list(F.struct("order", "shard"))), lambda h: h["shard"])
+    return placed.filter(F.col("order") <= F.ceil(F.col("total") / F.lit(quota))).groupBy("group").agg(homes.alias("homes"))
 
 
 def move(rows: DataFrame, quota: float, salt: int) -> DataFrame:
-    """One round: documents ask for a shard of their group and move where the quota admits them."""
+    """One round, stored: documents ask for a shard of their group and move where the quota admits them."""
     linked = rows.filter(F.col("peers") > 1)
-    drawn = F.element_at("homes", (F.pmod(F.xxhash64("draw", "number", F.lit(salt)), F.size("homes")) + 1).cast("int"))
+    # a quota's worth of a large group for each of its homes, the rest for the last
+    part = F.floor(F.pmod(F.xxhash64("draw", "ordinal", F.lit(salt)), F.col("peers")) / F.lit(quota)) + 1
+    drawn = F.element_at("homes", F.least(part, F.size("homes")).cast("int"))
     wish = F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(drawn)
     # stored, so that the join deals both sides anew and Spark can split the rows of a hot group over tasks
     homes = stored(homes_of_groups(linked, quota, salt))
     asking = stored(linked.join(homes, "group").withColumn("wish", wish).drop("homes"))
     demand = asking.groupBy("wish").agg(F.count(F.when(F.col("wish") == F.col("shard"), 1)).alias("staying"), F.count(F.when(F.col("wish") != F.col("shard"), 1)).alias("requests"))
     chance = F.greatest(F.lit(quota) - F.col("staying"), F.lit(0.0)) / F.greatest("requests", F.lit(1))
-    draw = F.pmod(F.xxhash64("draw", "number", F.lit(salt), F.lit("admit")), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64("draw", "ordinal", F.lit(salt), F.lit("admit")), F.lit(1 << 30)) / float(1 << 30)
     admitted = asking.join(F.broadcast(demand.select("wish", chance.alias("chance"))), "wish")  # one row for each shard
     moved = admitted.withColumn("shard", F.when(draw < F.col("chance"), F.col("wish")).otherwise(F.col("shard")))
-    return rows.filter(F.col("peers") <= 1).unionByName(moved.select(*rows.columns))
+    after = stored(rows.filter(F.col("peers") <= 1).unionByName(moved.select(*rows.columns)))
+    unstore(homes, asking)
+    return after
+
+
+def propagated(rows: DataFrame, quota: float, rounds: int) -> tuple[DataFrame, list[float]]:
+    """The rows after at most so many rounds, and the cut edges before and after each that was kept."""
+    cuts = [cut_edges(rows)]
+    for salt in range(rounds):
+        after = move(rows, quota, salt)
+        now = cut_edges(after)
+        unstore(after if now >= cuts[-1] else rows)
+        if now >= cuts[-1]:
+            break
+        rows = after
+        cuts.append(now)
+    return rows, cuts
 
 
 def ranks(rows: DataFrame, keys: list[str], n_rows: int, name: str, parts: int, first: Column | None = None) -> DataFrame:
-    """Gapless ranks from 0 within ``keys``: by ``first``, then by hash bucket, then inside the bucket."""
+    """Gapless ranks from 0 within ``keys``: by ``first``, then by hash bucket, then inside the bucket; groups that fit a bucket stay together."""
     buckets = max(1, n_rows // (parts * BUCKET_ROWS))
     order = first if first is not None else F.lit(0)
-    placed = rows.withColumn("rank_class", order).withColumn("bucket", F.pmod(F.xxhash64("draw", F.lit("bucket")), F.lit(buckets)))
-    inside = placed.withColumn("inner_rank", F.row_number().over(W.partitionBy(*keys, "rank_class", "bucket").orderBy("draw", "number")) - 1)
+    unit = F.when(F.col("peers").between(2, BUCKET_ROWS), F.col("group")).otherwise(F.col("draw"))
+    placed = rows.withColumn("rank_class", order).withColumn("unit", unit).withColumn("bucket", F.pmod(F.xxhash64("unit", F.lit("bucket")), F.lit(buckets)))
+    inside = placed.withColumn("inner_rank", F.row_number().over(W.partitionBy(*keys, "rank_class", "bucket").orderBy("unit", "draw", "ordinal")) - 1)
     sizes = placed.groupBy(*keys, "rank_class", "bucket").agg(F.count("*").alias("bucket_rows"))
     before = W.partitionBy(*keys).orderBy("rank_class", "bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.withColumn("start", F.coalesce(F.sum("bucket_rows").over(before), F.lit(0))).drop("bucket_rows")
-    return inside.join(starts, [*keys, "rank_class", "bucket"]).withColumn(name, F.col("inner_rank") + F.col("start")).drop("rank_class", "bucket", "inner_rank", "start")
+    return inside.join(starts, [*keys, "rank_class", "bucket"]).withColumn(name, F.col("inner_rank") + F.col("start")).drop("rank_class", "unit", "bucket", "inner_rank", "start")
 
 
 def even_out(rows: DataFrame, n_rows: int, shards: int) -> DataFrame:
@@ -102,14 +151,21 @@ def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document."""
     keys = keyed(documents, shards)
     n_rows = keys.count()
-    peers = stored(keys.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("peers")).filter("peers > 1"))
-    rows = stored(keys.join(peers, "group", "left").select("number", "draw", "group", "shard", F.coalesce("peers", F.lit(1)).alias("peers")))
     quota = max(1.0, n_rows / shards)
-    for salt in range(rounds):
-        rows = stored(move(rows, quota, salt))
-    placed = stored(ranks(stored(even_out(rows, n_rows, shards)), ["shard"], n_rows, "slot", shards))
+    rows, _ = propagated(with_peers(keys), quota, rounds)
+    evened = stored(even_out(rows, n_rows, shards))
+    placed = stored(ranks(evened, ["shard"], n_rows, "slot", shards).select("number", "shard", F.col("slot").cast("bigint").alias("slot")))
+    unstore(rows, evened)
     return (
-        keys.drop("group", "shard", "draw")
-        .join(placed.select("number", "shard", "slot"), "number")
-        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        keys.select("number", "doc_id", "size", "text_crc32")
+        .join(placed, "number")
+        .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
     )
+
+
+def with_peers(keys: DataFrame) -> DataFrame:
+    """(number, draw, ordinal, group, shard, peers), stored: peers are the documents of the row's group."""
+    peers = stored(keys.filter(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("peers")).filter("peers > 1"))
+    rows = stored(keys.join(peers, "group", "left").select("number", "draw", "ordinal", "group", "shard", F.coalesce("peers", F.lit(1)).alias("peers")))
+    unstore(peers)
+    return rows

@@ -41,7 +41,7 @@ def test_top_k_of_odd_rows(spark):
     rows = [(k, [float(x) for x in rng.normal(size=20)]) for k in range(1, 160)]
     rows += [(0, rows[3][1]), (200, rows[3][1]), (201, rows[3][1]), (202, rows[3][1]), (250, None), (300, []), (350, [1.0, None]), (400, [float("nan")] * 20), (450, [float("inf")] * 20), (500, [1.0, 2.0]), (501, [3.0, 4.0]), (None, rows[0][1]), (550, [1e7] * 20)]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS)
-    found = topk_segments.top_k(table.selectExpr("*", "1 AS rank", "2 AS score"), F.col("vec_id") % 50 == 0, block_queries=2)
+    found = topk_segments.top_k(table.selectExpr("*", "1 AS rank", "2 AS score", "3 AS asked", "4 AS v"), F.col("vec_id") % 50 == 0, block_bytes=400)
     assert sorted(map(tuple, found.collect())) == brute_top([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows])
     assert topk_segments.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -74,7 +74,7 @@ def test_shards_on_whole_table(spark):
 def test_shards_of_odd_tables(spark):
     rows = [(k, "hot copy") for k in range(300)] + [(k, f"text {k % 150}") for k in range(300, 500)] + [(None, "x"), (None, None), (600, None), (601, ""), (602, ""), (0, "hot copy"), (603, "long " * 50000)]
     texts = dict(rows)
-    found = sharding.shard(documents(spark, rows).selectExpr("*", "1 AS shard", "2 AS number", "3 AS peers"), shards=8).collect()
+    found = sharding.shard(documents(spark, rows).selectExpr("*", "1 AS shard", "2 AS number", "3 AS peers", "4 AS ordinal", "5 AS draw"), shards=8).collect()
     assert len(found) == len(rows)
     assert len(check_shards(found, texts, 8)) == 8
     hot = Counter(r["shard"] for r in found if texts.get(r["doc_id"]) == "hot copy")
@@ -83,6 +83,27 @@ def test_shards_of_odd_tables(spark):
     assert sharding.shard(documents(spark, [])).count() == 0
 
 
+def test_shards_do_not_depend_on_partitions(spark):
+    rows = [(k, f"text {k % 130}") for k in range(400)] + [(7, "text 7")] * 40 + [(None, None)] * 60 + [(None, "x")] * 3
+    found = [sorted(map(tuple, sharding.shard(documents(spark, rows).repartition(n), shards=8).collect()), key=str) for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_rounds_cut_fewer_edges_than_chance(spark):
+    rng = random.Random(2)
+    sizes = [rng.choice([1, 1, 2, 3, 8, 20]) for _ in range(150)] + [1] * 300
+    rows = [(k, f"text {g}") for k, g in enumerate(g for g, n in enumerate(sizes) for _ in range(n))]
+    edges, shards = sum(n * (n - 1) / 2 for n in sizes), 8
+    keys = sharding.keyed(documents(spark, rows), shards)
+    placed, cuts = sharding.propagated(sharding.with_peers(keys), len(rows) / shards, 8)
+    held = Counter((r["group"], r["shard"]) for r in placed.collect())
+    assert cuts[-1] == edges - sum(n * (n - 1) / 2 for n in held.values()) and cuts == sorted(cuts, reverse=True)
+    assert 0.8 * edges * (1 - 1 / shards) < cuts[0] and cuts[-1] < 0.15 * cuts[0]  # where hashing puts the documents is chance
+    texts = dict(rows)
+    final = Counter((texts[r["doc_id"]], r["shard"]) for r in sharding.shard(documents(spark, rows), shards=shards).collect())
+    assert edges - sum(n * (n - 1) / 2 for n in final.values()) < 0.25 * cuts[0]  # counts evened out
+
+
 def near_copies(seed=5):
     rng = random.Random(seed)
     lexicon = [f"w{k}" for k in range(3000)]
@@ -172,7 +193,7 @@ def test_mixing_on_whole_table(spark):
 
 def test_mixing_of_odd_rows(spark):
     rows = [(k, "w " * 40, "a") for k in range(400)] + [(k, "v v", "b") for k in range(400, 450)] + [(500, None, "c"), (501, "", "d"), (502, "x y z", None), (None, "x y z", None), (0, "w " * 40, "a")]
-    docs = documents(spark, rows).selectExpr("*", "1 AS size", "2 AS copies", "3 AS target")
+    docs = documents(spark, rows).selectExpr("*", "'1' AS size", "'2' AS copies", "'3' AS target", "'4' AS rated_source", "'5' AS rate")
     planned = mixing.plan(docs).collect()
     assert len(planned) == len(rows)
     sizes = defaultdict(int)
@@ -195,6 +216,8 @@ def test_mixing_of_odd_rows(spark):
     assert taken == pytest.approx(targets["a"], rel=0.1)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in planned)
+    assert {tuple(r)[5:] for r in mixed.collect()} == {("1", "2", "3", "4", "5")}
+    assert mixing.plan(docs.limit(0)).count() == 0
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
