@@ -1,40 +1,52 @@
 """Toxicity scores by weak supervision.
 
 1. Lexicon and patterns: over labelled training rows Spark counts, for each word and each word prefix, the toxic and
-   the other documents that hold it once, twice or four times at least. The entries most tied to toxicity become voters (present or absent), beside
-   pattern voters on the number of different entries found.
-2. Label model: a latent class model over all voters and the given label, itself a voter whose accuracy is estimated,
-   is fitted by EM; it gives how often each voter fires for either class. Voters that fire together within a class say one thing many times; their pairwise correlations given the class
-   are estimated and each voter's evidence is divided by the number of voters that it stands for.
-3. Classifier: a logistic regression on the presence of words and prefixes is trained on the posterior labels and
-   scores every whole text.
-
-Bounds: at most ``MAX_LABELLED`` labelled rows are used, chosen by a hash of their id over the whole table; their
-voter and feature hits are all that reaches the driver. Texts to be scored have no bound.
+   the other documents that hold it once, twice or four times at least. Entries whose counts differ between the classes
+   by enough (a likelihood ratio test, ``SIGNIFICANT`` and ``FEATURE_EFFECT``) are features. The strongest on either side become voters,
+   for toxic or for clean, beside pattern voters on the number of different toxic entries found.
+2. Label model: a latent class model over all voters is fitted by EM on labelled and unlabelled texts. A given label is
+   one more voter, whose accuracy is estimated, and says nothing about an unlabelled text. The model gives how often each
+   voter fires for either class. Voters that fire together within a class say one thing many times: their pairwise
+   correlations given the class are estimated and each voter's evidence is divided by the number that it stands for.
+3. Classifier: a logistic regression on the presence of words and prefixes is trained on the posterior labels of all
+   these texts and scores every whole text.
+
+Bounds: the model is fitted on at most about ``MAX_LABELLED`` labelled ids and ``MAX_UNLABELLED`` others, chosen by a hash
+of their id over the whole table, none of them held out; their feature hits are all that reaches the driver. Features and
+voters have no number set, only tests that they must pass. Texts to be scored have no bound.
 
 Defined cases: null and empty texts have no features and score the bare intercept; rows with null ids are never
-trained on; null labels and labels without document are ignored; an id with several labels uses each; without labelled
-rows of both classes every score is 0; extra columns are ignored.
+trained on; null labels and labels without document are ignored; an id with several labels takes the one that more of
+them give, and none at a tie; documents that repeat an id count once in training (the smallest text) and are all scored;
+an empty table gives an empty result; without labelled rows of both classes every score is 0; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import stored
-
-MAX_LABELLED, MAX_VOTERS, MAX_FEATURES, MIN_SUPPORT = 12_000, 400, 1024, 4
-#: Longer words keep this many characters; prefixes of these lengths are patterns of their own.
-WORD_CHARS, PREFIXES = 32, (3, 4, 5, 6, 7, 8)
+from quillspark.llm.common import stored, unstore
+
+MAX_LABELLED, MAX_UNLABELLED, MIN_SUPPORT = 12_000, 4_000, 4
+#: Least likelihood ratio (chi-squared, one degree of freedom) of a feature and of a voter: against chance, one in twenty
+#: and one in a thousand, and for each labelled row, so that more rows don't let in ever weaker entries.
+SIGNIFICANT, TELLING, FEATURE_EFFECT, VOTER_EFFECT = 3.84, 10.83, 0.0025, 0.005
+#: Log odds that a voter has at least, for toxic or for clean.
+TOXIC_ODDS, CLEAN_ODDS = 2.0, -0.5
+#: What a text without label counts for beside one with.
+UNLABELLED_WEIGHT = 0.2
+#: Prefixes of these lengths are patterns of their own. Longer words than this are not remembered between texts.
+PREFIXES, CACHED_CHARS = (3, 4, 5, 6, 7, 8), 48
 WORDS = re.compile(r"[^\W\d_]+")
 TIMES = (1, 2, 4)
 HIT_PATTERNS = (1, 2, 4)
@@ -45,7 +57,7 @@ REJECTED = 0.5
 
 def stems_of(word: str) -> list[str]:
     """The word itself and its prefixes."""
-    return [word[:WORD_CHARS], *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
 
 
 def features_of(text: str | None) -> list[tuple[str, int]]:
@@ -63,12 +75,25 @@ def crc_bucket(column: str):
 
 
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, text) of at most about MAX_LABELLED rows that are not held out, each text once read."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id") != 0)).select("doc_id", F.col("toxic").cast("int").alias("label"))
-    share = min(1.0, MAX_LABELLED / max(1, known.count()))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000)
-    chosen = known.filter(drawn)
-    return stored(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text"))
+    """(label, text) of the rows to learn from, none of them held out, each id once; label is -1 where none is known."""
+    told = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id") != 0))
+    known = told.groupBy("doc_id").agg(F.avg("toxic").alias("share")).filter("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("label"))
+    n_known = known.count()
+    chosen = F.broadcast(known.filter(drawn("label", MAX_LABELLED / max(1, n_known))))
+    usable = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & (crc_bucket("doc_id") != 0))
+    labelled = usable.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
+    # no more of the others than have labels; drawn first, so that only their ids meet the labels
+    others = min(MAX_UNLABELLED, n_known) / max(1, documents.count())
+    sampled = stored(usable.filter(drawn("text", others)).groupBy("doc_id").agg(F.lit(-1).alias("label"), F.min("text").alias("text")))
+    labelled_ids = labels.join(F.broadcast(sampled.select("doc_id")), "doc_id", "left_semi").select("doc_id").distinct()
+    unlabelled = sampled.join(F.broadcast(labelled_ids), "doc_id", "left_anti")
+    rows = stored(labelled.unionByName(unlabelled).select("label", "text"))
+    unstore(sampled)
+    return rows
+
+
+def drawn(purpose: str, share: float) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(f"toxicity {purpose}")), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)
 
 
 def class_counts(rows: DataFrame) -> DataFrame:
@@ -78,7 +103,8 @@ def class_counts(rows: DataFrame) -> DataFrame:
         counts = (Counter(), Counter())
         for batch in batches:
             for label, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                counts[label].update(features_of(text))
+                if label >= 0:
+                    counts[label].update(features_of(text))
             if len(counts[0]) + len(counts[1]) > 500_000:
                 yield _counted(counts)
                 counts = (Counter(), Counter())
@@ -89,13 +115,20 @@ def class_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("stem", "times").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
 
 
-def without_nested(counts: DataFrame) -> DataFrame:
-    """The counted stems but those within a shorter prefix that the same numbers of documents hold, hence the same documents."""
-    letters = F.length(F.regexp_replace("stem", r"\*$", ""))
-    prefixes = F.array_compact(F.array(*[F.when(letters > k, F.concat(F.substring("stem", 1, k), F.lit("*"))) for k in PREFIXES]))
-    inner = counts.withColumn("inner", F.col("stem")).withColumn("stem", F.explode(prefixes))
-    nested = inner.join(counts, ["stem", "times", "toxic", "clean"], "left_semi").select(F.col("inner").alias("stem"), "times").distinct()
-    return counts.join(nested, ["stem", "times"], "left_anti")
+def significance(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Likelihood ratio of the counts of either class against one rate for both."""
+    rate = (toxic + clean) / float(n_toxic + n_clean)
+
+    def part(count: Column, of: int) -> Column:
+        held = F.when(count > 0, count * F.log(count / (rate * of))).otherwise(0.0)
+        return held + F.when(count < of, (of - count) * F.log((of - count) / ((1 - rate) * of))).otherwise(0.0)
+
+    return 2 * (part(toxic, n_toxic) + part(clean, n_clean))
+
+
+def without_nested(counts: dict[tuple[str, int], tuple[int, int]]) -> list[tuple[str, int]]:
+    """The entries but those within a shorter prefix that the same numbers of documents hold, hence the same documents."""
+    return [(stem, times) for (stem, times), n in counts.items() if not any(counts.get((f"{stem[:k]}*", times)) == n for k in PREFIXES if len(stem.rstrip("*")) > k)]
 
 
 def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -107,12 +140,14 @@ def _counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
 
 @dataclass
 class ToxicityModel:
+    """Features by index; ``lexicon``, the toxic entries, are counted for the hit patterns, whose indices follow."""
+
     features: dict[tuple[str, int], int]
-    lexicon: set[int]
+    lexicon: frozenset[int]
     weights: np.ndarray
     intercept: float
-    voter_rates: np.ndarray | None = None
-    voter_shares: np.ndarray | None = None
+    label_model: LabelModel | None = None
+    voters: list[int] = field(default_factory=list)
 
     def __post_init__(self):
         stems = {stem: k for k, stem in enumerate(dict.fromkeys(stem for stem, _ in self.features))}
@@ -129,9 +164,10 @@ class ToxicityModel:
             known = cache.get(word)
             if known is None:
                 known = tuple(k for k in map(self.stems.get, stems_of(word)) if k is not None)
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                cache[word] = known
+                if len(word) <= CACHED_CHARS:
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
+                    cache[word] = known
             for stem in known:
                 times[stem] += n
         found = {k for stem, n in times.items() for least, k in self.steps[stem] if n >= least}
@@ -141,46 +177,97 @@ class ToxicityModel:
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[self.hits(text)].sum(), -60, 60))))
 
+    def weak_logit(self, text: str | None) -> float:
+        """What the voters alone say of a text, without a given label."""
+        return float(self.label_model.logit(np.isin(self.voters, self.hits(text))[None, :])[0])
 
-def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of each row, firing rates of each voter by class (2 x voters), and the share of evidence of each voter.
 
-    votes: rows x voters, 0 or 1. given: the given label of each row, taken as one more vote.
+@dataclass
+class LabelModel:
+    """Firing rates of each voter by class (2 x voters), the share of its evidence that counts, and the log odds of the classes."""
+
+    rates: np.ndarray
+    share: np.ndarray
+    prior: float
+
+    def logit(self, votes: np.ndarray) -> np.ndarray:
+        present = self.share * np.log(self.rates[1] / self.rates[0])
+        absent = self.share * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        return self.prior + votes @ (present - absent).astype(np.float32) + absent.sum()
+
+
+def shares(votes: np.ndarray, posterior: np.ndarray, weight: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """1 over the number of voters that each stands for, by correlations within the classes."""
+    moment = np.zeros((votes.shape[1], votes.shape[1]), dtype=np.float32)
+    for start in range(0, len(votes), 2048):  # of either class, which add up to the weight
+        x, w = votes[start : start + 2048], weight[start : start + 2048].astype(np.float32)
+        moment += (x * w[:, None]).T @ x
+    mass = np.array([((1 - posterior) * weight).sum(), (posterior * weight).sum()])
+    moment -= sum(m * np.outer(r, r) for m, r in zip(mass, rates, strict=True)).astype(np.float32)
+    scale = np.sqrt(np.maximum(np.diag(moment), 1e-9 * mass.sum()))
+    correlation = np.clip(moment / np.outer(scale, scale), 0, 1)
+    np.fill_diagonal(correlation, 1)
+    return 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1)
+
+
+def fit_label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of each row, its given label a vote among the others, and the model of the other voters.
+
+    votes: rows x voters, 0 or 1, as float32. given: 1, 0, or -1 where no label is known; such rows enter once those with labels
+    have given first rates.
     """
-    x = votes.astype(np.float32)
+    labelled = given >= 0
     posterior = np.where(given > 0, 0.95, 0.05)
-    for _ in range(rounds):
-        mass = np.array([(1 - posterior).sum(), posterior.sum()])
-        rates = np.vstack([((1 - posterior) @ x + 0.5) / (mass[0] + 5), (posterior @ x + 0.5) / (mass[1] + 5)])
-        moment = sum((x * w[:, None]).T @ x / len(x) - m / len(x) * np.outer(r, r) for w, m, r in ((1 - posterior.astype(np.float32), mass[0], rates[0]), (posterior.astype(np.float32), mass[1], rates[1])))
-        scale = np.sqrt(np.maximum(np.diag(moment), 1e-9))
-        correlation = np.clip(moment / np.outer(scale, scale), 0, 1)
-        np.fill_diagonal(correlation, 1)
-        share = 1 / np.where(correlation > 0.1, correlation, 0).sum(axis=1)
-        present = share * np.log(rates[1] / rates[0])
-        absent = share * np.log((1 - rates[1]) / (1 - rates[0]))
-        right = np.array([((1 - posterior) @ (given == 0) + 5) / (mass[0] + 6), (posterior @ (given == 1) + 5) / (mass[1] + 6)])
-        label = np.where(given > 0, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0]))
-        logit = np.log((mass[1] + 1) / (mass[0] + 1)) + x @ present + (1 - x) @ absent + label
-        updated = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(updated - posterior).max() < 1e-4:
-            posterior = updated
+    weight = labelled.astype(float)
+    for step in range(rounds):
+        p1, p0 = (posterior * weight).astype(np.float32), ((1 - posterior) * weight).astype(np.float32)
+        mass = np.array([p0.sum(), p1.sum()])
+        rates = np.vstack([(p0 @ votes + 0.5) / (mass[0] + 5), (p1 @ votes + 0.5) / (mass[1] + 5)])
+        if step % 5 == 0:  # correlations change little from round to round
+            share = shares(votes, posterior, weight, rates)
+        model = LabelModel(rates, share, float(np.log((mass[1] + 1) / (mass[0] + 1))))
+        right = np.array([(p0[labelled] @ (given[labelled] == 0) + 5) / (p0[labelled].sum() + 6), (p1[labelled] @ (given[labelled] == 1) + 5) / (p1[labelled].sum() + 6)])
+        label = np.where(given > 0, np.log(right[1] / (1 - right[0])), np.log((1 - right[1]) / right[0])) * labelled
+        updated = 1 / (1 + np.exp(-np.clip(model.logit(votes) + label, -30, 30)))
+        settled = step > 1 and np.abs(updated - posterior).max() < 1e-4
+        posterior, weight = updated, np.where(labelled, 1.0, UNLABELLED_WEIGHT)
+        if settled:
             break
-        posterior = updated
-    return posterior, rates, share
+    return posterior, model
+
+
+def fit_classifier(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, weight: np.ndarray, n_features: int, penalty: float = 0.5, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Logistic regression on the features at (rows, columns) and soft labels of weighted rows; ``penalty`` is on the squared weights.
+
+    Newton's method; each step is solved by conjugate gradients, so that only the hits are held.
+    """
+    n = len(target)
+    ridge = np.r_[np.full(n_features, penalty), 1e-3]
+
+    def apply(w: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, weights=w[columns], minlength=n) + w[-1]
 
+    def gathered(v: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(columns, weights=v[rows], minlength=n_features), v.sum()]
 
-def fit_classifier(hits: np.ndarray, target: np.ndarray, penalty: float = 0.5, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Logistic regression on 0/1 features and soft labels, by Newton's method; ``penalty`` is on the squared weights."""
-    x = np.hstack([hits, np.ones((len(hits), 1), dtype=hits.dtype)]).astype(np.float32)
-    ridge = np.full(x.shape[1], penalty)
-    ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n_features + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curvature = (x * np.maximum(p * (1 - p), 1e-4).astype(np.float32)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curvature.astype(np.float64), x.T @ (p - target) + ridge * w)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(apply(w), -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-4) * weight
+        scale = gathered(curve) + ridge  # the diagonal, as features are 0 or 1
+        residual = -(gathered((p - target) * weight) + ridge * w)
+        step, direction, size = np.zeros_like(w), residual / scale, float(residual @ (residual / scale))
+        enough = 1e-10 * size
+        for _ in range(200):
+            if size <= enough:
+                break
+            image = gathered(curve * apply(direction)) + ridge * direction
+            length = size / float(direction @ image)
+            step += length * direction
+            residual = residual - length * image
+            before, size = size, float(residual @ (residual / scale))
+            direction = residual / scale + size / before * direction
+        w += step
         if np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
@@ -188,42 +275,47 @@ def fit_classifier(hits: np.ndarray, target: np.ndarray, penalty: float = 0.5, r
 
 def fit(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     rows = training_rows(documents, labels)
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    totals = {r["label"]: r["n"] for r in rows.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
-        return ToxicityModel({}, set(), np.zeros(len(HIT_PATTERNS)), -60.0)
-    odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))
-    distinct = without_nested(stored(class_counts(rows).filter(F.col("toxic") + F.col("clean") >= MIN_SUPPORT)))
-    counted = stored(distinct.withColumn("odds", odds))
-    strength = F.col("odds") * F.sqrt("toxic")
-    voters = counted.filter((F.col("odds") >= 2.0) & (F.col("toxic") >= MIN_SUPPORT)).orderBy(strength.desc(), "stem", "times").limit(MAX_VOTERS).collect()
-    spread = F.abs("odds") * F.sqrt(F.col("toxic") + F.col("clean"))
-    others = counted.filter(F.abs("odds") >= 0.5).orderBy(spread.desc(), "stem", "times").limit(MAX_FEATURES).collect()
-    names = list(dict.fromkeys((r["stem"], r["times"]) for r in [*voters, *others]))[:MAX_FEATURES]
-    model = ToxicityModel({f: k for k, f in enumerate(names)}, set(range(len(voters))), np.zeros(len(names) + len(HIT_PATTERNS)), 0.0)
+        return ToxicityModel({}, frozenset(), np.zeros(len(HIT_PATTERNS)), -60.0)
+    n_labelled = totals[0] + totals[1]
+    counts = class_counts(rows).filter(F.col("toxic") + F.col("clean") >= MIN_SUPPORT)
+    told = counts.withColumn("g", significance(F.col("toxic"), F.col("clean"), totals[1], totals[0])).filter(F.col("g") >= max(SIGNIFICANT, FEATURE_EFFECT * n_labelled))
+    passed = {(r["stem"], r["times"]): r for r in told.orderBy("stem", "times").collect()}
+    names = without_nested({k: (r["toxic"], r["clean"]) for k, r in passed.items()})
+    odds = [np.log((passed[f]["toxic"] + 0.5) / (totals[1] + 1)) - np.log((passed[f]["clean"] + 0.5) / (totals[0] + 1)) for f in names]
+    toxic = [k for k, f in enumerate(names) if odds[k] >= TOXIC_ODDS]
+    telling = [k for k, f in enumerate(names) if passed[f]["g"] >= max(TELLING, VOTER_EFFECT * n_labelled) and (odds[k] >= TOXIC_ODDS or odds[k] <= CLEAN_ODDS)]
+    model = ToxicityModel({f: k for k, f in enumerate(names)}, frozenset(toxic), np.zeros(len(names) + len(HIT_PATTERNS)), 0.0)
     shared = documents.sparkSession.sparkContext.broadcast((model.features, model.lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, lexicon = shared.value
         local = ToxicityModel(features, lexicon, np.zeros(0), 0.0)
         for batch in batches:
-            found = [local.hits(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.list_(pa.int32()))], names=["label", "hits"])
+            found = [local.hits(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, type=pa.list_(pa.int32()))], names=["label", "key", "hits"])
 
+    table = rows.select("label", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "label int, key long, hits array<int>").toArrow()
+    unstore(rows)
     # in an order of its own, so that reruns add up the same numbers alike
-    found = sorted((r["label"], r["hits"]) for r in rows.mapInArrow(run, "label int, hits array<int>").collect())
-    given = np.array([label for label, _ in found])
-    hits = np.zeros((len(found), len(model.weights)), dtype=np.int8)
-    for k, (_, present) in enumerate(found):
-        hits[k, present] = 1
-    voting = [*sorted(model.lexicon), *range(len(names), len(names) + len(HIT_PATTERNS))]
-    posterior, model.voter_rates, model.voter_shares = fit_label_model(hits[:, voting], given)
-    model.weights, model.intercept = fit_classifier(hits, posterior)
+    table = table.sort_by([("label", "ascending"), ("key", "ascending")]).combine_chunks()
+    given, hits = table.column("label").to_numpy(), table.column("hits").chunk(0)
+    at = np.repeat(np.arange(len(given)), np.diff(hits.offsets.to_numpy()))
+    held = hits.flatten().to_numpy()
+    model.voters = [*telling, *range(len(names), len(names) + len(HIT_PATTERNS))]
+    place = np.full(len(model.weights), -1)
+    place[model.voters] = np.arange(len(model.voters))
+    votes = np.zeros((len(given), len(model.voters)), dtype=np.float32)
+    votes[at[place[held] >= 0], place[held][place[held] >= 0]] = 1
+    posterior, model.label_model = fit_label_model(votes, given)
+    model.weights, model.intercept = fit_classifier(at, held, posterior, np.where(given >= 0, 1.0, UNLABELLED_WEIGHT), len(model.weights))
     return model
 
 
-def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The documents with ``score``, made from every whole text."""
-    documents = documents.drop("score")
+def score_documents(documents: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
+    """The documents with a score in ``column`` (replaced if there is one), made from every whole text."""
+    documents = documents.drop(column)
     shared = documents.sparkSession.sparkContext.broadcast((model.features, model.lexicon, model.weights, model.intercept))
     at = documents.columns.index("text")
 
@@ -231,9 +323,15 @@ def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         local = ToxicityModel(*shared.value)
         for batch in batches:
             scores = [local.score(t) for t in batch.column(at).to_pylist()]
-            yield batch.append_column("score", pa.array(scores, type=pa.float64()))
+            yield batch.append_column(column, pa.array(scores, type=pa.float64()))
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(column, T.DoubleType())]))
+
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())]))
+def without_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with their own columns, that the classifier doesn't predict toxic."""
+    column = f"_{uuid.uuid4().hex}"
+    return score_documents(documents, fit(documents, labels), column).filter(F.col(column) < REJECTED).drop(column)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
