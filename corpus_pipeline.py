@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and is written as Parquet before the next reads it. All but the last return the
 columns of documents.
+
+Defined cases: null and empty texts pass every stage (not toxic, nothing to remove, near copies of nothing, as often as
+their source is taken, no tokens); null ids and repeated rows are documents of their own, save that the join keeps or
+drops the rows of an id together; an empty table gives an empty result; extra columns of any name pass all stages but the
+last unchanged.
 """
 
 from __future__ import annotations
@@ -21,13 +26,18 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of those given, doesn't predict toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).filter(F.col("score") < toxicity.REJECTED).select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many sources share; only documents of nothing else keep them."""
-    return line_dedup.remove_boilerplate(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """All documents, without the lines that many sources share; only documents of nothing else keep them.
+
+    ``n_chars`` is that of the cleaned text; other columns, those of clashing names included, stay as they are.
+    """
+    kept = [c for c in docs.columns if c in ("n_lines", "n_removed")]
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in kept})
+    cleaned = line_dedup.remove_boilerplate(renamed).drop("n_lines", "n_removed").withColumnsRenamed({f"_own_{c}": c for c in kept})
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
