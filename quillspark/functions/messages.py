@@ -42,36 +42,48 @@ def _outside_pdf(c: Column) -> Column:
     return F.when(first.isNotNull() & ~own.isin(*t.CHAT_HOSTS), first).otherwise(t.first_outside_url(c, BARE_URL))
 
 
-def _digest_fields(body: Column) -> dict[str, Column]:
-    clean = t.without_bold(body)
-    is_stock = clean.rlike(STOCK_HEADER)
-    changed = clean.rlike(TARGET_CHANGE)
-    opinion = F.coalesce(_group(clean, OPINION_IN_TARGET), _group(clean, OPINION_LABELLED))
-    return {
-        "title": t.blank_to_null(F.when(is_stock, F.regexp_extract(clean, STOCK_HEADER, 3)).otherwise(F.regexp_extract(clean, INDUSTRY_HEADER, 1))),
-        "stock_name": F.when(is_stock, t.strip(F.regexp_extract(clean, STOCK_HEADER, 1))),
-        "stock_code": F.when(is_stock, F.regexp_extract(clean, STOCK_HEADER, 2)),
-        "broker": F.when(is_stock, clean_broker(F.regexp_extract(clean, STOCK_HEADER, 4))).when(clean.rlike(INDUSTRY_HEADER), clean_broker(F.regexp_extract(clean, INDUSTRY_HEADER, 2))),
-        "prev_target_price": F.when(changed, t.parse_price(F.regexp_extract(clean, TARGET_CHANGE, 1))),
-        "target_price": F.when(changed, t.parse_price(F.regexp_extract(clean, TARGET_CHANGE, 2))).otherwise(t.parse_price(_group(body, TARGET))),
-        "opinion": t.normalize_opinion(opinion),
-        "analyst": _group(clean, ANALYST),
-        "pdf_url": _outside_pdf(body),
-    }
-
-
-def _plain_fields(body: Column, brokers: str, opinions: str) -> dict[str, Column]:
-    return {
-        "title": t.strip(F.regexp_extract(body, r"^([^\r\n]*)", 1)),
-        "stock_name": _group(body, STOCK_MENTION, 1),
-        "stock_code": _group(body, STOCK_MENTION, 2),
-        "broker": t.normalize_broker(_group(body, brokers, 0)),
-        "prev_target_price": F.lit(None).cast("bigint"),
-        "target_price": t.parse_price(_group(body, TARGET)),
-        "opinion": t.normalize_opinion(_group(body, opinions)),
-        "analyst": F.lit(None).cast("string"),
-        "pdf_url": t.first_outside_url(body),
-    }
+def _fields(rows: DataFrame) -> DataFrame:
+    """The told fields of each ``body`` by its ``dialect``: digest, company or general.
+
+    Each pattern is searched once: what it matched is a column of its own, and groups are cut from that. Spark keeps such
+    steps apart, since later columns use them several times.
+    """
+    digest = F.col("dialect") == "digest"
+    clean = rows.withColumn("clean", F.when(digest, t.without_bold("body")).otherwise(F.col("body")))
+    brokers = {"company": rf"(?:{PLAIN_BROKERS}|부국)\s*(?:증권|투자증권|금융투자)?", "general": rf"(?:{PLAIN_BROKERS})\s*증권?"}
+    opinions = {"company": OPINION_WORDS_CASED, "general": OPINION_WORDS}
+
+    def plain(patterns: dict[str, str], k: int) -> Column:
+        return F.when(F.col("dialect") == "company", _group(F.col("body"), patterns["company"], k)).otherwise(_group(F.col("body"), patterns["general"], k))
+
+    text, body = F.col("clean"), F.col("body")
+    met = clean.withColumns(
+        {
+            "stock": F.when(digest, F.regexp_substr(text, F.lit(STOCK_HEADER))).otherwise(F.regexp_substr(text, F.lit(STOCK_MENTION))),
+            "change": F.when(digest, F.regexp_substr(text, F.lit(TARGET_CHANGE))),
+            "price": F.regexp_substr(body, F.lit(TARGET)),
+            "told_opinion": F.when(digest, F.coalesce(_group(text, OPINION_IN_TARGET), _group(text, OPINION_LABELLED))).otherwise(plain(opinions, 1)),
+        }
+    )
+    stock, change = F.col("stock"), F.col("change")
+    headed = met.withColumn("industry", F.when(digest & stock.isNull(), F.regexp_substr(text, F.lit(INDUSTRY_HEADER))))
+    industry = F.col("industry")
+    house = F.when(~digest, plain(brokers, 0)).when(stock.isNotNull(), F.regexp_extract(stock, STOCK_HEADER, 4)).otherwise(F.regexp_extract(industry, INDUSTRY_HEADER, 2))
+    named = headed.withColumn("house", house)
+    title = F.when(stock.isNotNull(), F.regexp_extract(stock, STOCK_HEADER, 3)).otherwise(F.regexp_extract(industry, INDUSTRY_HEADER, 1))
+    return named.withColumns(
+        {
+            "title": F.when(digest, t.blank_to_null(title)).otherwise(t.strip(F.regexp_extract(body, r"^([^\r\n]*)", 1))),
+            "stock_name": F.when(digest, t.strip(F.regexp_extract(stock, STOCK_HEADER, 1))).otherwise(F.regexp_extract(stock, STOCK_MENTION, 1)),
+            "stock_code": F.when(digest, F.regexp_extract(stock, STOCK_HEADER, 2)).otherwise(F.regexp_extract(stock, STOCK_MENTION, 2)),
+            "broker": F.when(digest, clean_broker("house")).otherwise(t.normalize_broker("house")),
+            "prev_target_price": t.parse_price(F.regexp_extract(change, TARGET_CHANGE, 1)),
+            "target_price": F.when(change.isNotNull(), t.parse_price(F.regexp_extract(change, TARGET_CHANGE, 2))).otherwise(t.parse_price(F.regexp_extract("price", TARGET, 1))),
+            "opinion": t.normalize_opinion("told_opinion"),
+            "analyst": F.when(digest, _group(text, ANALYST)),
+            "pdf_url": F.when(digest, _outside_pdf(body)).otherwise(t.first_outside_url(body)),
+        }
+    ).drop("clean", "stock", "change", "price", "told_opinion", "industry", "house", "dialect")
 
 
 def parse_quality(broker: Column, title: Column, stock_name: Column, stock_code: Column, report_type: Column) -> Column:
@@ -82,17 +94,18 @@ def parse_quality(broker: Column, title: Column, stock_name: Column, stock_code:
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """(channel, message_id, text) -> one row for each report found; digests give several, empty messages none."""
+    """(channel, message_id, text) -> one row for each report found; digests give several, empty messages none.
+
+    Other columns of a message pass to its reports.
+    """
     channel = F.lower("channel")
     is_digest = channel == DIGEST_CHANNEL
     blocks = F.when(is_digest, t.digest_blocks(F.col("text"))).otherwise(F.array("text"))
     rows = messages.select("*", F.posexplode(blocks).alias("block_no", "body"))
     rows = rows.withColumn("body", t.strip("body")).filter((F.col("body") != "") & ((channel == COMPANY_CHANNEL) | ~t.is_continuation("body")))
-    body = F.col("body")
-    digest = _digest_fields(body)
-    company = _plain_fields(body, rf"(?:{PLAIN_BROKERS}|부국)\s*(?:증권|투자증권|금융투자)?", OPINION_WORDS_CASED)
-    general = _plain_fields(body, rf"(?:{PLAIN_BROKERS})\s*증권?", OPINION_WORDS)
-    parsed = rows.select("channel", "message_id", "block_no", "body", *[F.when(is_digest, digest[k]).when(channel == COMPANY_CHANNEL, company[k]).otherwise(general[k]).alias(k) for k in digest])
+    dialect = F.when(is_digest, "digest").when(channel == COMPANY_CHANNEL, "company").otherwise("general")
+    kept = [c for c in messages.columns if c != "text"]
+    parsed = _fields(rows.select(*kept, "block_no", "body", dialect.alias("dialect")))
     graded = parsed.filter(F.col("title").isNotNull()).withColumn("title_normalized", t.normalize_title("title"))
     return graded.withColumn("chat_links", F.when(F.col("pdf_url").isNull(), t.chat_message_links("body"))).withColumn(
         "quality", parse_quality(F.col("broker"), F.col("title"), F.col("stock_name"), F.col("stock_code"), F.lit(None).cast("string"))

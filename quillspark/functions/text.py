@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Aliases of brokers and of investment opinions.
+# Fixed values, down to REPORT_PAGE: aliases of brokers and opinions, units, token patterns, hosts, failures that last, addresses.
 BROKER_ALIASES = {
     "미래에셋": "미래에셋증권",
     "미래에셋대우": "미래에셋증권",
@@ -258,6 +258,11 @@ def retryable(reason: Column | str) -> Column:
     return ~r.isin(*LASTING_FAILURES) & ~r.startswith(LASTING_PREFIX)
 
 
+def failure_detail(attempts: Column | str) -> Column:
+    """What was tried, in order; unknown if nothing was."""
+    return F.coalesce(F.nullif(F.array_join(_column(attempts), " | "), F.lit("")), F.lit("unknown"))
+
+
 def review_link(channel: Column | str, message_id: Column | str) -> Column:
     return F.concat(F.lit("https://t.me/"), F.ltrim(_column(channel), F.lit("@")), F.lit("/"), _column(message_id).cast("string"))
 

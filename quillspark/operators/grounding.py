@@ -38,9 +38,20 @@ def grounding_by_type(counted: DataFrame) -> DataFrame:
     return counted.groupBy("report_type").agg(F.count("*").alias("n_reports"), total.alias("layer2_total"), *[share(c) for c in PARTS])
 
 
-def chain_steps(documents: DataFrame, steps: list[str]) -> DataFrame:
-    """(report_id, step, text) of the wanted steps of each reasoning chain."""
-    return documents.select("report_id", F.explode("chain").alias("s")).select("report_id", "s.step", "s.text").filter(F.col("step").isin(steps))
+def step_grounding(documents: DataFrame, steps: list[str]) -> DataFrame:
+    """Per wanted step: how many, how many per cent hold a number, their numbers, and how many of those stand in ``body``.
+
+    documents: (report_id, chain array of (step, text), body).
+    """
+    told = documents.select("body", F.explode("chain").alias("s")).filter(F.col("s.step").isin(steps) & (F.coalesce("s.text", F.lit("")) != ""))
+    numbers = lambda c: F.coalesce(number_tokens(c), F.array().cast("array<string>"))
+    counted = told.select(F.col("s.step").alias("step"), numbers("s.text").alias("own"), numbers("body").alias("source"))
+    sized = counted.select("step", F.size("own").cast("bigint").alias("n"), F.size(F.array_intersect("own", "source")).cast("bigint").alias("grounded"))
+    pct = lambda part, whole: F.coalesce(F.round(part * 100 / F.nullif(whole, F.lit(0)), 1), F.lit(0.0))
+    total = F.sum("n")
+    return sized.groupBy("step").agg(
+        F.count("*").alias("n_steps"), pct(F.count_if(F.col("n") > 0), F.count("*")).alias("with_number_pct"), total.alias("n_numbers"), pct(F.sum("grounded"), total).alias("grounded_pct"), pct(total - F.sum("grounded"), total).alias("ungrounded_pct")
+    )
 
 
 def fill_rates(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -128,6 +128,16 @@ def sector_detail(reports: DataFrame, analyses: DataFrame, sectors: DataFrame, m
     return one_name.join(newest, "stock_code").select("stock_code", F.col("company_name").alias("stock_name"), "report_count", "avg_sentiment", F.col("newest.opinion").alias("latest_opinion"), F.col("newest.target_price").alias("latest_target_price"))
 
 
+def with_key(rows: DataFrame, document: str, key: str) -> DataFrame:
+    """Rows whose JSON object holds a top-level key, also one whose value is null."""
+    return rows.filter(F.array_contains(F.json_object_keys(document), key))
+
+
+def count_of_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(n_groups): the pages of a grouped list are counted by it."""
+    return rows.groupBy(*keys).agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_groups"))
+
+
 def without_analysis(reports: DataFrame, analyses: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """Reports still to be analysed: none stored, none under way."""
     todo = reports.join(analyses.select(F.col("report_id").alias("id")), "id", "left_anti")

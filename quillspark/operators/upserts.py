@@ -70,6 +70,14 @@ def latest_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Data
     return stored.join(newest.select(*keys), keys, "left_anti").unionByName(newest.select(*stored.columns))
 
 
+def point_updates(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The stored rows with the values that the newest change of their key tells; nulls of a change leave the old value."""
+    names = [c for c in changes.columns if c not in (*keys, "seq")]
+    newest = changes.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"new_{c}") for c in names])
+    joined = stored.join(newest, keys, "left")
+    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in names else c for c in stored.columns])
+
+
 def replace_children(stored: DataFrame, payloads: DataFrame, array: str, key: Column, parent: str = "report_id", keep: Column | None = None) -> DataFrame:
     """Children of the payloads' parents replaced by the arrays' items, the first of each ``key``.
 
@@ -88,6 +96,15 @@ def stock_key() -> Column:
     return F.coalesce(F.nullif(F.col("stock_code"), F.lit("")), F.concat(F.lit("_name_"), F.coalesce("company_name", F.lit(""))))
 
 
+def sector_key() -> Column:
+    return F.concat_ws("/", "sector", "mention_type")
+
+
+def told(name: str) -> Column:
+    """Neither null nor blank."""
+    return F.coalesce(F.trim(name), F.lit("")) != ""
+
+
 def transition(status: Column | str, event: Column | str) -> Column:
     """The state after an event: done, truncated and failed as told; a retry makes a failed one pending again."""
     s, e = (F.col(c) if isinstance(c, str) else c for c in (status, event))

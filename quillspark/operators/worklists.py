@@ -64,6 +64,11 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, keys: list[str]) -> DataFr
     return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
 
 
+def daily_cap(rows: DataFrame, per_day: int, done_today: int, order: list[str]) -> DataFrame:
+    """The first rows in ``order`` that a day's quota still allows."""
+    return rows.orderBy(*order).limit(max(0, per_day - done_today))
+
+
 def opinion_timeline(reports: DataFrame) -> DataFrame:
     return reports.filter(F.col("opinion").isNotNull()).orderBy("report_date", "id")
 
@@ -98,6 +103,8 @@ def with_metadata(reports: DataFrame, told: DataFrame, key: str = "id") -> DataF
 
     names = [c for c in told.columns if c in LONGEST and c in reports.columns]
     prices = [c for c in ("target_price", "prev_target_price") if c in told.columns and c in reports.columns]
-    joined = reports.alias("old").join(told.dropDuplicates([key]).alias("told"), F.col(f"old.{key}") == F.col(f"told.{key}"), "left")
+    # of several rows of metadata with one key the greatest one counts, column by column from the left
+    first = told.groupBy(key).agg(F.max(F.struct(*[c for c in told.columns if c != key])).alias("m")).select(key, "m.*")
+    joined = reports.alias("old").join(first.alias("told"), F.col(f"old.{key}") == F.col(f"told.{key}"), "left")
     priced = {c: F.when(F.col(f"told.{c}") > 0, F.col(f"told.{c}")) if dict(told.dtypes)[c] != "string" else F.nullif(t.parse_price(F.col(f"told.{c}")), F.lit(0)) for c in prices}
     return joined.select(*[F.coalesce(new(c), F.col(f"old.{c}")).alias(c) if c in names else F.coalesce(priced[c], F.col(f"old.{c}")).alias(c) if c in prices else F.col(f"old.{c}").alias(c) for c in reports.columns])

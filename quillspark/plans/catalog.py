@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import ingest, research, trading, worklists
+from quillspark.plans import ingest, research, trading, upkeep, worklists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (trading, research, ingest, worklists):
+for module in (research, trading, ingest, worklists, upkeep):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

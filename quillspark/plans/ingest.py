@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import messages as m
@@ -27,18 +27,20 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""SELECT doc_id, lower(regexp_replace(substr(text, 1, 200), '[^가-힣a-zA-Z0-9]', '', 'g')) AS title_normalized, (length(text) * 2 // 3)::BIGINT AS token_estimate,
+@query("""SELECT doc_id, lower(regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g')) AS text_normalized, (length(text) * 2 // 3)::BIGINT AS token_estimate,
   length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS digits, len(list_filter(regexp_split_to_array(text, '[\\s,.!?()\\[\\]]+'), lambda w: length(w) >= 2))::BIGINT AS n_tokens FROM documents""")
 def text_features(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "documents").select(
-        "doc_id", x.normalize_title(F.substring("text", 1, 200)).alias("title_normalized"), x.token_estimate("text").alias("token_estimate"), x.digit_count("text").cast("bigint").alias("digits"), F.size(x.tokens("text")).cast("bigint").alias("n_tokens")
+        "doc_id", x.normalize_title("text").alias("text_normalized"), x.token_estimate("text").alias("token_estimate"), x.digit_count("text").cast("bigint").alias("digits"), F.size(x.tokens("text")).cast("bigint").alias("n_tokens")
     )
 
 
-@query("""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{6})(?:$|[^0-9])', 1))) AS codes FROM documents WHERE regexp_matches(text, '(?:^|[^0-9])[0-9]{6}(?:$|[^0-9])')""")
+@query("""SELECT o_orderkey, list_sort(list_distinct(CASE WHEN o_orderkey % 1000 = 0 THEN [] WHEN o_orderkey % 2 = 0 THEN [lpad((o_orderkey % 1000000)::VARCHAR, 6, '0')] ELSE [lpad((o_orderkey % 1000000)::VARCHAR, 6, '0'), lpad(o_custkey::VARCHAR, 6, '0')] END)) AS codes FROM orders""")
 def six_digit_codes(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.table(spark, d, "documents").select("doc_id", F.array_sort(F.array_distinct(x.six_digit_codes("text"))).alias("codes"))
-    return rows.filter(F.size("codes") > 0)
+    """One or two codes of each order beside longer and shorter numbers."""
+    k, six = F.col("o_orderkey"), lambda c: F.lpad(c.cast("string"), 6, "0")
+    text = F.when(k % 1000 == 0, "1234567 and 12345").when(k % 2 == 0, F.concat(six(k % 1_000_000), F.lit("원, 1234567"))).otherwise(F.concat(F.lit("("), six(k % 1_000_000), F.lit(")A"), six(F.col("o_custkey")), F.lit(".12345")))
+    return t.table(spark, d, "orders").select("o_orderkey", F.array_sort(F.array_distinct(x.six_digit_codes(text))).alias("codes"))
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, 'href\\s*=\\s*["'']([^"'']+)["'']', 1))::BIGINT AS n_links, regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages""")
@@ -46,10 +48,12 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "pages").select("page_id", F.size(x.links("html")).cast("bigint").alias("n_links"), x.host("url").alias("host"))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN host = 't.me' THEN 'unsupported' WHEN host IN ('bit.ly', 'tinyurl.com', 'goo.gl', 'is.gd', 't.co', 'buly.kr', 'naver.me', 'stockinfo7.com', 'www.stockinfo7.com') THEN 'short_url'
-  WHEN contains(host, 'drive.google.com') THEN 'google_drive' ELSE 'direct' END AS kind FROM (SELECT regexp_extract(lower(url), '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages)) GROUP BY 1""")
+@query("""SELECT kind, count(*) AS n FROM (SELECT ['direct', 'short_url', 'google_drive', 'unsupported'][(page_id % 4 + 1)::INT] AS kind FROM pages) GROUP BY 1""")
 def url_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "pages").groupBy(x.url_kind("url").alias("kind")).agg(F.count("*").alias("n"))
+    """The pages' own addresses beside short, drive and chat addresses of them."""
+    others = [F.lit(f"https://{host}/x?page=") for host in ("bit.ly", "Drive.Google.com/file/d", "t.me")]
+    address = F.element_at(F.array(F.col("url"), *[F.concat(o, F.col("page_id").cast("string")) for o in others]), (F.col("page_id") % 4 + 1).cast("int"))
+    return t.table(spark, d, "pages").groupBy(x.url_kind(address).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey, c_name, lpad(c_custkey::VARCHAR, greatest(6, length(c_custkey::VARCHAR))::INT, '0') AS code FROM customer""")
@@ -66,20 +70,29 @@ def price_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Orders told as messages of three channels, and read back."""
+    """Orders told as messages of three channels, and read back: digests of two blocks, changed prices, chat links, continuations."""
     k = F.col("o_orderkey")
     channel = F.element_at(F.array(F.lit(m.DIGEST_CHANNEL), F.lit(m.COMPANY_CHANNEL), F.lit("@other")), (k % 3 + 1).cast("int"))
-    line = F.concat(F.lit("▶ 종목"), F.lit("가("), F.lpad((k % 1_000_000).cast("string"), 6, "0"), F.lit(") 실적 점검 - KB증권\n목표가: "), F.format_number(F.floor("o_totalprice"), 0), F.lit("원 (BUY)\nhttps://x.example/"), k.cast("string"), F.lit(".pdf"))
-    told = t.table(spark, d, "orders").select(channel.alias("channel"), k.alias("message_id"), line.alias("text"))
-    return m.parse_messages(told).select("channel", "message_id", "title", "stock_name", "stock_code", "broker", "opinion", "target_price", "pdf_url", "quality")
+    code, price = F.lpad((k % 1_000_000).cast("string"), 6, "0"), F.format_number(F.floor("o_totalprice"), 0)
+    head = F.concat(F.lit("▶ **종목"), F.lit("가("), code, F.lit(")** 실적 점검 - KB증권 홍길동\n목표가: "))
+    target = F.when(k % 2 == 0, F.concat(F.lit("1,000원 → "), price)).otherwise(price)
+    link = F.when(k % 5 == 0, "https://t.me/room/7").otherwise(F.concat(F.lit("https://x.example/"), k.cast("string"), F.lit(".pdf")))
+    block = F.concat(head, target, F.lit("원 (BUY)\n"), link)
+    text = F.when(k % 3 == 0, F.concat(F.lit("오늘의 리포트\n\n"), block, F.lit("\n\n▶ 반도체 산업 - 삼성증권 [링크]\nhttps://y.example/a.pdf"))).when(k % 6 == 5, F.concat(F.lit("(Continuing) "), block)).otherwise(block)
+    told = t.table(spark, d, "orders").select(channel.alias("channel"), k.alias("message_id"), text.alias("text"))
+    names = ["channel", "message_id", "block_no", "title", "stock_name", "stock_code", "broker", "analyst", "opinion", "prev_target_price", "target_price", "pdf_url", "quality"]
+    return m.parse_messages(told).select(*names, F.element_at("chat_links", 1).alias("chat_link"))
 
 
 ORACLE_SQL["parsed_messages"] = """
-SELECT ['@repostory123', '@companyreport', '@other'][(o_orderkey % 3 + 1)::INT] AS channel, o_orderkey AS message_id,
-       CASE WHEN o_orderkey % 3 = 0 THEN '실적 점검' ELSE '▶ 종목가(' || lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') || ') 실적 점검 - KB증권' END AS title,
-       '종목가' AS stock_name, lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS stock_code, 'KB증권' AS broker, '매수' AS opinion, floor(o_totalprice)::BIGINT AS target_price,
-       'https://x.example/' || o_orderkey || '.pdf' AS pdf_url, CASE WHEN o_orderkey % 3 = 0 THEN 'poor' ELSE 'good' END AS quality
-FROM orders"""
+WITH told AS (
+  SELECT o_orderkey AS k, lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS code, floor(o_totalprice)::BIGINT AS price, CASE WHEN o_orderkey % 5 <> 0 THEN 'https://x.example/' || o_orderkey || '.pdf' END AS url,
+         CASE WHEN o_orderkey % 5 = 0 THEN 'https://t.me/room/7' END AS chat_link FROM orders)
+SELECT '@repostory123' AS channel, k AS message_id, 0 AS block_no, '실적 점검' AS title, '종목가' AS stock_name, code AS stock_code, 'KB증권' AS broker, '홍길동' AS analyst, '매수' AS opinion,
+       CASE WHEN k % 2 = 0 THEN 1000 END::BIGINT AS prev_target_price, price AS target_price, url AS pdf_url, 'poor' AS quality, chat_link FROM told WHERE k % 3 = 0
+UNION ALL SELECT '@repostory123', k, 1, '반도체 산업', NULL, NULL, '삼성증권', NULL, NULL, NULL, NULL, 'https://y.example/a.pdf', 'partial', NULL FROM told WHERE k % 3 = 0
+UNION ALL SELECT CASE WHEN k % 3 = 1 THEN '@companyreport' ELSE '@other' END, k, 0, '▶ **종목가(' || code || ')** 실적 점검 - KB증권 홍길동', '종목가', code, 'KB증권', NULL, '매수', NULL,
+       CASE WHEN k % 2 = 0 THEN 1000 ELSE price END, url, 'good', chat_link FROM told WHERE k % 3 <> 0 AND k % 6 <> 5"""
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN s >= 0.6 THEN 'very positive' WHEN s >= 0.2 THEN 'positive' WHEN s > -0.2 THEN 'neutral' WHEN s > -0.6 THEN 'negative' ELSE 'very negative' END AS label FROM (SELECT ((props::JSON ->> '$.k')::INT - 50) / 50.0::DOUBLE AS s FROM events)) GROUP BY 1""")
@@ -95,20 +108,22 @@ def model_costs(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "events").select("event_id", model_cost(F.lit("m"), k * 10, k, k, None, k % 2 == 0, prices).alias("cost"))
 
 
-@query(f"""{ALL_SQL}, stored AS (SELECT * FROM reports WHERE id % 2 = 0), incoming AS (SELECT id, broker, report_date, title, CASE WHEN id % 3 = 0 THEN NULL ELSE '매도' END AS opinion, CASE WHEN id % 9 = 0 THEN NULL WHEN id % 3 = 0 THEN NULL ELSE pdf_url END AS pdf_url, target_price + 1 AS target_price FROM reports WHERE id % 4 IN (0, 1))
+@query(f"""{ALL_SQL}, stored AS (SELECT * FROM reports WHERE pipeline_status IN ('O', 'P')), incoming AS (
+  SELECT id, CASE WHEN id % 3 <> 0 THEN '매도' END AS opinion, CASE WHEN id % 3 <> 0 THEN pdf_url END AS pdf_url, target_price + 1 AS target_price FROM reports WHERE pipeline_status IN ('F', 'P'))
 SELECT coalesce(s.id, i.id) AS id, CASE WHEN i.id IS NULL THEN 'kept' WHEN s.id IS NULL THEN 'inserted' WHEN i.opinion IS NOT NULL OR i.pdf_url IS NOT NULL THEN 'updated' ELSE 'skipped' END AS action,
   CASE WHEN s.id IS NULL OR i.opinion IS NOT NULL OR i.pdf_url IS NOT NULL THEN i.opinion ELSE s.opinion END AS opinion, CASE WHEN s.id IS NULL OR i.opinion IS NOT NULL OR i.pdf_url IS NOT NULL THEN i.target_price ELSE s.target_price END AS target_price
 FROM stored s FULL JOIN incoming i ON s.id = i.id""")
 def upsert_conditional(spark: SparkSession, d: str) -> DataFrame:
+    """All reports: open ones are stored, filled ones come in, and partly filled ones are stored and come in again."""
     reports = t.reports(spark, d).withColumn("title_normalized", x.normalize_title("title"))
-    stored = reports.filter("id % 2 = 0").select("id", "broker", "report_date", "title_normalized", "opinion", "pdf_url", "target_price")
-    incoming = reports.filter("id % 4 in (0, 1)").select(
+    stored = reports.filter(F.col("pipeline_status").isin("O", "P")).select("id", "broker", "report_date", "title_normalized", "opinion", "pdf_url", "target_price")
+    incoming = reports.filter(F.col("pipeline_status").isin("F", "P")).select(
         "id", "broker", "report_date", "title_normalized", F.when(F.col("id") % 3 != 0, "매도").alias("opinion"), F.when(F.col("id") % 3 != 0, F.col("pdf_url")).alias("pdf_url"), (F.col("target_price") + 1).alias("target_price"), F.col("id").alias("seq")
     )
     return u.upsert_reports(stored, incoming, ["broker", "report_date", "title_normalized"], ["opinion", "pdf_url", "target_price"]).select("id", "action", "opinion", "target_price")
 
 
-@query("SELECT l_orderkey, min((l_linenumber, l_partkey, l_suppkey))[1] AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1".replace("min((l_linenumber, l_partkey, l_suppkey))[1]", "min(l_linenumber)"))
+@query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     stored = t.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))
     incoming = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("seq"))
@@ -122,14 +137,43 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
     return u.latest_wins(stored, incoming, ["c_custkey"])
 
 
-@query("""WITH incoming AS (SELECT l_orderkey AS report_id, p_name AS company_name, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE lpad(l_partkey::VARCHAR, 6, '0') END AS stock_code FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 2 = 0)
-SELECT DISTINCT report_id, coalesce(nullif(stock_code, ''), '_name_' || company_name) AS child_key FROM incoming UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey NOT IN (SELECT report_id FROM incoming)""")
+#: Orders that are filled come with new items; all others keep the child that is stored.
+ITEMS_SQL = "items AS (SELECT l_orderkey AS report_id, p.* , l_partkey FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')"
+
+
+def order_payloads(spark: SparkSession, d: str, *items: Column) -> tuple[DataFrame, DataFrame]:
+    """(report_id, child_key) stored for every order, and (report_id, items array) of the filled ones."""
+    orders = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderstatus").alias("status"))
+    parts = t.table(spark, d, "part")
+    filled = t.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "report_id").join(orders.filter("status = 'F'"), "report_id").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(*items).alias("item"))))
+    return orders.select("report_id", F.lit("old").alias("child_key")), filled.groupBy("report_id").agg(F.transform(ordered, lambda i: i["item"]).alias("items"))
+
+
+def _children_sql(key: str, where: str = "true") -> str:
+    return f"WITH {ITEMS_SQL} SELECT DISTINCT report_id, {key} AS child_key FROM items WHERE {where} UNION ALL SELECT o_orderkey, 'old' FROM orders WHERE o_orderkey NOT IN (SELECT report_id FROM items)"
+
+
+@query(_children_sql("CASE WHEN l_partkey % 3 = 0 THEN '_name_' || p_name ELSE lpad(l_partkey::VARCHAR, 6, '0') END"))
 def replace_children(spark: SparkSession, d: str) -> DataFrame:
-    stored = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.lit("old").alias("child_key"))
-    items = t.table(spark, d, "lineitem").filter("l_orderkey % 2 = 0").join(t.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    """Stock mentions by code, or by name where there is none."""
     code = F.when(F.col("l_partkey") % 3 == 0, "").otherwise(F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
-    payloads = items.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.collect_list(F.struct(F.col("p_name").alias("company_name"), code.alias("stock_code"))).alias("mentions"))
-    return u.replace_children(stored, payloads, "mentions", u.stock_key())
+    stored, payloads = order_payloads(spark, d, F.col("p_name").alias("company_name"), code.alias("stock_code"))
+    return u.replace_children(stored, payloads, "items", u.stock_key())
+
+
+@query(_children_sql("p_type || '/' || CASE WHEN p_size % 2 = 0 THEN 'primary' ELSE 'related' END", "p_size <> 7"))
+def replace_sectors(spark: SparkSession, d: str) -> DataFrame:
+    """Sector mentions by sector and type; blank sectors are dropped."""
+    stored, payloads = order_payloads(spark, d, F.when(F.col("p_size") != 7, F.col("p_type")).otherwise(" ").alias("sector"), F.when(F.col("p_size") % 2 == 0, "primary").otherwise("related").alias("mention_type"))
+    return u.replace_children(stored, payloads, "items", u.sector_key(), keep=u.told("sector"))
+
+
+@query(_children_sql("p_brand"))
+def replace_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords, the first of each."""
+    stored, payloads = order_payloads(spark, d, F.col("p_brand").alias("keyword"), F.col("p_type").alias("keyword_type"))
+    return u.replace_children(stored, payloads, "items", F.col("keyword"), keep=u.told("keyword"))
 
 
 @query(f"""{ALL_SQL} SELECT id, 'title' AS field, title AS old, lower(regexp_replace(title, '[^가-힣a-zA-Z0-9]', '', 'g')) AS new FROM reports WHERE title <> lower(regexp_replace(title, '[^가-힣a-zA-Z0-9]', '', 'g'))""")
@@ -145,7 +189,17 @@ def date_classes(spark: SparkSession, d: str) -> DataFrame:
     return g.date_repair(rows).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query()
+NUMBERS_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(coalesce({}, ''), '\\b[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|\\b[0-9]+\\.[0-9]+|\\b[0-9]{{2,}}\\b'), lambda n: replace(n, ',', '')), lambda n: length(replace(n, '.', '')) >= 2))"
+
+
+@query(f"""WITH turns AS (
+  SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY text) FILTER (role = 'assistant'), '') AS analysis, coalesce(string_agg(text, ' ' ORDER BY text) FILTER (role IS DISTINCT FROM 'assistant'), '') AS charts FROM conversations GROUP BY 1),
+numbers AS (SELECT coalesce(lang, 'unknown') AS report_type, {NUMBERS_SQL.format("analysis")} AS a, {NUMBERS_SQL.format("text")} AS b, {NUMBERS_SQL.format("charts")} AS c FROM documents LEFT JOIN turns ON conv_id = doc_id),
+counted AS (
+  SELECT report_type, len(a) AS n, len(list_filter(a, lambda x: list_contains(b, x) AND NOT list_contains(c, x))) AS md, len(list_filter(a, lambda x: list_contains(c, x) AND NOT list_contains(b, x))) AS chart,
+         len(list_filter(a, lambda x: list_contains(b, x) AND list_contains(c, x))) AS two, len(list_filter(a, lambda x: NOT list_contains(b, x) AND NOT list_contains(c, x))) AS none FROM numbers)
+SELECT report_type, count(*) AS n_reports, sum(n)::BIGINT AS layer2_total, coalesce(round(sum(md) * 100 / nullif(sum(n), 0), 2), 0) AS md_only_pct, coalesce(round(sum(chart) * 100 / nullif(sum(n), 0), 2), 0) AS chart_only_pct,
+       coalesce(round(sum(two) * 100 / nullif(sum(n), 0), 2), 0) AS both_pct, coalesce(round(sum(none) * 100 / nullif(sum(n), 0), 2), 0) AS neither_pct FROM counted GROUP BY 1""")
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of the assistant's turns that stand in the whole document or in the other turns of its conversation."""
     told = lambda whose: F.array_join(F.array_sort(F.collect_list(F.when(whose, F.col("text")))), " ")
@@ -161,9 +215,10 @@ def stream_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return ingest.run_to_files(rows, "complete")
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rows = ingest.first_seen(ingest.parquet_stream(spark, d, "events"), ["event_id"]).select("event_id", "user_id")
+    """The kinds of events that each user has had, each told once."""
+    rows = ingest.first_seen(ingest.parquet_stream(spark, d, "events"), ["user_id", "event_type"]).select("user_id", "event_type")
     return ingest.run_to_files(rows, "append")
 
 

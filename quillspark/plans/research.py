@@ -210,10 +210,10 @@ def session_counts(spark: SparkSession, d: str) -> DataFrame:
     return dash.session_list(sessions, messages)
 
 
-@query("SELECT conv_id AS session_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
+@query("SELECT conv_id AS session_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 20")
 def last_history(spark: SparkSession, d: str) -> DataFrame:
     messages = t.table(spark, d, "conversations").withColumnRenamed("conv_id", "session_id")
-    return dash.last_messages(messages, 5).select("session_id", "turn", "role")
+    return dash.last_messages(messages).select("session_id", "turn", "role")
 
 
 @query(f"{ALL_SQL}, counted AS (SELECT broker, count(*) AS n FROM reports GROUP BY 1) SELECT broker, n, round(n / (SELECT count(*) FROM reports) * 100, 2) AS share FROM counted")

@@ -85,8 +85,8 @@ def reset_failures(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("pipeline_status").agg(F.count_if("reset").alias("n_reset"), F.count_if("pdf_download_failed").alias("n_failed"))
 
 
-@query("""SELECT l_partkey AS symbol, coalesce(sum(CASE WHEN l_returnflag <> 'R' THEN round(l_extendedprice, 2) END), 0)::DOUBLE AS buy_amount,
-  coalesce(sum(CASE WHEN l_returnflag = 'R' THEN round(l_extendedprice, 2) END), 0)::DOUBLE AS sell_amount FROM lineitem GROUP BY 1""".replace("round(l_extendedprice, 2)", "l_extendedprice::DECIMAL(14, 2)"))
+@query("""SELECT l_partkey AS symbol, coalesce(sum(CASE WHEN l_returnflag <> 'R' THEN l_extendedprice::DECIMAL(14, 2) END), 0)::DOUBLE AS buy_amount,
+  coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_extendedprice::DECIMAL(14, 2) END), 0)::DOUBLE AS sell_amount FROM lineitem GROUP BY 1""")
 def symbol_totals(spark: SparkSession, d: str) -> DataFrame:
     return w.symbol_totals(t.trades(spark, d)).select("symbol", F.col("buy_amount").cast("double"), F.col("sell_amount").cast("double"))
 
@@ -101,5 +101,5 @@ def run_counters(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{ALL_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN '매도' ELSE opinion END AS opinion, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 85000 ELSE target_price END AS target_price FROM reports""")
 def with_metadata(spark: SparkSession, d: str) -> DataFrame:
     reports = t.reports(spark, d)
-    told = reports.filter("id % 2 = 0").select("id", F.lit("매도").alias("opinion"), F.when(F.col("id") % 3 != 0, "8.5만").otherwise("").alias("target_price"))
+    told = reports.select("id", F.when(F.col("id") % 2 == 0, "매도").otherwise("").alias("opinion"), F.when((F.col("id") % 2 == 0) & (F.col("id") % 3 != 0), "8.5만").otherwise("").alias("target_price"))
     return w.with_metadata(reports, told).select("id", "opinion", "target_price")

@@ -60,6 +60,11 @@ def bars(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def bars_between(bars: DataFrame, symbol, first: str, last: str) -> DataFrame:
+    """The bars of one symbol from one day to another, in order."""
+    return bars.filter((F.col("symbol") == symbol) & F.col("day").between(first, last)).orderBy("day")
+
+
 BARS_SQL = """
 bars AS (
   SELECT l_suppkey AS symbol, l_shipdate::DATE AS day,
@@ -94,8 +99,8 @@ reports AS (
 
 
 def analyses(spark: SparkSession, directory: str) -> DataFrame:
-    """(report_id, document): a JSON analysis of every third report; the sentiment follows from its price."""
-    rows = reports(spark, directory).filter("id % 3 = 0")
+    """(report_id, document): a JSON analysis of every report whose status says so; the sentiment follows from its price."""
+    rows = reports(spark, directory).filter("pipeline_status = 'F'")
     sentiment = (F.pmod(F.coalesce("target_price", F.col("id")), F.lit(201)) - 100).cast("string")
     document = F.concat(F.lit('{"thesis": {"summary": "s'), F.col("id").cast("string"), F.lit('", "sentiment": '), sentiment, F.lit('}, "meta": {"title": "'), F.when(F.col("id") % 2 == 0, F.concat(F.lit("Told "), F.col("id").cast("string"))).otherwise(F.lit("  ")), F.lit('"}}'))
     return rows.select(F.col("id").alias("report_id"), document.alias("document"))
@@ -103,7 +108,7 @@ def analyses(spark: SparkSession, directory: str) -> DataFrame:
 
 ANALYSES_SQL = """
 analyses AS (
-  SELECT id AS report_id, (coalesce(target_price, id) % 201 - 100)::BIGINT AS sentiment, CASE WHEN id % 2 = 0 THEN 'Told ' || id END AS told_title FROM reports WHERE id % 3 = 0)"""
+  SELECT id AS report_id, (coalesce(target_price, id) % 201 - 100)::BIGINT AS sentiment, CASE WHEN id % 2 = 0 THEN 'Told ' || id END AS told_title FROM reports WHERE pipeline_status = 'F')"""
 
 
 def stock_mentions(spark: SparkSession, directory: str) -> DataFrame:

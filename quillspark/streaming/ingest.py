@@ -1,8 +1,9 @@
 """Message ingest and event statistics as Structured Streaming jobs.
 
-A batch is written under its own number, replacing what a failed attempt left there, and known ids are dropped, so that
-a batch that runs twice has the effect of one. Bounded replay uses the same jobs with ``availableNow``; its results are
-Parquet tables in the shared folder, like its checkpoints, and its state is in RocksDB, on the executors' disks.
+A batch is written under its own number, replacing what a failed attempt left there, and messages that earlier batches
+hold are dropped, so that a batch that runs twice, or a message that comes again, has the effect of one. Reports are
+upserted inside their batch. Bounded replay uses the same jobs with ``availableNow``; its results are Parquet tables in
+the shared folder, like its checkpoints, and its state is in RocksDB, on the executors' disks.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.messages import parse_messages
+from quillspark.operators.upserts import REPORT_KEY, REPORT_UPDATES, upsert_reports
+
+#: Parts of the stored reports; a batch rewrites those that it touches.
+REPORT_PARTS = 64
 
 #: Keys seen and open sessions can exceed the memory of executors; that of RocksDB is bounded, for all tasks of an executor.
 STATE = {
@@ -25,6 +30,11 @@ STATE = {
 }
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
@@ -73,27 +83,76 @@ def branch(messages: DataFrame, classify: Callable[[DataFrame], DataFrame] | Non
     return kinds.withColumn("branch", F.when(F.col("kind") != "broker_report", "skip").when(F.col("quality") == "poor", "pending").otherwise("report"))
 
 
-def start_ingest(messages: DataFrame, target: str, checkpoint: str, active: Callable[[SparkSession], DataFrame] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Branch each micro-batch and write it, partitioned by branch, under its batch number.
+def unseen(messages: DataFrame, target: str, number: int) -> DataFrame:
+    """The messages of a batch, each once, that no earlier batch under ``target`` holds.
 
-    ``active`` reads the channels that count; it is read anew for every batch.
+    Only stored ids between the least and the greatest of the batch are read, two columns of them.
+    """
+    spark = messages.sparkSession
+    rows = messages.dropDuplicates(["channel", "message_id"])
+    span = rows.agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).first()
+    if span["low"] is None or not exists(spark, target):
+        return rows
+    stored = spark.read.parquet(target).filter((F.col("batch") < number) & F.col("message_id").between(span["low"], span["high"]))
+    return rows.join(stored.select("channel", "message_id"), ["channel", "message_id"], "left_anti")
+
+
+def report_rows(parsed: DataFrame) -> DataFrame:
+    """Parsed messages as incoming reports, in the order of their channel's messages; the day is that of ``posted_at``, if told."""
+    day = F.to_date("posted_at") if "posted_at" in parsed.columns else F.lit(None).cast("date")
+    return parsed.select("broker", day.alias("report_date"), "analyst", "stock_name", "title_normalized", "title", "stock_code", "pdf_url", "opinion", "target_price", F.col("body").alias("raw_text"), F.col("channel").alias("source_channel"), F.struct("message_id", "block_no", "channel").alias("seq"))
+
+
+def stored_reports(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The reports as the last batch left them, or as they were before one: of each part the newest version."""
+    versions = spark.read.parquet(path)
+    if before is not None:
+        versions = versions.filter(F.col("batch") < before)
+    newest = versions.groupBy("part").agg(F.max("batch").alias("batch"))
+    return versions.join(F.broadcast(newest), ["part", "batch"], "left_semi").drop("batch")  # REPORT_PARTS rows
+
+
+def upsert_batch(parsed: DataFrame, path: str, number: int) -> None:
+    """Upsert a batch's reports: the parts of the stored ones that it touches are written anew under its number."""
+    spark = parsed.sparkSession
+    part = F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in REPORT_KEY]), F.lit(REPORT_PARTS)).cast("int")
+    incoming = report_rows(parsed).withColumn("part", part)
+    known = exists(spark, path) and stored_reports(spark, path, number)
+    touched = F.broadcast(incoming.select("part").distinct())
+    names = [c for c in incoming.columns if c != "seq"]
+    stored = known.select(*names).join(touched, "part", "left_semi") if known else spark.createDataFrame([], incoming.select(*names).schema)
+    after = upsert_reports(stored, incoming, [*REPORT_KEY, "part"], REPORT_UPDATES).drop("action")
+    after.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+
+
+def start_ingest(messages: DataFrame, target: str, checkpoint: str, active: Callable[[SparkSession], DataFrame] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None, reports: str | None = None) -> StreamingQuery:
+    """Branch each micro-batch and write it, partitioned by branch, under its batch number; upsert its reports in ``reports``.
+
+    ``active`` reads the channels that count; it is read anew for every batch. A new run of the job goes on with the
+    numbers of its checkpoint; another checkpoint over the same target would start again from 0.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(["channel", "message_id"])
+        rows = unseen(batch, target, number)
         if active is not None:
             rows = rows.join(active(spark), "channel", "left_semi")
         branch(rows, classify).write.mode("overwrite").partitionBy("branch").parquet(f"{target}/batch={number}")
+        if reports is not None:
+            written = spark.read.schema(branch(rows, classify).schema).parquet(f"{target}/batch={number}")
+            upsert_batch(written.filter("branch = 'report'"), reports, number)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is absent and all runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-"))
     return context.getCheckpointDir()
 
 

@@ -85,7 +85,7 @@ def test_streams_end_in_files(spark, tmp_path):
     events.coalesce(1).write.parquet(str(tmp_path / "part"))
     next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "events.parquet")
     found = plans.stream_dedup(spark, str(tmp_path))
-    assert found.inputFiles() and found.columns == ["event_id", "user_id"] and sorted(r["event_id"] for r in found.collect()) == list(range(40))
+    assert found.inputFiles() and sorted(map(tuple, found.collect())) == [(k, "view") for k in range(3)]
     days = plans.stream_daily_counts(spark, str(tmp_path))
     assert days.inputFiles() and sorted((r["day"].toordinal() - 738886, r["n"], r["value"]) for r in days.collect()) == [(k, 2, 3.0) if k < 10 else (k, 1, 1.5) for k in range(40)]
     assert plans.stream_sessions(spark, str(tmp_path)).inputFiles()
@@ -97,7 +97,7 @@ def test_streams_read_all_part_files(spark, tmp_path):
     events = spark.range(480).selectExpr("id % 240 AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast((id % 240) * 7 % 240 AS int)) AS ts", "id % 240 % 5 AS user_id", "'view' AS event_type", "1.5D AS value")
     events.repartition(120).write.parquet(str(tmp_path / "events.parquet"))
     assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 100
-    assert sorted(map(tuple, plans.stream_dedup(spark, str(tmp_path)).collect())) == [(k, k % 5) for k in range(240)]
+    assert sorted(map(tuple, plans.stream_dedup(spark, str(tmp_path)).collect())) == [(k, "view") for k in range(5)]
     days = plans.stream_daily_counts(spark, str(tmp_path)).collect()
     assert len(days) == 240 and {(r["n"], r["value"]) for r in days} == {(2, 3.0)}
     sessions = plans.stream_sessions(spark, str(tmp_path)).collect()
