@@ -103,6 +103,25 @@ def sanitized(payloads: DataFrame) -> DataFrame:
     )
 
 
+def stored_documents(clean: DataFrame) -> DataFrame:
+    """(report_id, document) of the payloads that were not rejected: JSON of the fields that are kept.
+
+    A column ``truncated``, if there is one, overrides the quality that the payload told.
+    """
+    cut = F.coalesce(F.col("truncated"), F.lit(False)) if "truncated" in clean.columns else F.lit(False)
+    thesis = F.struct(F.col("thesis_summary").alias("summary"), F.col("thesis_sentiment").alias("sentiment"))
+    quality = F.when(cut, "truncated").otherwise(F.col("extraction_quality"))
+    kept = F.struct("report_category", "category_confidence", thesis.alias("thesis"), "stock_mentions", "sector_mentions", "keywords", quality.alias("extraction_quality"))
+    return clean.filter("reject_reason is null").select("report_id", F.to_json(kept).alias("document"))
+
+
+def imported_results(lines: DataFrame) -> DataFrame:
+    """(custom_id, payload, truncated) of JSON lines -> checked payloads by report, the last line of each report in order of ``line``."""
+    known = lines.withColumn("report_id", report_id_of("custom_id")).filter("report_id is not null")
+    newest = known.groupBy("report_id").agg(F.max_by(F.struct("payload", "truncated"), "line").alias("n")).select("report_id", "n.*")
+    return sanitized(newest.select("report_id", "payload")).join(newest.select("report_id", "truncated"), "report_id")
+
+
 def report_id_of(custom_id: Column | str) -> Column:
     """The number in ``report-123``."""
     return F.regexp_extract(F.col(custom_id) if isinstance(custom_id, str) else custom_id, "^report-([0-9]+)$", 1).try_cast("bigint")

@@ -28,10 +28,11 @@ def _days(keys: list[str]):
     return W.partitionBy(*keys).orderBy("day")
 
 
-def _full(value: Column, size: int, keys: list[str], counted: Column | str = "day") -> Column:
-    """``value`` over the last ``size`` rows, null while one is missing."""
+def _full(value: Column, size: int, keys: list[str], counted: str | None = None) -> Column:
+    """``value`` over the last ``size`` rows, null while one is missing; a ``counted`` column must be told in all of them."""
     frame = _days(keys).rowsBetween(1 - size, 0)
-    return F.when(F.count(counted).over(frame) == size, value.over(frame))
+    full = F.row_number().over(_days(keys)) >= size if counted is None else F.count(counted).over(frame) == size
+    return F.when(full, value.over(frame))
 
 
 def rounded(value: Column, places: int) -> Column:

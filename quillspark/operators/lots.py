@@ -98,8 +98,15 @@ def realized_profit(pairs: DataFrame) -> DataFrame:
     )
 
 
+def rebuilt_pairs(stored: DataFrame, trades: DataFrame, changed: DataFrame) -> DataFrame:
+    """Stored pairs with those of the changed symbols deleted and matched anew."""
+    symbols = changed.select("symbol").distinct()
+    return stored.join(symbols, "symbol", "left_anti").unionByName(match_lots(trades.join(symbols, "symbol", "left_semi")).select(*stored.columns))
+
+
 def matched_counts(trades: DataFrame) -> DataFrame:
-    """(symbol, n_pairs) of every symbol, also of those without a pair."""
+    """(symbol, n_pairs) of every symbol, also of those without a pair; -1 where a trade has no price, time or quantity."""
     counts = match_lots(trades).groupBy("symbol").agg(F.count("*").alias("n"))
-    symbols = trades.filter(F.col("symbol").isNotNull()).select("symbol").distinct()
-    return symbols.join(counts, "symbol", "left").select("symbol", F.coalesce("n", F.lit(0)).alias("n_pairs"))
+    broken = F.col("price").isNull() | F.col("traded_at").isNull() | F.col("quantity").isNull()
+    symbols = trades.filter(F.col("symbol").isNotNull()).groupBy("symbol").agg(F.max(broken).alias("broken"))
+    return symbols.join(counts, "symbol", "left").select("symbol", F.when(F.col("broken"), -1).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("n_pairs"))

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 @query("""SELECT doc_id, lower(regexp_replace(text, '[^가-힣a-zA-Z0-9]', '', 'g')) AS text_normalized, (length(text) * 2 // 3)::BIGINT AS token_estimate,
   length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS digits, len(list_filter(regexp_split_to_array(text, '[\\s,.!?()\\[\\]]+'), lambda w: length(w) >= 2))::BIGINT AS n_tokens FROM documents""")
 def text_features(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "documents").select(
+    return t.spread(t.table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", x.normalize_title("text").alias("text_normalized"), x.token_estimate("text").alias("token_estimate"), x.digit_count("text").cast("bigint").alias("digits"), F.size(x.tokens("text")).cast("bigint").alias("n_tokens")
     )
 
@@ -79,7 +79,7 @@ def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
     link = F.when(k % 5 == 0, "https://t.me/room/7").otherwise(F.concat(F.lit("https://x.example/"), k.cast("string"), F.lit(".pdf")))
     block = F.concat(head, target, F.lit("원 (BUY)\n"), link)
     text = F.when(k % 3 == 0, F.concat(F.lit("오늘의 리포트\n\n"), block, F.lit("\n\n▶ 반도체 산업 - 삼성증권 [링크]\nhttps://y.example/a.pdf"))).when(k % 6 == 5, F.concat(F.lit("(Continuing) "), block)).otherwise(block)
-    told = t.table(spark, d, "orders").select(channel.alias("channel"), k.alias("message_id"), text.alias("text"))
+    told = t.spread(t.table(spark, d, "orders").select("o_orderkey", "o_totalprice")).select(channel.alias("channel"), k.alias("message_id"), text.alias("text"))
     names = ["channel", "message_id", "block_no", "title", "stock_name", "stock_code", "broker", "analyst", "opinion", "prev_target_price", "target_price", "pdf_url", "quality"]
     return m.parse_messages(told).select(*names, F.element_at("chat_links", 1).alias("chat_link"))
 

@@ -8,10 +8,11 @@ from pyspark.sql import types as T
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The lines that parse; broken ones are skipped."""
+    """The lines that parse; broken and blank ones are skipped."""
     marked = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
-    rows = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return rows.filter(F.col("_broken").isNull()).drop("_broken")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("line"))
+    return rows.filter("line is not null and line._broken is null").select(*[F.col("line")[c].alias(c) for c in schema.names])
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
@@ -33,6 +34,33 @@ def write_classes(rows: DataFrame, path: str, column: str = "class") -> None:
     rows.write.mode("overwrite").option("header", True).partitionBy(column).csv(path)
 
 
+def with_byte_order_mark(rows: DataFrame) -> DataFrame:
+    """The rows with a mark before the first column's name, so that spreadsheets read the CSV as UTF-8."""
+    return rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])
+
+
+def write_classes_for_spreadsheets(rows: DataFrame, path: str, column: str = "class") -> None:
+    """One folder of CSV for each class; every file begins with a byte-order mark."""
+    first = next(c for c in rows.columns if c != column)
+    write_classes(with_byte_order_mark(rows.select(first, *[c for c in rows.columns if c != first])), path, column)
+
+
+def with_existing_file(rows: DataFrame, folder: str, column: str = "path") -> DataFrame:
+    """The rows whose file, a path under ``folder``, is there. Only the listing is read."""
+    found = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return rows.join(found.select(F.element_at(F.split("path", folder.rstrip("/").replace("file:", "") + "/", 2), 2).alias(column)), column, "left_semi")
+
+
+def master_data(spark: SparkSession, path: str, schema: str, fallback: list[tuple]) -> DataFrame:
+    """A table of master data, or the few literal rows where it has not been loaded yet or is empty."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        rows = spark.read.schema(schema).parquet(path)
+        if not rows.isEmpty():
+            return rows
+    return spark.createDataFrame(fallback, schema)
+
+
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

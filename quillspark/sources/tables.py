@@ -15,6 +15,12 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores dealt over all cores, for work on each row that costs more than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def trades(spark: SparkSession, directory: str) -> DataFrame:
     """Line items as trades: returned ones are sales, the part is the symbol."""
     rows = table(spark, directory, "lineitem")

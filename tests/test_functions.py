@@ -10,6 +10,7 @@ from quillspark.functions import dates as d
 from quillspark.functions import messages as m
 from quillspark.functions import money, payloads
 from quillspark.functions import text as t
+from quillspark.operators import upserts
 
 L = F.lit
 CASES = [
@@ -44,6 +45,25 @@ CASES = [
     (lambda: d.week_end(L("2024-01-06").cast("date")), date(2024, 1, 12)),
     (lambda: d.last_business_day(L("2024-01-07").cast("date")), date(2024, 1, 5)),
     (lambda: payloads.report_id_of(L("report-12")), 12),
+    (lambda: money.unit_interval(L("1.5"), 0.5), 1.0),
+    (lambda: money.unit_interval(L("x"), 0.5), 0.5),
+    (lambda: d.day_gap(L("2024-01-06").cast("date"), L("2024-01-09").cast("date")), 3),
+    (lambda: d.preferred_day(L(None).cast("date"), L("2024-01-09")), date(2024, 1, 9)),
+    (lambda: d.preferred_day(L("2024-01-08").cast("date"), L("2024-01-09")), date(2024, 1, 8)),
+    (lambda: t.cut_to(L("abcdef"), 3), "abc"),
+    (lambda: t.archive_path(L("2024-03-05").cast("date"), L("KB증권"), L("삼성 전자"), L("x"), L("a/b")), "2024/03/20240305_KB증권_삼성_전자_a_b.pdf"),
+    (lambda: t.archive_path(L("2024-03-05").cast("date"), L(" "), L(None), L("반도체"), L("t")), "2024/03/20240305_Unknown_산업_반도체_t.pdf"),
+    (lambda: t.pdf_link(L('<a href="https://docs.google.com/viewer?url=https%3A%2F%2Fx.com%2Fa.pdf">')), "https://x.com/a.pdf"),
+    (lambda: t.pdf_link(L("/stock/report/url/77")), t.REPORT_PAGE + "77"),
+    (lambda: t.review_link(L("@room"), L(5)), "https://t.me/room/5"),
+    (lambda: F.to_json(t.fenced_json(L('so:\n```json\n{"a": 1}\n```'))), '{"a":1}'),
+    (lambda: F.to_json(t.fenced_json(L('so {"a": 2} it is'))), '{"a":2}'),
+    (lambda: t.fenced_json(L("none")).cast("string"), None),
+    (lambda: t.page_content(L("text"), F.array(L("c1"), L("c2"))), "## Body\ntext\n\n## Charts\nc1\n\nc2"),
+    (lambda: t.page_content(L(" "), F.array().cast("array<string>")), ""),
+    (lambda: t.failure_detail(F.array(L("a"), L("b"))), "a | b"),
+    (lambda: upserts.merged_value(L(" "), L("old")), "old"),
+    (lambda: upserts.merged_value(L("new"), L("old")), "new"),
 ]
 
 

@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import json
 import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions import payloads
+from quillspark.operators import grounding, page_selection, worklists
 from quillspark.operators import upserts as u
 from quillspark.plans import ingest as plans
 from quillspark.sources import broker_csv, files
@@ -79,6 +82,97 @@ def test_ingest_stream_is_idempotent(spark, tmp_path):
     assert {r["branch"]: r["n"] for r in got} == {"report": 1, "pending": 1}
 
 
+def test_later_batches_drop_known_messages_and_upsert_reports(spark, tmp_path):
+    schema = "channel string, message_id long, text string, posted_at timestamp_ntz"
+    source, target, reports = (str(tmp_path / n) for n in ("in", "out", "reports"))
+    first = "LG(003550) title here 키움증권 목표가 90,000원 HOLD"
+    batches = [
+        [("@c", 1, first), ("@c", 1, first), ("@c", 2, "LG(003550) other title 키움증권 목표가 1,000원"), ("@c", 4, "hm")],
+        [("@c", 1, first), ("@c", 4, "hm"), ("@d", 1, "SK(034730) a third title 하나증권 매수"), ("@c", 9, "LG(003550) title here 키움증권 목표가 95,000원 BUY"), ("@c", 10, "LG(003550) other title 키움증권 목표가 2,000원")],
+        [],
+        [("@d", 1, "SK(034730) a third title 하나증권 매수")],
+    ]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(*r, None) for r in rows], schema).withColumn("posted_at", F.lit("2024-01-02 10:00:00").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        ingest.start_ingest(stream, target, str(tmp_path / "cp"), reports=reports).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert sorted((r["channel"], r["message_id"]) for r in stored.collect()) == [("@c", 1), ("@c", 2), ("@c", 4), ("@c", 9), ("@c", 10), ("@d", 1)]
+    told = {r["title"]: (r["target_price"], r["opinion"], str(r["report_date"])) for r in ingest.stored_reports(spark, reports).collect()}
+    assert len(told) == 5 and told["LG(003550) title here 키움증권 목표가 95,000원 BUY"] == (95000, "매수", "2024-01-02")
+    again = ingest.stored_reports(spark, reports).count()
+    ingest.upsert_batch(stored.filter("batch = 1 and branch = 'report'"), reports, 1)  # a batch that runs twice
+    assert ingest.stored_reports(spark, reports).count() == again
+
+
+def test_upserts_of_one_report_in_two_batches(spark, tmp_path):
+    schema = "channel string, message_id long, block_no int, body string, broker string, analyst string, stock_name string, title_normalized string, title string, stock_code string, pdf_url string, opinion string, target_price long"
+    row = lambda k, opinion, price, name="s": ("@c", k, 0, "b", "KB증권", None, name, "t", "T", "000001", None, opinion, price)
+    path = str(tmp_path / "reports")
+    for number, rows in enumerate([[row(1, None, 5), row(2, "매수", 6), row(3, None, 1, "other")], [row(4, None, 9), row(5, None, 2, "other"), row(6, "매도", 3, "new")]]):
+        for _ in range(2):  # each batch runs twice
+            ingest.upsert_batch(spark.createDataFrame(rows, schema), path, number)
+    got = {r["stock_name"]: (r["opinion"], r["target_price"]) for r in ingest.stored_reports(spark, path).collect()}
+    assert got == {"s": ("매수", 6), "other": (None, 1), "new": ("매도", 3)}
+    assert ingest.stored_reports(spark, path, before=1).count() == 2
+
+
+def test_files(spark, tmp_path):
+    rows = spark.createDataFrame([("b1", ["report-1", "report-2", "x"]), ("b2", ["report-2"])], "batch_id string, custom_ids array<string>")
+    path = str(tmp_path / "spool")
+    for _ in range(2):
+        files.append_json_lines(rows.filter("batch_id = 'b1'"), path)
+    files.append_json_lines(rows.filter("batch_id = 'b2'"), path)
+    spool = files.read_json_lines(spark, path, rows.schema)
+    assert spool.count() == 3 and sorted(r["id"] for r in files.spooled_ids(spool).collect()) == [1, 2]
+    assert [r["batch_id"] for r in files.without_batch(spool, "b1").collect()] == ["b2"]
+    told = spark.createDataFrame([(1, "가", "miss"), (2, "나", "diff"), (3, None, "diff")], "id long, title string, class string")
+    files.write_classes_for_spreadsheets(told.coalesce(1), str(tmp_path / "csv"))
+    texts = {p.parent.name: p.read_bytes() for p in (tmp_path / "csv").glob("class=*/*.csv")}
+    assert set(texts) == {"class=miss", "class=diff"} and all(x.startswith("\ufeffid,title".encode()) for x in texts.values())
+    back = files.read_reports_csv(spark, str(tmp_path / "csv/class=diff"), T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())]))
+    assert sorted((r["id"], r["title"]) for r in back.collect()) == [(2, "나"), (3, None)]
+    files.append(told, str(tmp_path / "t"))
+    files.append(told, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 6
+    (tmp_path / "pdf" / "2024").mkdir(parents=True)
+    (tmp_path / "pdf" / "2024" / "a.pdf").write_bytes(b"x")
+    paths = spark.createDataFrame([("2024/a.pdf",), ("2024/b.pdf",)], "path string")
+    assert [r["path"] for r in files.with_existing_file(paths, str(tmp_path / "pdf")).collect()] == ["2024/a.pdf"]
+    seed = [("000001", "seed")]
+    assert [r["name"] for r in files.master_data(spark, str(tmp_path / "none"), "code string, name string", seed).collect()] == ["seed"]
+    spark.createDataFrame([("1", "loaded")], "code string, name string").write.parquet(str(tmp_path / "codes"))
+    assert [r["name"] for r in files.master_data(spark, str(tmp_path / "codes"), "code string, name string", seed).collect()] == ["loaded"]
+    messages = spark.createDataFrame([("a", k) for k in range(1, 6)] + [("b", 7)], "channel string, message_id long")
+    cursors = spark.createDataFrame([("a", 3, 2)], "channel string, last_message_id long, first_message_id long")
+    assert [tuple(r) for r in files.messages_after(messages, cursors).collect()] == [("a", 4), ("a", 5), ("b", 7)]
+    assert [tuple(r) for r in files.messages_before(messages, cursors).collect()] == [("a", 1), ("b", 7)]
+
+
+def test_import_of_results(spark, tmp_path):
+    good = '{"report_category": "stock", "chain": [], "thesis": {"summary": "s", "sentiment": 0.5}, "extraction_quality": "high", "other": 1}'
+    lines = [(1, "report-1", "bad", False), (2, "report-1", good, False), (3, "report-2", good, True), (4, "x", good, False), (5, "report-3", "bad", None)]
+    clean = payloads.imported_results(spark.createDataFrame(lines, "line long, custom_id string, payload string, truncated boolean"))
+    assert {r["report_id"]: r["reject_reason"] for r in clean.collect()} == {1: None, 2: None, 3: "json_parse_failed"}
+    stored = {r["report_id"]: json.loads(r["document"]) for r in payloads.stored_documents(clean).collect()}
+    assert {k: d["extraction_quality"] for k, d in stored.items()} == {1: "high", 2: "truncated"}
+    assert stored[1]["thesis"] == {"summary": "s", "sentiment": 0.5} and "other" not in stored[1]
+
+
+def test_page_signals_and_samples(spark):
+    pages = spark.sql("""SELECT 1 AS doc_id, 0 AS page_idx, 10D AS width, 20D AS height, array(named_struct('x0', 0D, 'y0', 0D, 'x1', 5D, 'y1', 10D, 'text', 'a'), named_struct('x0', 0D, 'y0', 0D, 'x1', 9D, 'y1', 9D, 'text', ' ')) AS blocks,
+      array(named_struct('x0', 1D, 'x1', 6D)) AS images UNION ALL SELECT 1, 1, 0D, 0D, array(), array()""")
+    got = [(r["text_coverage"], r["largest_image_ratio"]) for r in page_selection.page_signals(pages).orderBy("page_idx").collect()]
+    assert got == [(0.25, 0.5), (0.0, 0.0)]
+    rows = spark.range(1000)
+    sample = [r["id"] for r in worklists.seeded_sample(rows, 10, 3, ["id"]).collect()]
+    assert sample == [r["id"] for r in worklists.seeded_sample(rows.repartition(7), 10, 3, ["id"]).collect()] and len(set(sample)) == 10
+    assert sample != [r["id"] for r in worklists.seeded_sample(rows, 10, 4, ["id"]).collect()]
+    document = "named_struct('thesis', named_struct('summary', 'a'), 'chain', array(named_struct('text', 'b'), named_struct('text', 'c')), 'financials', named_struct('key_metrics', map('k', 'd')))"
+    assert spark.range(1).selectExpr(f"{document} AS d").select(grounding.document_text("d").alias("t")).first()["t"] == "a b c d"
+
+
 def test_streams_end_in_files(spark, tmp_path):
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     events = spark.range(50).selectExpr("id % 40 AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 40 AS int)) AS ts", "id % 3 AS user_id", "'view' AS event_type", "1.5D AS value")
