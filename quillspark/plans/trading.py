@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import bars as b
 from quillspark.operators import lots
+from quillspark.operators import snapshot_text as wording
 from quillspark.operators.dashboards import symbol_frequency, trade_page, trade_stats
-from quillspark.operators.snapshot_text import snapshot_text
 from quillspark.sources import tables as t
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -196,12 +196,106 @@ FROM led"""
 def indicator_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots of all purchases told as text, from the daily bars of the user."""
     bought = t.table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("user_id").alias("symbol"), F.col("ts").alias("traded_at"))
-    out = snapshot_text(b.trade_snapshots(bought, t.event_bars(spark, d)))
+    out = wording.snapshot_text(b.trade_snapshots(bought, t.event_bars(spark, d)))
     return out.select("id", "symbol", "as_of", F.col("ma.alignment").alias("alignment"), F.col("candle.pattern").alias("pattern"), "text")
 
 
 QUERIES["indicator_snapshots"] = indicator_snapshots
 
+
+def _worded_sql(c: str, words: dict[str, str]) -> str:
+    return f"CASE {c} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items())} END"
+
+
+def _last_stochastics_sql(frame: str, k: int, d: int, smooth: int) -> str:
+    """The last told row of one parameter set for each (symbol, as_of)."""
+    over, name = "PARTITION BY symbol, as_of ORDER BY day", f"{frame}_{k}"
+    return f"""
+raw_{name} AS (
+  SELECT symbol, as_of, day, CASE WHEN count(low) OVER w = {k} THEN (close - min(low) OVER w) / nullif(max(high) OVER w - min(low) OVER w, 0) * 100 END AS raw_k
+  FROM {frame}_history WINDOW w AS ({over} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)),
+smooth_{name} AS (SELECT *, CASE WHEN count(raw_k) OVER w = {smooth} THEN avg(raw_k) OVER w END AS k0 FROM raw_{name} WINDOW w AS ({over} ROWS BETWEEN {smooth - 1} PRECEDING AND CURRENT ROW)),
+lines_{name} AS (SELECT *, CASE WHEN count(k0) OVER w = {d} THEN avg(k0) OVER w END AS d0 FROM smooth_{name} WINDOW w AS ({over} ROWS BETWEEN {d - 1} PRECEDING AND CURRENT ROW)),
+led_{name} AS (SELECT symbol, as_of, day, k0, d0, lag(k0) OVER w AS k1, lag(k0, 2) OVER w AS k2, lag(d0) OVER w AS d1 FROM lines_{name} WHERE d0 IS NOT NULL WINDOW w AS ({over})),
+last_{name} AS (
+  SELECT symbol, as_of, k0, CASE WHEN k1 < d1 AND k0 > d0 THEN 'golden' WHEN k1 > d1 AND k0 < d0 THEN 'dead' ELSE 'none' END AS crossing,
+         CASE WHEN k0 - k1 > 0.5 AND k1 - k2 > 0.5 THEN 'rising' WHEN k0 - k1 < -0.5 AND k1 - k2 < -0.5 THEN 'falling' ELSE 'sideways' END AS direction,
+         CASE WHEN k0 > 80 THEN 'overbought' WHEN k0 < 20 THEN 'oversold' ELSE 'neutral' END AS zone
+  FROM led_{name} QUALIFY row_number() OVER (PARTITION BY symbol, as_of ORDER BY day DESC) = 1)"""
+
+
+def _frame_text_sql(frame: str) -> str:
+    label = wording.FRAMES[frame]
+    return f"""CASE WHEN {frame}.symbol IS NULL THEN '{label} 데이터부족' ELSE '{label} ' || CASE {frame}.rising WHEN 3 THEN '상승' WHEN 0 THEN '하락' ELSE '혼조' END || ' ' || {frame}.rising || '/3'
+         || CASE WHEN {frame}.golden THEN ' 골든크로스' WHEN {frame}.dead THEN ' 데드크로스' ELSE '' END || CASE WHEN {frame}.bought THEN ' (과매수)' WHEN {frame}.sold THEN ' (과매도)' ELSE '' END END"""
+
+
+_sets = [(frame, *sizes) for frame in wording.FRAMES for sizes in b.STOCHASTICS]
+_buckets = ",\n".join(
+    f"""{name}_history AS (
+  SELECT symbol, as_of, {BUCKETS_SQL[name]} AS day, max(high) AS high, min(low) AS low, arg_max(close, day) AS close FROM daily_history GROUP BY symbol, as_of, 3)"""
+    for name in BUCKETS_SQL
+)
+_set_rows = "\n  UNION ALL ".join(
+    f"""SELECT '{frame}' AS frame, symbol, as_of, k0, coalesce(crossing, 'none') AS crossing, coalesce(direction, 'sideways') AS direction, coalesce(zone, 'neutral') AS zone
+  FROM (SELECT symbol, as_of FROM {frame}_history GROUP BY symbol, as_of HAVING count(*) >= {b.LEAST_BARS[frame]}) LEFT JOIN last_{frame}_{k} USING (symbol, as_of)"""
+    for frame, k, _, _ in _sets
+)
+ORACLE_SQL["indicator_snapshots"] = f"""WITH event_bars AS (
+  SELECT user_id AS symbol, ts::DATE AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+  FROM events GROUP BY 1, 2),
+wanted AS (SELECT event_id AS id, user_id AS symbol, ts::DATE AS as_of FROM events WHERE event_type = 'purchase'),
+daily_history AS (
+  SELECT m.symbol, m.as_of, day, open, high, low, close, volume FROM (SELECT DISTINCT symbol, as_of FROM wanted) m JOIN event_bars e ON e.symbol = m.symbol AND e.day BETWEEN m.as_of - {b.LOOKBACK_DAYS} AND m.as_of),
+{_buckets},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY symbol, as_of ORDER BY day DESC) AS r, lag(close) OVER w AS last_close, lag(high) OVER w AS last_high, lag(low) OVER w AS last_low
+  FROM daily_history WINDOW w AS (PARTITION BY symbol, as_of ORDER BY day)),
+averaged AS (
+  SELECT symbol, as_of, count(*) AS n_bars, arg_min(close, r) AS close, {", ".join(f"CASE WHEN count(*) >= {p} THEN avg(close) FILTER (r <= {p}) END AS ma{p}" for p in b.AVERAGES)},
+         max(volume) FILTER (r = 1) AS volume, avg(volume) FILTER (r BETWEEN 2 AND 21) AS usual_volume,
+         avg(CASE WHEN last_close IS NOT NULL THEN greatest(high - low, abs(high - last_close), abs(low - last_close)) END) FILTER (r <= 14) AS atr
+  FROM ranked GROUP BY symbol, as_of),
+banded AS (
+  SELECT symbol, as_of, day, close, r, CASE WHEN count(*) OVER w = 20 THEN avg(close) OVER w END AS mid, CASE WHEN count(*) OVER w = 20 THEN stddev_pop(close) OVER w END * 2 AS spread
+  FROM ranked WHERE r <= 39 WINDOW w AS (PARTITION BY symbol, as_of ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+shares AS (SELECT *, mid - spread AS lower, mid + spread AS upper, ((mid + spread) - (mid - spread)) / mid * 100 AS share FROM banded),
+bands AS (
+  SELECT symbol, as_of, max(CASE WHEN upper - lower > 0 THEN round((close - lower) / (upper - lower), 4) END) FILTER (r = 1) AS position,
+         max(CASE WHEN mid > 0 THEN round(share, 4) END) FILTER (r = 1) AS bandwidth, CASE WHEN count(share) FILTER (r <= 20) = 20 THEN avg(share) FILTER (r <= 20) END AS usual
+  FROM shares GROUP BY symbol, as_of),
+{",".join(_last_stochastics_sql(*s) for s in _sets)},
+set_rows AS (
+  {_set_rows}),
+sets AS (
+  SELECT frame, symbol, as_of, count(*) FILTER (direction = 'rising') AS rising, bool_or(crossing = 'golden') AS golden, bool_or(crossing = 'dead') AS dead, bool_and(zone = 'overbought') AS bought, bool_and(zone = 'oversold') AS sold,
+         bool_and(k0 IS NULL OR direction = 'rising') AS up, bool_and(k0 IS NULL OR direction = 'falling') AS down
+  FROM set_rows GROUP BY 1, 2, 3),
+told AS (
+  SELECT a.symbol, a.as_of, round((a.close - ma20) / ma20 * 100, 4) AS deviation, position,
+         CASE WHEN ma5 IS NULL THEN 'unknown' WHEN ma120 IS NULL THEN 'partial' WHEN ma5 > ma20 AND ma20 > ma60 AND ma60 > ma120 THEN 'bullish' WHEN ma5 < ma20 AND ma20 < ma60 AND ma60 < ma120 THEN 'bearish' ELSE 'mixed' END AS alignment,
+         CASE WHEN bandwidth IS NULL OR n_bars < 40 THEN 'unknown' WHEN bandwidth > usual * 1.05 THEN 'expanding' WHEN bandwidth < usual * 0.95 THEN 'squeeze' ELSE 'neutral' END AS phase,
+         CASE WHEN usual_volume > 0 THEN round((a.volume / usual_volume)::DECIMAL(38,10), 4)::DOUBLE END AS ratio,
+         CASE WHEN last_close IS NULL THEN 'unknown' WHEN abs(l.close - open) > atr * 1.5 AND l.close > open THEN 'large_bullish' WHEN abs(l.close - open) > atr * 1.5 AND l.close < open THEN 'large_bearish'
+              WHEN abs(l.close - open) < atr * 0.1 THEN 'doji' WHEN l.close > open THEN 'bullish' ELSE 'bearish' END AS pattern,
+         CASE WHEN last_close IS NOT NULL THEN round((high - greatest(open, l.close)) / CASE WHEN high > low THEN high - low ELSE 1.0 END, 4) END AS shadow,
+         CASE WHEN low > last_high THEN '갭 상승 후 ' WHEN high < last_low THEN '갭 하락 후 ' ELSE '' END AS gap,
+         {_frame_text_sql("daily")}
+         || ' | ' || {_frame_text_sql("weekly")}
+         || ' | ' || {_frame_text_sql("monthly")}
+         || CASE WHEN coalesce(daily.up, true) AND coalesce(weekly.up, true) AND coalesce(monthly.up, true) THEN ' → 방향 일치도 높음'
+                 WHEN coalesce(daily.down, true) AND coalesce(weekly.down, true) AND coalesce(monthly.down, true) THEN ' → 하락 일치도 높음' ELSE '' END AS frames
+  FROM averaged a JOIN bands USING (symbol, as_of) JOIN ranked l ON l.symbol = a.symbol AND l.as_of = a.as_of AND l.r = 1
+  {" ".join(f"LEFT JOIN sets {frame} ON {frame}.frame = '{frame}' AND {frame}.symbol = a.symbol AND {frame}.as_of = a.as_of" for frame in wording.FRAMES)})
+SELECT id, symbol, as_of, alignment, pattern,
+       '▸ 스토캐스틱 정렬: ' || frames || chr(10)
+       || '▸ 이평선: ' || {_worded_sql("alignment", wording.ALIGNMENTS)} || CASE WHEN deviation IS NULL THEN '' ELSE ', 20일선 ' || CASE WHEN deviation >= 0 THEN '지지 (괴리율 +' ELSE '저항 (괴리율 -' END || round(abs(deviation)::DECIMAL(18,4), 1) || '%)' END || chr(10)
+       || '▸ 볼린저: ' || concat_ws(', ', CASE WHEN position IS NULL THEN '알수없음' WHEN position > 1.0 THEN '상단 돌파' WHEN position > 0.8 THEN '상단 근접' WHEN position > 0.5 THEN '중심선 상향' WHEN position > 0.2 THEN '중심선 하향'
+            WHEN position >= 0 THEN '하단 근접' ELSE '하단 돌파' END, {_worded_sql("phase", wording.PHASES)}) || chr(10)
+       || CASE WHEN ratio IS NULL THEN '▸ 거래량: 데이터부족' ELSE '▸ 거래량: 20일 평균 대비 ' || round_even(ratio * 100, 0)::BIGINT || '%' END || chr(10)
+       || '▸ 캔들: ' || gap || {_worded_sql("pattern", wording.PATTERNS)} || ' 마감' || CASE WHEN shadow < 0.1 THEN ', 윗꼬리 짧음' WHEN shadow > 0.3 THEN ', 윗꼬리 김' ELSE '' END AS text
+FROM wanted JOIN told USING (symbol, as_of)"""
+
 # --- trade lists ----------------------------------------------------------------------------------------------------
 
 
