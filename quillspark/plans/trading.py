@@ -241,12 +241,8 @@ _set_rows = "\n  UNION ALL ".join(
   FROM (SELECT symbol, as_of FROM {frame}_history GROUP BY symbol, as_of HAVING count(*) >= {b.LEAST_BARS[frame]}) LEFT JOIN last_{frame}_{k} USING (symbol, as_of)"""
     for frame, k, _, _ in _sets
 )
-ORACLE_SQL["indicator_snapshots"] = f"""WITH event_bars AS (
-  SELECT user_id AS symbol, ts::DATE AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
-  FROM events GROUP BY 1, 2),
-wanted AS (SELECT event_id AS id, user_id AS symbol, ts::DATE AS as_of FROM events WHERE event_type = 'purchase'),
-daily_history AS (
-  SELECT m.symbol, m.as_of, day, open, high, low, close, volume FROM (SELECT DISTINCT symbol, as_of FROM wanted) m JOIN event_bars e ON e.symbol = m.symbol AND e.day BETWEEN m.as_of - {b.LOOKBACK_DAYS} AND m.as_of),
+SNAPSHOTS_SQL = f"""daily_history AS (
+  SELECT m.symbol, m.as_of, day, open, high, low, close, volume FROM (SELECT DISTINCT symbol, as_of FROM wanted) m JOIN bars e ON e.symbol = m.symbol AND e.day BETWEEN m.as_of - {b.LOOKBACK_DAYS} AND m.as_of),
 {_buckets},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY symbol, as_of ORDER BY day DESC) AS r, lag(close) OVER w AS last_close, lag(high) OVER w AS last_high, lag(low) OVER w AS last_low
@@ -295,6 +291,25 @@ SELECT id, symbol, as_of, alignment, pattern,
        || CASE WHEN ratio IS NULL THEN '▸ 거래량: 데이터부족' ELSE '▸ 거래량: 20일 평균 대비 ' || round_even(ratio * 100, 0)::BIGINT || '%' END || chr(10)
        || '▸ 캔들: ' || gap || {_worded_sql("pattern", wording.PATTERNS)} || ' 마감' || CASE WHEN shadow < 0.1 THEN ', 윗꼬리 짧음' WHEN shadow > 0.3 THEN ', 윗꼬리 김' ELSE '' END AS text
 FROM wanted JOIN told USING (symbol, as_of)"""
+ORACLE_SQL["indicator_snapshots"] = f"""WITH bars AS (
+  SELECT user_id AS symbol, ts::DATE AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*)::DOUBLE AS volume
+  FROM events GROUP BY 1, 2),
+wanted AS (SELECT event_id AS id, user_id AS symbol, ts::DATE AS as_of FROM events WHERE event_type = 'purchase'),
+{SNAPSHOTS_SQL}"""
+
+
+def flag_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of all days on which items of a return flag were shipped: symbols with a bar on nearly every day, so that every timeframe is told."""
+    daily = t.bars(spark, d, "l_returnflag")
+    days = daily.select(F.concat_ws(" ", "symbol", "day").alias("id"), "symbol", F.col("day").cast("timestamp").alias("traded_at"))
+    out = wording.snapshot_text(b.trade_snapshots(days, daily))
+    return out.select("id", "symbol", "as_of", F.col("ma.alignment").alias("alignment"), F.col("candle.pattern").alias("pattern"), "text")
+
+
+QUERIES["flag_snapshots"] = flag_snapshots
+ORACLE_SQL["flag_snapshots"] = f"""WITH {t.BARS_SQL.replace("l_suppkey AS symbol", "l_returnflag AS symbol")},
+wanted AS (SELECT symbol || ' ' || day AS id, symbol, day AS as_of FROM bars),
+{SNAPSHOTS_SQL}"""
 
 # --- trade lists ----------------------------------------------------------------------------------------------------
 

@@ -52,10 +52,10 @@ trades AS (
   FROM trades_raw)"""
 
 
-def bars(spark: SparkSession, directory: str) -> DataFrame:
-    """Daily bars of the suppliers from the prices of their line items."""
+def bars(spark: SparkSession, directory: str, symbol: str = "l_suppkey") -> DataFrame:
+    """Daily bars of the suppliers, or of another column, from the prices of their line items."""
     rows = table(spark, directory, "lineitem").select(
-        F.col("l_suppkey").alias("symbol"),
+        F.col(symbol).alias("symbol"),
         F.to_date("l_shipdate").alias("day"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("at"),
         F.round("l_extendedprice", 2).alias("price"),
