@@ -35,6 +35,17 @@ def _full(value: Column, size: int, keys: list[str], counted: str | None = None)
     return F.when(full, value.over(frame))
 
 
+def _told(rows: DataFrame, given: list[str], keys: list[str], values: list[Column], under: str | None, valid: Column | None = None) -> DataFrame:
+    """(keys, day, values) of all valid rows; or, with a name to put them ``under``, all given columns and the values as one struct.
+
+    Indicators that pass their bars on like this can follow each other in one pass over the same windows.
+    """
+    if under is None:
+        return (rows if valid is None else rows.filter(valid)).select(*keys, "day", *values)
+    told = F.struct(*values)
+    return rows.select(*given, (told if valid is None else F.when(valid, told)).alias(under))
+
+
 def rounded(value: Column, places: int) -> Column:
     """Half up, after noise of double sums in the tenth place has been taken off."""
     return F.round(F.round(value, 10), places)
@@ -67,31 +78,30 @@ def zone(k: Column) -> Column:
     return F.when(k > 80, "overbought").when(k < 20, "oversold").otherwise("neutral")
 
 
-def stochastic(bars: DataFrame, k: int, d: int, smooth: int, keys: list[str] | None = None) -> DataFrame:
+def stochastic(bars: DataFrame, k: int, d: int, smooth: int, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Slow stochastic of every bar: k, d, cross, direction of the last three k, zone."""
     keys = keys or ["symbol"]
-    over = _days(keys)
+    before = f"IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{c}`' for c in keys)} ORDER BY day)"
     low, high = _full(F.min("low"), k, keys), _full(F.max("high"), k, keys)
     raw = bars.withColumn("raw_k", (F.col("close") - low) / F.nullif(high - low, F.lit(0.0)) * 100)
     smoothed = raw.withColumn("full_k", _full(F.avg("raw_k"), smooth, keys, "raw_k"))
     both = smoothed.withColumn("full_d", _full(F.avg("full_k"), d, keys, "full_k"))
-    valid = both.filter(F.col("full_d").isNotNull())
-    k0, k1, k2 = F.col("full_k"), F.lag("full_k", 1).over(over), F.lag("full_k", 2).over(over)
-    d0, d1 = F.col("full_d"), F.lag("full_d", 1).over(over)
-    told = valid.select(
-        *keys,
-        "day",
+    # a row is told from the first full_d on, and looks at the told rows before it
+    shown = both.withColumn("shown_k", F.when(F.col("full_d").isNotNull(), F.col("full_k")))
+    led = shown.withColumns({"k1": F.expr(f"lag(shown_k, 1) {before}"), "k2": F.expr(f"lag(shown_k, 2) {before}"), "d1": F.expr(f"lag(full_d, 1) {before}")})
+    k0, k1, k2, d0, d1 = (F.col(c) for c in ("full_k", "k1", "k2", "full_d", "d1"))
+    values = [
         # a first valid row is told unrounded
         F.when(k1.isNull(), k0).otherwise(F.round(k0, 2)).alias("stoch_k"),
         F.when(k1.isNull(), d0).otherwise(F.round(d0, 2)).alias("stoch_d"),
         F.when((k1 < d1) & (k0 > d0), "golden").when((k1 > d1) & (k0 < d0), "dead").otherwise("none").alias("cross"),
         F.when((k0 - k1 > 0.5) & (k1 - k2 > 0.5), "rising").when((k0 - k1 < -0.5) & (k1 - k2 < -0.5), "falling").otherwise("sideways").alias("direction"),
         zone(k0).alias("zone"),
-    )
-    return told
+    ]
+    return _told(led, bars.columns, keys, values, under, d0.isNotNull())
 
 
-def moving_averages(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def moving_averages(bars: DataFrame, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Averages of 5, 20, 60 and 120 closes, deviations in per cent, and how the averages are ordered."""
     keys = keys or ["symbol"]
     out = bars
@@ -100,10 +110,10 @@ def moving_averages(bars: DataFrame, keys: list[str] | None = None) -> DataFrame
     a, b, c, e = (F.col(f"ma{p}") for p in AVERAGES)
     alignment = F.when(a.isNull(), "unknown").when(e.isNull(), "partial").when((a > b) & (b > c) & (c > e), "bullish").when((a < b) & (b < c) & (c < e), "bearish").otherwise("mixed")
     deviations = [F.round((F.col("close") - F.col(f"ma{p}")) / F.col(f"ma{p}") * 100, 4).alias(f"deviation{p}") for p in AVERAGES]
-    return out.select(*keys, "day", "close", *[f"ma{p}" for p in AVERAGES], *deviations, alignment.alias("alignment"))
+    return _told(out, bars.columns, keys, [F.col("close"), *[F.col(f"ma{p}") for p in AVERAGES], *deviations, alignment.alias("alignment")], under)
 
 
-def bollinger(bars: DataFrame, length: int = 20, width: float = 2.0, keys: list[str] | None = None) -> DataFrame:
+def bollinger(bars: DataFrame, length: int = 20, width: float = 2.0, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Bands, position in them, band width in per cent, and whether it widens against its own average."""
     keys = keys or ["symbol"]
     over = _days(keys)
@@ -116,24 +126,24 @@ def bollinger(bars: DataFrame, length: int = 20, width: float = 2.0, keys: list[
     banded = banded.withColumn("usual", usual)
     bandwidth = F.when(F.col("mid") > 0, F.round(F.col("share"), 4))
     phase = F.when(bandwidth.isNull() | (F.col("n_bars") < 2 * length), "unknown").when(bandwidth > F.col("usual") * 1.05, "expanding").when(bandwidth < F.col("usual") * 0.95, "squeeze").otherwise("neutral")
-    return banded.select(
-        *keys,
-        "day",
+    values = [
         F.when(breadth > 0, F.round((F.col("close") - F.col("lower")) / breadth, 4)).alias("position"),
         bandwidth.alias("bandwidth"),
         phase.alias("squeeze_expanding"),
         *[F.round(c, 4).alias(c) for c in ("lower", "mid", "upper")],
-    )
+    ]
+    return _told(banded, bars.columns, keys, values, under)
 
 
-def volume_ratio(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def volume_ratio(bars: DataFrame, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Volume against the average of up to 20 bars before."""
     keys = keys or ["symbol"]
     before = F.avg("volume").over(_days(keys).rowsBetween(-20, -1))
-    return bars.select(*keys, "day", F.when(before > 0, rounded(F.col("volume") / before, 4)).alias("volume_ratio"))
+    rows = bars.withColumn("usual_volume", before)
+    return _told(rows, bars.columns, keys, [F.when(F.col("usual_volume") > 0, rounded(F.col("volume") / F.col("usual_volume"), 4)).alias("volume_ratio")], under)
 
 
-def candles(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def candles(bars: DataFrame, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Candle pattern against the average true range, shadows as parts of the range, and gaps."""
     keys = keys or ["symbol"]
     over = _days(keys)
@@ -149,28 +159,27 @@ def candles(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
         return F.when(~first, F.round(x / extent, 4))
 
     pattern = F.when(first, "unknown").when((body > F.col("atr") * 1.5) & (c > o), "large_bullish").when((body > F.col("atr") * 1.5) & (c < o), "large_bearish").when(body < F.col("atr") * 0.1, "doji").when(c > o, "bullish").otherwise("bearish")
-    return ranged.select(
-        *keys,
-        "day",
+    values = [
         pattern.alias("pattern"),
         part(body).alias("body_ratio"),
         part(h - F.greatest(o, c)).alias("upper_shadow"),
         part(F.least(o, c) - low).alias("lower_shadow"),
         F.when(low > F.col("last_high"), "up").when(h < F.col("last_low"), "down").otherwise("none").alias("gap"),
         rounded(F.col("atr"), 4).alias("atr"),
-    )
+    ]
+    return _told(ranged, bars.columns, keys, values, under)
 
 
-def stochastic_sets(bars: DataFrame, least: int, keys: list[str]) -> DataFrame:
-    """(keys, day, sets): the three parameter sets of the last bar of each key that has ``least`` bars."""
-    latest = bars.groupBy(*keys).agg(F.max("day").alias("day"), F.count("*").alias("n_bars")).filter(F.col("n_bars") >= least)
-    parts = []
+def latest_row(bars: DataFrame, least: int, keys: list[str], name: str, kept: list[str] | None = None) -> DataFrame:
+    """(keys, name, kept): the last told row of each stochastic set, null under ``least`` bars, and the kept columns of the last bar."""
+    rows, sets = bars, []
     for k, d, smooth in STOCHASTICS:
-        last = stochastic(bars, k, d, smooth, keys).groupBy(*keys).agg(F.max_by(F.struct("stoch_k", "stoch_d", "cross", "direction", "zone"), "day").alias("last"))
-        none = F.struct(F.lit(None).cast("double").alias("stoch_k"), F.lit(None).cast("double").alias("stoch_d"), F.lit("none").alias("cross"), F.lit("sideways").alias("direction"), F.lit("neutral").alias("zone"))
-        parts.append(latest.join(last, keys, "left").select(*keys, F.struct(F.lit(k).alias("k"), F.coalesce("last", none).alias("values")).alias(f"set{k}")))
-    joined = reduce(lambda a, b: a.join(b, keys), parts)
-    return joined.select(*keys, F.array(*[F.col(f"set{k}") for k, _, _ in STOCHASTICS]).alias("sets"))
+        rows = stochastic(rows, k, d, smooth, keys, under=f"set{k}")
+    none = F.struct(F.lit(None).cast("double").alias("stoch_k"), F.lit(None).cast("double").alias("stoch_d"), F.lit("none").alias("cross"), F.lit("sideways").alias("direction"), F.lit("neutral").alias("zone"))
+    for k, _, _ in STOCHASTICS:
+        last = F.max_by(f"set{k}", F.when(F.col(f"set{k}").isNotNull(), F.col("day")))
+        sets.append(F.struct(F.lit(k).alias("k"), F.coalesce(last, none).alias("values")))
+    return rows.groupBy(*keys).agg(F.when(F.count("*") >= least, F.array(*sets)).alias(name), *[F.max_by(c, "day").alias(c) for c in kept or []])
 
 
 def trade_snapshots(trades: DataFrame, bars: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
@@ -189,18 +198,12 @@ def trade_snapshots(trades: DataFrame, bars: DataFrame, lookback_days: int = LOO
     history = spans.join(dated, ["symbol", "block"]).filter(near).drop("block")
     keys = ["symbol", "as_of"]
 
-    def last(df: DataFrame, name: str) -> DataFrame:
-        columns = [c for c in df.columns if c not in (*keys, "day")]
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), "day").alias(name))
-
-    parts = [
-        last(moving_averages(history, keys), "ma"),
-        last(bollinger(history, keys=keys), "bb"),
-        last(volume_ratio(history, keys), "volume"),
-        last(candles(history, keys), "candle"),
-    ]
-    frames = {"daily": history, "weekly": weekly(history, keys), "monthly": monthly(history, keys)}
-    for name, frame in frames.items():
-        parts.append(stochastic_sets(frame, LEAST_BARS[name], keys).withColumnRenamed("sets", name))
+    # all daily indicators follow each other over one order of one shuffle
+    daily = history
+    for name, indicator in (("ma", moving_averages), ("bb", bollinger), ("ratio", volume_ratio), ("candle", candles)):
+        daily = indicator(daily, keys=keys, under=name)
+    parts = [latest_row(daily, LEAST_BARS["daily"], keys, "daily", ["ma", "bb", "ratio", "candle"]).withColumnRenamed("ratio", "volume")]
+    for name, frame in {"weekly": weekly(history, keys), "monthly": monthly(history, keys)}.items():
+        parts.append(latest_row(frame, LEAST_BARS[name], keys, name))
     snapshot = reduce(lambda a, b: a.join(b, keys, "left"), parts)
     return wanted.join(snapshot, keys, "left").filter(F.col("ma").isNotNull())
