@@ -5,7 +5,8 @@ certain cut. A word is cut there, its fragments are encoded on their own, and th
 both sides of a cut cannot influence each other, so the ids equal those of merging the whole word.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; repeated rows and
-null ids give one row each; a word of any length is encoded whole, in n log n time; other columns are kept out.
+null ids give one row each; an empty table gives an empty result; a word of any length is encoded whole, in n log n time;
+other columns are kept out.
 """
 
 from __future__ import annotations

@@ -9,8 +9,12 @@ Texts are prefixed with the space mark and spaces are replaced by it. No piece r
 space mark, so every such place is a sure boundary; characters that no piece holds are boundaries too. Fragments
 between boundaries are counted on their own and remembered.
 
-Defined cases: null and empty texts have 0 tokens; repeated rows and null ids give one row each; texts are counted
-whole, however long.
+Scores are summed from the start of a fragment. Two paths of equal score tie exactly where sums of their scores are
+exact, as for whole numbers; other scores are sums in double precision, and a tie that rounding breaks may fall
+otherwise than in sums over the whole text.
+
+Defined cases: null and empty texts have 0 tokens; repeated rows and null ids give one row each; an empty table gives an
+empty result; other columns, whatever their names, are kept out; texts are counted whole, however long.
 """
 
 from __future__ import annotations

@@ -112,6 +112,17 @@ def test_token_counts_of_ties_and_odd_texts(spark):
     assert [counts[k] for k in range(len(texts))] == [brute(t) for t in texts]
 
 
+def test_token_counts_of_empty_tables_and_clashing_columns(spark):
+    pieces = [("▁", -2.0), ("a", -1.0)]
+    assert unigram_count.token_counts(documents(spark, []), pieces).collect() == []
+    clashing = documents(spark, [(1, "aa"), (1, "aa")]).selectExpr("*", "'x' AS n_tokens", "9 AS id", "null AS piece")
+    assert [tuple(r) for r in unigram_count.token_counts(clashing, pieces).collect()] == [(1, 3), (1, 3)]
+
+
+def test_bpe_of_empty_tables(spark):
+    assert queries.bpe_digests(documents(spark, []), public_tokenizers.path(queries.BPE_VOCABULARY)).collect() == []
+
+
 def expected_chat(rows):
     """rows: (conv_id, turn, role, text) -> conv_id -> contract digests."""
     out = {}
