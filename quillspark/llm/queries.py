@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, sharding, topk_segments, toxicity, unigram_count
+from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, phrase_mining, sharding, topk_segments, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,32 @@ FROM rated
 """
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+spans AS (SELECT lang, w, i, unnest(range(1, least({phrase_mining.MAX_N}, len(w) - i + 1) + 1)) AS s FROM starts),
+counts AS MATERIALIZED (SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, s, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= {phrase_mining.MIN_COUNT}),
+candidates AS MATERIALIZED (SELECT lang, phrase, string_split(phrase, ' ') AS w, s, f AS a FROM counts WHERE s > 1),
+cuts AS (SELECT lang, phrase, w, a, s, unnest(range(1, s)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * c.a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.s], ' ') JOIN totals t ON t.lang = c.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+begun AS (SELECT lang, w, s, a, unnest(range(1, s)) AS i FROM candidates WHERE s > 2),
+inside AS (SELECT lang, w, s, a, i, unnest(range(2, least(s - 1, s - i + 1) + 1)) AS size FROM begun),
+longer AS (SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT * FROM weakest LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < {phrase_mining.ABSORB_PERCENT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept QUALIFY rank <= {phrase_mining.TOP}
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk_segments": op1_topk_segments,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -176,6 +202,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_segments": TOPK_SQL,
@@ -184,4 +211,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": LINE_DEDUP_SQL,
     "op9_mix_sources": MIXING_SQL,
     "op10_embedding_dedup": EMBEDDING_SQL,
+    "op13_phrase_mining": PHRASE_SQL,
 }
