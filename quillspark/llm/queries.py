@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, jaccard_join, line_dedup, mixing, phrase_mining, sharding, topk_segments, toxicity, unigram_count
+from quillspark.llm import bpe, chat, embedding_dedup, graph_search, jaccard_join, line_dedup, mixing, phrase_mining, sharding, topk_segments, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,10 @@ FROM rated
 """
 
 
+def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
 
@@ -202,6 +206,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_graph_search": op12_graph_search,
     "op13_phrase_mining": op13_phrase_mining,
 }
 ORACLE_SQL: dict[str, str] = {
