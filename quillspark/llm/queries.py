@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, embedding_dedup, graph_search, jaccard_join, line_dedup, mixing, phrase_mining, sharding, topk_segments, toxicity, unigram_count
+from quillspark.llm import block_max_search, bpe, chat, embedding_dedup, graph_search, jaccard_join, line_dedup, mixing, phrase_mining, sharding, topk_segments, toxicity, unigram_count
 from quillspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,28 @@ FROM rated
 """
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RANKED_SQL = rf"""
+WITH lowered AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+sized AS (SELECT row_number() OVER () AS row, doc_id, terms, len(terms)::BIGINT AS n FROM lowered),
+whole AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS occurrences FROM sized),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT item_id, term, count(*) AS q FROM asked GROUP BY ALL),
+occurring AS (SELECT row, doc_id, n, unnest(terms) AS term FROM sized),
+postings AS MATERIALIZED (SELECT row, doc_id, n, term, count(*) AS tf FROM occurring WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, whole GROUP BY term),
+impacts AS (SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // occurrences)) AS impact FROM postings, whole),
+scored AS (
+  SELECT item_id, row, doc_id, sum(q * w * impact)::BIGINT AS score FROM wanted JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= {block_max_search.K}
+"""
+
+
 def op12_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -206,6 +228,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_block_max_search": op11_block_max_search,
     "op12_graph_search": op12_graph_search,
     "op13_phrase_mining": op13_phrase_mining,
 }
@@ -216,5 +239,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": LINE_DEDUP_SQL,
     "op9_mix_sources": MIXING_SQL,
     "op10_embedding_dedup": EMBEDDING_SQL,
+    "op11_block_max_search": RANKED_SQL,
     "op13_phrase_mining": PHRASE_SQL,
 }

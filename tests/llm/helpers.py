@@ -15,7 +15,7 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def duck(directory: Path):
     con = duckdb.connect()
-    for t in "documents embeddings labels conversations".split():
+    for t in "documents embeddings labels conversations benchmark".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{directory}/{t}.parquet')")
     return con
 
