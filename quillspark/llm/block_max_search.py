@@ -40,7 +40,7 @@ GRAIN, LONGEST = 4, 64
 #: What a block costs in units of impact; a posting's impact is below 10^6.
 BLOCK_COST = 2_000_000
 #: Documents of a shard.
-SHARD_DOCUMENTS = 1 << 15
+SHARD_DOCUMENTS = 1 << 14
 #: Bytes of the texts of items that are searched for together.
 ITEM_BYTES = 4 << 20
 #: Ranges that are scored before the others are compared with the k-th score.
@@ -93,12 +93,10 @@ def block_ends(lists: list[np.ndarray]) -> list[np.ndarray]:
     if not grains or not grains[0]:
         return [np.zeros(0, np.int64) for _ in lists]
     count = len(order)
-    peaks, sizes = np.zeros((grains[0], count)), np.zeros((grains[0], count))
-    for lane, k in enumerate(order):
-        starts = np.arange(0, len(lists[k]), GRAIN)
-        if len(starts):
-            peaks[: len(starts), lane] = np.maximum.reduceat(lists[k], starts)
-            sizes[: len(starts), lane] = np.minimum(GRAIN, len(lists[k]) - starts)
+    parts = [np.arange(0, len(lists[k]), GRAIN) for k in order]
+    peaks = np.concatenate([np.maximum.reduceat(lists[k], x) for k, x in zip(order, parts, strict=True) if len(x)]).astype(np.float64)
+    sizes = np.concatenate([np.minimum(GRAIN, len(lists[k]) - x) for k, x in zip(order, parts, strict=True)]).astype(np.float64)
+    first = np.cumsum(grains) - grains  # of each list, in peaks and sizes
     before, peak, held = np.full((LONGEST, count), np.inf), np.zeros((LONGEST, count)), np.zeros((LONGEST, count))
     cost, begins = np.zeros(count), []
     grains_left = np.array(grains)
@@ -108,12 +106,12 @@ def block_ends(lists: list[np.ndarray]) -> list[np.ndarray]:
             active -= 1
         slot = j % LONGEST
         before[slot, :active], peak[slot, :active], held[slot, :active] = cost[:active], 0, 0
-        np.maximum(peak[:, :active], peaks[j, :active], out=peak[:, :active])
-        held[:, :active] += sizes[j, :active]
+        np.maximum(peak[:, :active], peaks[first[:active] + j], out=peak[:, :active])
+        held[:, :active] += sizes[first[:active] + j]
         total = before[:, :active] + peak[:, :active] * held[:, :active]
         best = total.argmin(axis=0)
         cost[:active] = total[best, np.arange(active)] + BLOCK_COST
-        begins.append(j - (slot - best) % LONGEST)
+        begins.append((j - (slot - best) % LONGEST).astype(np.int32))
     ends: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lists)
     for lane, k in enumerate(order):
         at, own = grains[lane], []
