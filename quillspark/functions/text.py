@@ -147,7 +147,8 @@ def hangul_keywords(c: Column | str, most: int = 20) -> Column:
 
 
 def six_digit_codes(c: Column | str) -> Column:
-    return F.regexp_extract_all(_column(c), F.lit(r"(?<![0-9])([0-9]{6})(?![0-9])"), F.lit(1))
+    """Words of six digits; one that touches a letter of any script is none."""
+    return F.regexp_extract_all(_column(c), F.lit(r"(?U)\b(\d{6})\b"), F.lit(1))
 
 
 def number_tokens(c: Column | str) -> Column:

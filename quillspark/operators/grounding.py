@@ -80,6 +80,13 @@ def date_repair(rows: DataFrame, threshold: int = 90) -> DataFrame:
 
 
 def arbitrated_date(rows: DataFrame, near: int = 3) -> DataFrame:
-    """Of two doubtful days the one that lies within ``near`` days of the message's, the found one first."""
-    close = lambda c: F.abs(F.datediff(c, "message_day")) <= near
-    return rows.withColumn("chosen", F.when(close("found"), F.col("found")).when(close("stored"), F.col("stored")).otherwise(F.col("message_day")))
+    """(stored, found, message_day) with ``chosen``, its ``source`` and the ``outcome``.
+
+    The found day counts if it is within ``near`` days of the message's, else the message's does, whatever is stored. Without
+    a message's day nothing is chosen.
+    """
+    close = F.coalesce(F.abs(F.datediff("found", "message_day")) <= near, F.lit(False))
+    known = F.col("message_day").isNotNull()
+    chosen = F.when(known & close, F.col("found")).otherwise(F.col("message_day"))
+    outcome = F.when(~known, "not_found").when(F.col("chosen").eqNullSafe(F.col("stored")), "no_change").otherwise("update")
+    return rows.withColumn("chosen", chosen).withColumn("source", F.when(known, F.when(close, "regex").otherwise("msg"))).withColumn("outcome", outcome)

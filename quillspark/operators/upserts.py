@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import retryable
+
 REPORT_KEY = ["broker", "report_date", "analyst", "stock_name", "title_normalized"]
 #: What a repeated report overwrites.
 REPORT_UPDATES = ["pdf_url", "opinion", "target_price", "raw_text", "source_channel"]
@@ -105,17 +107,55 @@ def told(name: str) -> Column:
     return F.coalesce(F.trim(name), F.lit("")) != ""
 
 
-def transition(status: Column | str, event: Column | str) -> Column:
-    """The state after an event: done, truncated and failed as told; a retry makes a failed one pending again."""
-    s, e = (F.col(c) if isinstance(c, str) else c for c in (status, event))
-    return F.when(e.isin("done", "truncated", "failed"), e).when((e == "retry") & (s == "failed"), F.lit("pending")).otherwise(F.coalesce(s, F.lit("pending")))
+#: What an event makes of pipeline_status and, if it tells one, of analysis_status. Fixed values.
+EVENT_STATES = {
+    "classified": ("s2a_done", None),
+    "downloaded": ("pdf_done", None),
+    "download_failed": ("pdf_failed", None),
+    "submitted": ("analysis_pending", None),
+    "analysed": ("done", "done"),
+    "truncated": ("done", "truncated"),
+    "analysis_failed": ("analysis_failed", "failed"),
+    "batch_failed": ("analysis_failed", None),
+}
+REASON_CHARS = 500
+
+
+def after_event(rows: DataFrame, event: str = "event", reason: str = "reason") -> DataFrame:
+    """Reports (pipeline_status, analysis_status, pdf_download_failed, pdf_fail_reason, pdf_fail_retryable) after an event each.
+
+    A failed download sets four columns; an analysis sets both states; unknown events change nothing.
+    """
+    told = F.col(event)
+    told_reason = F.coalesce(F.col(reason), F.lit("unknown"))
+    failed = told.eqNullSafe(F.lit("download_failed"))
+
+    def state(at: int, old: str) -> Column:
+        values = [F.lit(x) for name, states in EVENT_STATES.items() if states[at] is not None for x in (name, states[at])]
+        return F.coalesce(F.try_element_at(F.create_map(*values), told), F.col(old))
+
+    return rows.withColumns(
+        {
+            "pipeline_status": state(0, "pipeline_status"),
+            "analysis_status": state(1, "analysis_status"),
+            "pdf_download_failed": F.when(failed, F.lit(True)).otherwise(F.col("pdf_download_failed")),
+            "pdf_fail_reason": F.when(failed, F.substring(told_reason, 1, REASON_CHARS)).otherwise(F.col("pdf_fail_reason")),
+            "pdf_fail_retryable": F.when(failed, retryable(told_reason)).otherwise(F.col("pdf_fail_retryable")),
+        }
+    )
+
 
+def backfill_status(reports: DataFrame, analysed: DataFrame) -> DataFrame:
+    """``pipeline_status`` and ``pdf_fail_retryable`` of reports (id, pdf_path, pdf_download_failed, pdf_fail_reason) from what is stored.
 
-def backfill_status(reports: DataFrame, analysed: DataFrame, converted: DataFrame) -> DataFrame:
-    """Status from what is stored: the furthest stage that a report has reached."""
-    rows = reports.join(analysed.select("id").distinct().withColumn("has_analysis", F.lit(True)), "id", "left").join(converted.select("id").distinct().withColumn("has_text", F.lit(True)), "id", "left")
-    status = F.when(F.col("has_analysis"), "analysis_done").when(F.col("has_text"), "s3_done").when(F.col("pdf_url").isNotNull(), "s2b_done").otherwise("s2a_done")
-    return rows.withColumn("status", status).drop("has_analysis", "has_text")
+    An analysis makes a report done; else a failed download tells, then a path beside a download that didn't fail.
+    """
+    rows = reports.drop("pipeline_status", "pdf_fail_retryable").join(analysed.select("id").distinct().withColumn("has_analysis", F.lit(True)), "id", "left")
+    downloaded = F.col("pdf_path").isNotNull() & ~F.col("pdf_download_failed")
+    status = F.when(F.col("has_analysis"), "done").when(F.col("pdf_download_failed"), "pdf_failed").when(downloaded, "pdf_done").otherwise("new")
+    why = F.col("pdf_fail_reason")
+    lasting = why.isin("http_404", "http_410", "no_url") | why.like("not_pdf%") | why.like("unsupported_host:%")
+    return rows.withColumn("pipeline_status", status).withColumn("pdf_fail_retryable", F.when(lasting, F.lit(False)).when(why.isNotNull(), F.lit(True))).drop("has_analysis")
 
 
 def cascade(children: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
@@ -134,11 +174,18 @@ def merged_value(new: Column, old: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(new), F.lit("")), old)
 
 
-def advanced_cursors(cursors: DataFrame, seen: DataFrame) -> DataFrame:
-    """Forward and backward message cursors of each channel after a batch."""
-    ends = seen.groupBy("channel").agg(F.max("message_id").alias("high"), F.min("message_id").alias("low"))
-    joined = cursors.join(ends, "channel", "full_outer")
-    return joined.select("channel", F.greatest("last_message_id", "high").alias("last_message_id"), F.least("first_message_id", "low").alias("first_message_id"))
+def advanced_cursors(cursors: DataFrame, seen: DataFrame, reverse: bool = False) -> DataFrame:
+    """(channel, last_message_id, reverse_min_id) after a run over ``seen`` (channel, message_id) in one direction.
+
+    A forward run overwrites the last id with the highest it has seen, be it lower; a reverse run lowers the least id, which
+    none or 0 stands for unset. Channels without messages stay, new ones are added.
+    """
+    end = seen.groupBy("channel").agg((F.min if reverse else F.max)("message_id").alias("end"))
+    joined = cursors.join(end, "channel", "full_outer")
+    least = F.nullif(F.col("reverse_min_id"), F.lit(0))
+    lowered = F.when(F.col("end").isNotNull() & (least.isNull() | (F.col("end") < least)), F.col("end")).otherwise(F.col("reverse_min_id"))
+    last, low = (F.col("last_message_id"), lowered) if reverse else (F.coalesce("end", "last_message_id"), F.col("reverse_min_id"))
+    return joined.select("channel", last.alias("last_message_id"), low.alias("reverse_min_id"))
 
 
 def missing_days(bars: DataFrame, as_of: str) -> DataFrame:

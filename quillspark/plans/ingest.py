@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import messages as m
 from quillspark.functions import text as x
 from quillspark.functions.money import model_cost, sentiment_label
+from quillspark.functions.payloads import import_outcomes as import_results
 from quillspark.operators import grounding as g
 from quillspark.operators import upserts as u
 from quillspark.plans.research import ALL_SQL
@@ -35,11 +36,15 @@ def text_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT o_orderkey, list_sort(list_distinct(CASE WHEN o_orderkey % 1000 = 0 THEN [] WHEN o_orderkey % 2 = 0 THEN [lpad((o_orderkey % 1000000)::VARCHAR, 6, '0')] ELSE [lpad((o_orderkey % 1000000)::VARCHAR, 6, '0'), lpad(o_custkey::VARCHAR, 6, '0')] END)) AS codes FROM orders""")
+@query("""WITH told AS (
+  SELECT o_orderkey, lpad((o_orderkey % 1000000)::VARCHAR, 6, '0') AS a, lpad(o_custkey::VARCHAR, 6, '0') AS b FROM orders),
+texts AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 0 THEN '1234567 and 12345' WHEN o_orderkey % 2 = 0 THEN a || '원, 1234567 ' || b || ' 원' ELSE '(' || a || ')A' || b || '.12345 _' || a END AS text FROM told)
+SELECT o_orderkey, list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_가-힣])([0-9]{6})(?:$|[^0-9A-Za-z_가-힣])', 1))) AS codes FROM texts""")
 def six_digit_codes(spark: SparkSession, d: str) -> DataFrame:
-    """One or two codes of each order beside longer and shorter numbers."""
+    """Codes of each order beside longer and shorter numbers, and some that touch letters."""
     k, six = F.col("o_orderkey"), lambda c: F.lpad(c.cast("string"), 6, "0")
-    text = F.when(k % 1000 == 0, "1234567 and 12345").when(k % 2 == 0, F.concat(six(k % 1_000_000), F.lit("원, 1234567"))).otherwise(F.concat(F.lit("("), six(k % 1_000_000), F.lit(")A"), six(F.col("o_custkey")), F.lit(".12345")))
+    a, b = six(k % 1_000_000), six(F.col("o_custkey"))
+    text = F.when(k % 1000 == 0, "1234567 and 12345").when(k % 2 == 0, F.concat(a, F.lit("원, 1234567 "), b, F.lit(" 원"))).otherwise(F.concat(F.lit("("), a, F.lit(")A"), b, F.lit(".12345 _"), a))
     return t.table(spark, d, "orders").select("o_orderkey", F.array_sort(F.array_distinct(x.six_digit_codes(text))).alias("codes"))
 
 
@@ -123,6 +128,28 @@ def upsert_conditional(spark: SparkSession, d: str) -> DataFrame:
     return u.upsert_reports(stored, incoming, ["broker", "report_date", "title_normalized"], ["opinion", "pdf_url", "target_price"]).select("id", "action", "opinion", "target_price")
 
 
+@query(f"""{ALL_SQL}, lines AS (
+  SELECT id * 2 AS line, id AS report_id, CASE WHEN id % 11 = 0 THEN 'error' ELSE 'success' END AS status, id % 6 AS kind FROM reports
+  UNION ALL SELECT id * 2 + 1, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN -id ELSE id END, 'success', 0 FROM reports),
+told AS (SELECT line, report_id, kind NOT IN (2, 3, 5) AS valid, id IS NOT NULL AS known, coalesce(pipeline_status = 'F', false) AS was_done FROM lines LEFT JOIN reports ON id = report_id WHERE status = 'success' AND kind <> 4),
+firsts AS (SELECT report_id, min(line) AS first FROM told WHERE valid AND known AND NOT was_done GROUP BY 1)
+SELECT line, CASE WHEN was_done OR coalesce(line > first, false) THEN 'skipped' WHEN valid AND known AND line = first THEN 'imported' ELSE 'failed' END AS outcome,
+       CASE WHEN valid THEN '제목 ' || line END AS title, CASE WHEN valid THEN 'cause' END AS step FROM told LEFT JOIN firsts USING (report_id)""")
+def import_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Two lines for each report: the first may have failed, hold nothing, no JSON, no chain or a strange category; filled reports are done."""
+    reports = t.reports(spark, d).select("id", F.when(F.col("pipeline_status") == "F", "done").otherwise("new").alias("pipeline_status"))
+    k = F.col("id")
+    first = reports.select((k * 2).alias("line"), k.alias("report_id"), F.when(k % 11 == 0, "error").otherwise("success").alias("status"), (k % 6).alias("kind"))
+    second = reports.select((k * 2 + 1).alias("line"), F.when(k % 13 != 0, F.when(k % 17 == 0, -k).otherwise(k)).alias("report_id"), F.lit("success").alias("status"), F.lit(0).cast("bigint").alias("kind"))
+    body = F.concat(F.lit('"meta": {"title": "제목 '), F.col("line").cast("string"), F.lit('"}, "chain": '))
+    chain = F.when(F.col("kind") == 1, '{"step": "cause"}').when(F.col("kind") == 2, "7").otherwise('[{"step": "cause"}]')
+    category = F.when(F.col("kind") == 5, "other").when(F.col("kind") == 1, "산업").otherwise("stock")
+    whole = F.concat(F.lit('{"report_category": "'), category, F.lit('", '), body, chain, F.lit("}"))
+    lines = first.unionByName(second).withColumn("payload", F.when(F.col("kind") == 3, "{broken").when(F.col("kind") != 4, whole))
+    read = lambda path: F.try_variant_get("document", path, "string")
+    return import_results(lines, reports).select("line", "outcome", read("$.meta.title").alias("title"), read("$.chain[0].step").alias("step"))
+
+
 @query("SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1")
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     stored = t.table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("l_orderkey"))

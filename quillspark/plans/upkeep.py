@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import dates as dt
 from quillspark.functions import text as x
 from quillspark.operators import dashboards as dash
 from quillspark.operators import grounding as g
@@ -57,18 +56,41 @@ def chart_markers(spark: SparkSession, d: str) -> DataFrame:
     return dash.chart_markers(t.trades(spark, d), 17, date_from="1995-01-01").select("id", "side", "quantity")
 
 
-@query(f"""{ALL_SQL} SELECT id, CASE WHEN id IN (SELECT report_id FROM analyses) THEN 'analysis_done' WHEN report_type = '2-HIGH' THEN 's3_done' WHEN pdf_url IS NOT NULL THEN 's2b_done' ELSE 's2a_done' END AS status FROM reports""")
+@query(f"""{ALL_SQL}, stored AS (
+  SELECT id, id IN (SELECT report_id FROM analyses) AS analysed, CASE WHEN id % 3 <> 0 THEN 'a.pdf' END AS pdf_path, CASE id % 4 WHEN 0 THEN true WHEN 3 THEN NULL ELSE false END AS pdf_download_failed,
+         ['http_404', 'timeout', 'unsupported_host:t.me', 'not_pdf:text/html', NULL][(id % 5 + 1)::INT] AS pdf_fail_reason FROM reports)
+SELECT id, CASE WHEN analysed THEN 'done' WHEN pdf_download_failed = true AND NOT analysed THEN 'pdf_failed' WHEN pdf_path IS NOT NULL AND pdf_download_failed = false AND NOT analysed THEN 'pdf_done' ELSE 'new' END AS pipeline_status,
+       CASE WHEN pdf_fail_reason IN ('http_404', 'http_410', 'no_url') OR pdf_fail_reason LIKE 'not_pdf%' OR pdf_fail_reason LIKE 'unsupported_host:%' THEN false WHEN pdf_fail_reason IS NOT NULL THEN true END AS pdf_fail_retryable FROM stored""")
 def backfill_status(spark: SparkSession, d: str) -> DataFrame:
-    reports = t.reports(spark, d)
-    return u.backfill_status(reports, t.analyses(spark, d).select(F.col("report_id").alias("id")), reports.filter("report_type = '2-HIGH'")).select("id", "status")
-
-
-@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'click' THEN 'failed' WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'pending' ELSE 'truncated' END ELSE CASE WHEN user_id % 2 = 0 THEN 'failed' ELSE 'truncated' END END AS status FROM events""")
+    k = F.col("id")
+    reason = F.element_at(F.array(*[F.lit(c) for c in ("http_404", "timeout", "unsupported_host:t.me", "not_pdf:text/html", None)]), (k % 5 + 1).cast("int"))
+    rows = t.reports(spark, d).select("id", F.when(k % 3 != 0, "a.pdf").alias("pdf_path"), F.when(k % 4 != 3, k % 4 == 0).alias("pdf_download_failed"), reason.alias("pdf_fail_reason"))
+    return u.backfill_status(rows, t.analyses(spark, d).select(F.col("report_id").alias("id"))).select("id", "pipeline_status", "pdf_fail_retryable")
+
+
+@query("""WITH told AS (
+  SELECT event_id, ['new', 's2a_done', 'pdf_done', 'analysis_pending'][(user_id % 4 + 1)::INT] AS pipeline_status, CASE WHEN user_id % 3 = 0 THEN 'pending' END AS analysis_status, CASE WHEN user_id % 2 = 0 THEN false END AS failed,
+         ['classified', 'downloaded', 'download_failed', 'submitted', 'analysed', 'truncated', 'analysis_failed', 'batch_failed', 'seen'][(event_id % 9 + 1)::INT] AS event, ['http_410', 'timeout', NULL, 'not_pdf:' || repeat('x', 600)][(user_id % 4 + 1)::INT] AS reason FROM events)
+SELECT event_id,
+  CASE event WHEN 'classified' THEN 's2a_done' WHEN 'downloaded' THEN 'pdf_done' WHEN 'download_failed' THEN 'pdf_failed' WHEN 'submitted' THEN 'analysis_pending' WHEN 'analysed' THEN 'done' WHEN 'truncated' THEN 'done' WHEN 'analysis_failed' THEN 'analysis_failed' WHEN 'batch_failed' THEN 'analysis_failed' ELSE pipeline_status END AS pipeline_status,
+  CASE event WHEN 'analysed' THEN 'done' WHEN 'truncated' THEN 'truncated' WHEN 'analysis_failed' THEN 'failed' ELSE analysis_status END AS analysis_status,
+  CASE WHEN event = 'download_failed' THEN true ELSE failed END AS pdf_download_failed, CASE WHEN event = 'download_failed' THEN left(coalesce(reason, 'unknown'), 500) END AS pdf_fail_reason,
+  CASE WHEN event = 'download_failed' THEN coalesce(reason, 'unknown') NOT IN ('http_404', 'http_410', 'not_pdf:html_response', 'not_pdf', 'no_url') AND NOT starts_with(coalesce(reason, 'unknown'), 'unsupported_host:') END AS pdf_fail_retryable FROM told""")
 def status_transitions(spark: SparkSession, d: str) -> DataFrame:
-    """Events as results of a step: a retry makes a failed one pending, anything else unknown changes nothing."""
-    before = F.when(F.col("user_id") % 2 == 0, "failed").otherwise("truncated")
-    told = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "click", "failed").when(F.col("event_type") == "error", "retry").otherwise("seen")
-    return t.table(spark, d, "events").select("event_id", u.transition(before, told).alias("status"))
+    """Each event as what happens to a report in some state."""
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (k + 1).cast("int"))
+    user, number = F.col("user_id"), F.col("event_id")
+    rows = t.table(spark, d, "events").select(
+        "event_id",
+        pick(("new", "s2a_done", "pdf_done", "analysis_pending"), user % 4).alias("pipeline_status"),
+        F.when(user % 3 == 0, "pending").alias("analysis_status"),
+        F.when(user % 2 == 0, F.lit(False)).alias("pdf_download_failed"),
+        F.lit(None).cast("string").alias("pdf_fail_reason"),
+        F.lit(None).cast("boolean").alias("pdf_fail_retryable"),
+        pick((*u.EVENT_STATES, "seen"), number % 9).alias("event"),
+        pick(("http_410", "timeout", None, "not_pdf:" + "x" * 600), user % 4).alias("reason"),
+    )
+    return u.after_event(rows).drop("event", "reason")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
@@ -84,11 +106,19 @@ def point_updates(spark: SparkSession, d: str) -> DataFrame:
     return u.point_updates(rows, changes, ["o_orderkey"]).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("""SELECT 'u' || user_id AS channel, greatest(max(event_id), 50) AS last_message_id, least(min(event_id), 100) AS first_message_id FROM events GROUP BY 1""")
+@query("""WITH cursors AS (SELECT DISTINCT 'u' || user_id AS channel, 900 AS last_message_id, CASE user_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 100 END AS reverse_min_id FROM events WHERE user_id % 5 <> 0),
+ends AS (SELECT 'u' || user_id AS channel, max(event_id) AS high, min(event_id) AS low FROM events WHERE event_id % 7 = 0 GROUP BY 1)
+SELECT channel, 'forward' AS direction, CASE WHEN high IS NOT NULL THEN high ELSE last_message_id END::BIGINT AS last_message_id, reverse_min_id::BIGINT AS reverse_min_id FROM cursors FULL JOIN ends USING (channel)
+UNION ALL SELECT channel, 'reverse', last_message_id, CASE WHEN low IS NOT NULL AND (reverse_min_id IS NULL OR reverse_min_id = 0 OR low < reverse_min_id) THEN low ELSE reverse_min_id END FROM cursors FULL JOIN ends USING (channel)""")
 def advanced_cursors(spark: SparkSession, d: str) -> DataFrame:
-    seen = t.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("channel"), F.col("event_id").alias("message_id"))
-    cursors = seen.select("channel", F.lit(50).cast("bigint").alias("last_message_id"), F.lit(100).cast("bigint").alias("first_message_id")).distinct()
-    return u.advanced_cursors(cursors, seen)
+    """Users as channels, a seventh of the events as the messages of a run; a fifth of the channels is new."""
+    user = F.col("user_id")
+    events = t.table(spark, d, "events").withColumn("channel", F.concat(F.lit("u"), user.cast("string")))
+    unset = F.when(user % 3 == 1, 0).when(user % 3 == 2, 100).cast("bigint")
+    cursors = events.filter(user % 5 != 0).select("channel", F.lit(900).cast("bigint").alias("last_message_id"), unset.alias("reverse_min_id")).distinct()
+    seen = events.filter(F.col("event_id") % 7 == 0).select("channel", F.col("event_id").alias("message_id"))
+    ways = [u.advanced_cursors(cursors, seen, reverse).withColumn("direction", F.lit("reverse" if reverse else "forward")) for reverse in (False, True)]
+    return ways[0].unionByName(ways[1])
 
 
 @query(f"""WITH {t.BARS_SQL}, last AS (SELECT symbol, max(day) AS last_day FROM bars GROUP BY 1)
@@ -132,15 +162,14 @@ def count_of_stocks(spark: SparkSession, d: str) -> DataFrame:
     return r.count_of_groups(t.stock_mentions(spark, d).filter(F.col("stock_code").rlike(r.VALID_CODE)), ["stock_code"])
 
 
-@query("""SELECT CASE gap > 3 OR found IS NULL WHEN false THEN 'found' ELSE CASE WHEN abs(date_diff('day', stored, message_day)) <= 3 THEN 'stored' ELSE 'message' END END AS chosen, count(*) AS n FROM (
-  SELECT *, abs(date_diff('day', found, message_day)) AS gap FROM (SELECT o_orderdate::DATE AS stored, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE + (o_orderkey % 9)::INT END AS found, o_orderdate::DATE + (o_orderkey % 11)::INT AS message_day FROM orders)) GROUP BY 1""")
+@query("""WITH told AS (
+  SELECT o_orderdate::DATE AS stored, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate::DATE + (o_orderkey % 9)::INT END AS found, CASE WHEN o_orderkey % 10 <> 7 THEN o_orderdate::DATE + (o_orderkey % 11)::INT END AS message_day FROM orders),
+chosen AS (SELECT *, CASE WHEN message_day IS NULL THEN NULL WHEN found IS NOT NULL AND abs(date_diff('day', found, message_day)) <= 3 THEN 'regex' ELSE 'msg' END AS source FROM told)
+SELECT source, CASE WHEN source IS NULL THEN 'not_found' WHEN (CASE source WHEN 'regex' THEN found ELSE message_day END) = stored THEN 'no_change' ELSE 'update' END AS outcome, count(*) AS n FROM chosen GROUP BY ALL""")
 def arbitrated_dates(spark: SparkSession, d: str) -> DataFrame:
     k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
-    rows = t.table(spark, d, "orders").select(day.alias("stored"), F.when(k % 4 != 0, F.date_add(day, (k % 9).cast("int"))).alias("found"), F.date_add(day, (k % 11).cast("int")).alias("message_day"))
-    chosen = g.arbitrated_date(rows)
-    near = lambda c: F.coalesce(dt.day_gap(c, "message_day") <= 3, F.lit(False))
-    source = F.when(near("found") & (F.col("chosen") == F.col("found")), "found").when(near("stored") & (F.col("chosen") == F.col("stored")), "stored").when(F.col("chosen") == F.col("message_day"), "message")
-    return chosen.groupBy(source.alias("chosen")).agg(F.count("*").alias("n"))
+    rows = t.table(spark, d, "orders").select(day.alias("stored"), F.when(k % 4 != 0, F.date_add(day, (k % 9).cast("int"))).alias("found"), F.when(k % 10 != 7, F.date_add(day, (k % 11).cast("int"))).alias("message_day"))
+    return g.arbitrated_date(rows).groupBy("source", "outcome").agg(F.count("*").alias("n"))
 
 
 @query("""WITH told AS (SELECT ['valuation_impact', 'cause', 'valuation_impact'][(conv_id % 3 + 1)::INT] AS step, conv_id, text FROM conversations WHERE role = 'assistant'),

@@ -155,9 +155,48 @@ def test_import_of_results(spark, tmp_path):
     lines = [(1, "report-1", "bad", False), (2, "report-1", good, False), (3, "report-2", good, True), (4, "x", good, False), (5, "report-3", "bad", None)]
     clean = payloads.imported_results(spark.createDataFrame(lines, "line long, custom_id string, payload string, truncated boolean"))
     assert {r["report_id"]: r["reject_reason"] for r in clean.collect()} == {1: None, 2: None, 3: "json_parse_failed"}
-    stored = {r["report_id"]: json.loads(r["document"]) for r in payloads.stored_documents(clean).collect()}
+    stored = {r["report_id"]: r for r in payloads.stored_documents(clean).collect()}
     assert {k: d["extraction_quality"] for k, d in stored.items()} == {1: "high", 2: "truncated"}
-    assert stored[1]["thesis"] == {"summary": "s", "sentiment": 0.5} and "other" not in stored[1]
+    document = stored[1]["document"].toPython()
+    assert document["thesis"] == {"summary": "s", "sentiment": 0.5} and "other" not in document and document["meta"] == {}
+
+
+def test_imported_document_is_whole(spark, tmp_path):
+    told = {
+        "report_category": "Stock",
+        "category_confidence": "0.7",
+        "secondary_category": "industry",
+        "target": {"price": 85000, "previous": None},
+        "opinion": None,
+        "chain": {"step": "valuation_impact", "text": "1,200 \"more\""},
+        "financials": {"key_metrics": {"PER": "12.5"}, "years": [2024, {"e": 2025}]},
+        "meta": {"title": "제목", "broker": "KB증권"},
+        "stock_mentions": [{"company_name": "가나", "mention_type": "primary", "impact": "positive", "relevance_score": 0.9}, "x", {"stock_code": "000001"}, {"mention_type": "primary"}],
+        "sector_mentions": [{"sector": "반도체", "mention_type": "primary", "impact": "mixed"}, {"sector": ""}],
+        "keywords": [{"keyword": "k", "keyword_type": "product"}, 5],
+    }
+    clean = payloads.sanitized(spark.createDataFrame([(7, json.dumps(told, ensure_ascii=False))], "report_id long, payload string"))
+    payloads.stored_documents(clean).write.parquet(str(tmp_path / "analyses"))
+    stored = spark.read.parquet(str(tmp_path / "analyses"))
+    read = stored.select(F.try_variant_get("document", "$.meta.title", "string").alias("title"), F.try_variant_get("document", "$.chain[0].step", "string").alias("step"), "*").first()
+    assert (read["title"], read["step"], read["report_category"]) == ("제목", "valuation_impact", "stock")
+    kept = {k: told[k] for k in ("target", "opinion", "financials", "meta", "secondary_category")}
+    assert json.loads(read["document"].toJson()) == kept | {"chain": [told["chain"]], "thesis": {"summary": "", "sentiment": 0.0}, "category_confidence": 0.7}
+    assert [tuple(m) for m in read["stock_mentions"]] == [("가나", None, "primary", "positive", 0.9)] and [tuple(m) for m in read["sector_mentions"]] == [("반도체", "primary", "mixed")]
+    reasons = [(c["field"], c["reason"]) for c in clean.first()["corrections"]]
+    assert reasons == [
+        ("report_category", "lowercased"),
+        ("chain", "dict_wrapped_in_list"),
+        ("stock_mentions[item]", "dropped_non_dict"),
+        ("stock_mentions[item]", "dropped_missing_mention_type"),
+        ("stock_mentions[item]", "dropped_missing_company_name"),
+        ("stock_mentions", "items_dropped_missing_required_fields"),
+        ("sector_mentions[item]", "dropped_missing_sector"),
+        ("sector_mentions", "items_dropped_missing_required_fields"),
+        ("keywords[item]", "dropped_non_dict"),
+        ("keywords", "items_dropped_missing_required_fields"),
+        ("thesis", "defaulted_missing_or_non_dict"),
+    ]
 
 
 def test_page_signals_and_samples(spark):
