@@ -6,10 +6,12 @@ before their own prefixes. One stack then counts all prefixes of a sorted run: a
 and what is popped adds its count to the level below. Phrases that are open at either end of a run may go on in the next
 one; their parts are sent on whatever they are, and summed. The counts of parts are joined to the candidates afterwards.
 
-Before that, a table of ``buckets`` counters, the same at every size, counts hashed words and hashed pairs of neighbours.
-The counter of a word or pair is at least its own count, so a suffix that ends before the first pair under ``min_count``
-loses no candidate and no part of one (a phrase is never more frequent than a pair in it); suffixes of a run of equal
-keys are summed in the task that reads them. Where so much text meets that no counter is low, all suffixes go whole.
+Before that, tables of ``buckets`` counters, the same at every size, count hashed words and pairs of neighbours, then the
+longer phrases whose pairs are frequent, and the words in frequent pairs. A counter is at least the count of any phrase in
+it, so a suffix that ends where the first phrase in it is under ``min_count`` loses no candidate and no part of one (a
+phrase is never more frequent than a part of it); nor does a word that is left out because it is in no frequent pair.
+Equal suffixes are summed in the task that reads them. Where so much text meets that no counter is low, all suffixes go
+whole.
 
 Defined cases: null texts are empty; a null language is ``und``; texts without words give nothing; repeated rows count
 each time; other columns are ignored; an empty table gives an empty result.
@@ -31,8 +33,12 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import small_batches, stored, unstore
 
 MAX_N, MIN_COUNT, TOP, ABSORB_PERCENT = 5, 100, 2_000, 100
-#: Counters of hashed words and pairs, and counters in a row of the shuffle; a bit of each is broadcast (2 MB).
+#: Counters of hashed phrases, and counters in a row of the shuffle; a bit of each is broadcast (2 MB a table).
 BUCKETS, CHUNK = 1 << 24, 1 << 16
+#: Stands among sizes for the words of frequent pairs.
+MEMBER = 0
+#: Sizes of phrases that are counted in one pass each, before suffixes are taken; those of one pass share their counters.
+PASSES = ((1, 2), (MEMBER, 3, 4, 5))
 #: Suffixes that a task holds before it sends them on, and words whose hashes it remembers.
 HELD_SUFFIXES, HELD_WORDS = 1 << 18, 1 << 19
 
@@ -73,12 +79,37 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
         yield lang, TOKENS.findall(lowered("\n".join(several)))
 
 
-def _buckets(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counters of each word, and of each word with its successor."""
-    shift = np.uint64(64 - (buckets - 1).bit_length())
-    own = (h * np.uint64(0x9E3779B97F4A7C15)) >> shift
-    pair = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0x9E3779B97F4A7C15) >> shift
-    return own.astype(np.int64), pair.astype(np.int64)
+def _grams(h: np.ndarray, most: int) -> list[np.ndarray]:
+    """Hashes of the phrases of 1, 2 .. ``most`` words that begin at each word."""
+    grams = [h]
+    for size in range(2, most + 1):
+        grams.append(grams[-1][:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[size - 1 :])
+    return grams
+
+
+def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
+    return ((gram * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
+
+
+def _members(h: np.ndarray, pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words stand in one of the frequent pairs, and the counters of words in such places."""
+    inside = np.zeros(len(h), bool)
+    inside[: len(pairs)] = pairs
+    inside[1 : len(pairs) + 1] |= pairs
+    return inside, _bucket(h * np.uint64(0x165667B19E3779F9) + np.uint64(1), buckets)
+
+
+def _frequent(h: np.ndarray, tables: list[tuple[tuple[int, ...], np.ndarray]], buckets: int) -> list[np.ndarray]:
+    """Where a phrase of 1, 2 .. words begins that no table calls rare, nor any part of it."""
+    grams, found = _grams(h, max((size for sizes, _ in tables for size in sizes), default=0)), []
+    for sizes, bits in tables:
+        for size in sizes:
+            if size == MEMBER:
+                continue
+            gram = grams[size - 1]
+            parts = found[-1][: len(gram)] & found[-1][1 : len(gram) + 1] if found else h > 0
+            found.append(parts & bits[_bucket(gram, buckets)])
+    return found
 
 
 def _hashed(words: list[str], lang: str, caches: dict[str, _Hashes]) -> np.ndarray:
@@ -89,20 +120,30 @@ def _hashed(words: list[str], lang: str, caches: dict[str, _Hashes]) -> np.ndarr
     return np.fromiter(map(caches[lang].__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _count_buckets(buckets: int, chunk: int, most: int):
-    """Counters of a task's words and pairs, none told above ``most``, in rows of ``chunk``."""
+def _bits(tables) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    return [(sizes, np.unpackbits(np.frombuffer(packed, dtype=np.uint8)).view(bool)) for sizes, packed in tables.value]
+
+
+def _count_buckets(tables, sizes: tuple[int, ...], buckets: int, chunk: int, most: int):
+    """Counters of a task's phrases of ``sizes`` without a rare part, none told above ``most``, in rows of ``chunk``."""
     kind = np.uint8 if most < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, caches = None, {}
+        counters, caches, known = None, {}, None
         for batch in batches:
             for lang, words in _by_language(batch):
-                h = _hashed(words, lang, caches)
-                own, pair = _buckets(h, buckets)
                 if counters is None:
-                    counters = np.zeros(buckets, dtype=np.uint32)
-                np.add.at(counters, own[h > 0], np.uint32(1))
-                np.add.at(counters, pair[(h[:-1] > 0) & (h[1:] > 0)], np.uint32(1))
+                    counters, known = np.zeros(buckets, dtype=np.uint32), _bits(tables)
+                h = _hashed(words, lang, caches)
+                grams, whole = _grams(h, max(sizes)), (_frequent(h, known, buckets) or [None])[-1]
+                for size in sizes:
+                    if size == MEMBER:
+                        inside, slots = _members(h, whole, buckets)
+                        np.add.at(counters, slots[inside], np.uint32(1))
+                        continue
+                    gram = grams[size - 1]
+                    whole = h > 0 if whole is None else whole[: len(gram)] & whole[1 : len(gram) + 1]
+                    np.add.at(counters, _bucket(gram[whole], buckets), np.uint32(1))
         if counters is None:
             return
         for k in range(0, buckets, chunk):
@@ -130,8 +171,8 @@ def _sum_buckets(chunk: int, most: int):
     return run
 
 
-def _suffixes(frequent, buckets: int, max_n: int):
-    """(lang, suffix, n): suffixes up to the first rare pair, each word followed by a space; all words of a language as
+def _suffixes(tables, buckets: int, max_n: int):
+    """(lang, suffix, n): suffixes up to the first rare part, each word followed by a space; all words of a language as
     the suffix without words."""
 
     def told(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
@@ -142,19 +183,25 @@ def _suffixes(frequent, buckets: int, max_n: int):
         counts.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, caches, bits = defaultdict(Counter), {}, None
+        counts, caches, known = defaultdict(Counter), {}, None
         for batch in batches:
             for lang, words in _by_language(batch):
-                if bits is None:
-                    bits = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8)).view(bool)
+                known = known or _bits(tables)
                 h = _hashed(words, lang, caches)
-                own, pair = _buckets(h, buckets)
-                begins = np.flatnonzero((h > 0) & bits[own])
-                link = np.append((h[:-1] > 0) & (h[1:] > 0) & bits[pair], False).astype(np.int64)
-                run_on = np.zeros(len(h), dtype=np.int64)
-                for _ in range(max_n - 1):
-                    run_on = link * (1 + np.append(run_on[1:], 0))
-                counts[lang].update([" ".join(words[a:b]) + " " for a, b in zip(begins.tolist(), (begins + 1 + run_on[begins]).tolist(), strict=True)])
+                frequent = _frequent(h, known, buckets)[:max_n]
+                length = np.zeros(len(h), dtype=np.int64)
+                for size, begins in enumerate(frequent, 1):
+                    length[: len(begins)][begins] = size
+                more, whole = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+                whole[: len(frequent[-1])] = frequent[-1]
+                for _ in range(max_n - len(frequent) + 1):
+                    more = whole * (1 + np.append(more[1:], 0))
+                length = np.where(more > 0, len(frequent) - 1 + more, length)
+                for sizes, bits in known:
+                    if MEMBER in sizes:  # a word that is in no frequent pair is part of no candidate
+                        length[(length == 1) & ~bits[_members(h, frequent[1], buckets)[1]]] = 0
+                begins = np.flatnonzero(length)
+                counts[lang].update([" ".join(words[a:b]) + " " for a, b in zip(begins.tolist(), (begins + length[begins]).tolist(), strict=True)])
                 counts[lang][""] += int((h > 0).sum())
             if sum(map(len, counts.values())) >= HELD_SUFFIXES:
                 yield from told(counts)
@@ -227,22 +274,26 @@ def _count_prefixes(min_count: int):
 
 
 def phrase_counts(documents: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, f): all phrases of up to ``max_n`` words that occur ``min_count`` times; the phrase '' has all words."""
+    """(lang, phrase, f): all phrases of 2 to ``max_n`` words that occur ``min_count`` times, and the words in them; the
+    phrase '' has all words."""
     spark = documents.sparkSession
     chunk = min(CHUNK, buckets)
     texts = documents.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    tables: list[tuple[tuple[int, ...], bytes]] = []
     with small_batches(spark):
-        counted = texts.mapInArrow(_count_buckets(buckets, chunk, min_count), "chunk int, counters binary").repartition("chunk")
-        bits = bytearray(buckets // 8)
-        for row in counted.mapInArrow(_sum_buckets(chunk, min_count), "chunk int, bits binary").toLocalIterator():  # buckets / 8 bytes in all
-            at = row["chunk"] * chunk // 8
-            bits[at : at + len(row["bits"])] = row["bits"]
-        frequent = spark.sparkContext.broadcast(bytes(bits))
-        suffixes = stored(texts.mapInArrow(_suffixes(frequent, buckets, max_n), "lang string, suffix string, n long"))
+        for sizes in [tuple(k for k in sizes if k <= max_n) for sizes in PASSES]:
+            known = spark.sparkContext.broadcast(list(tables))
+            counted = texts.mapInArrow(_count_buckets(known, sizes, buckets, chunk, min_count), "chunk int, counters binary").repartition("chunk")
+            bits = bytearray(buckets // 8)
+            for row in counted.mapInArrow(_sum_buckets(chunk, min_count), "chunk int, bits binary").toLocalIterator():  # buckets / 8 bytes in all
+                at = row["chunk"] * chunk // 8
+                bits[at : at + len(row["bits"])] = row["bits"]
+            tables.append((sizes, bytes(bits)))
+        known = spark.sparkContext.broadcast(tables)
+        suffixes = stored(texts.mapInArrow(_suffixes(known, buckets, max_n), "lang string, suffix string, n long"))
         descending = F.col("suffix").desc()
         counts = suffixes.repartitionByRange("lang", descending).sortWithinPartitions("lang", descending).mapInArrow(_count_prefixes(min_count), "lang string, phrase string, f long")
         whole = stored(counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | (F.col("phrase") == "")))
-    frequent.unpersist()
     unstore(suffixes)
     return whole
 
