@@ -2,7 +2,7 @@
 
 A batch is written under its own number, replacing what a failed attempt left there, and messages that earlier batches
 hold are dropped, so that a batch that runs twice, or a message that comes again, has the effect of one. Reports are
-upserted inside their batch. Bounded replay uses the same jobs with ``availableNow``; its results are Parquet tables in
+upserted inside their batch into a table that is merged when it is read. Bounded replay uses the same jobs with ``availableNow``; its results are Parquet tables in
 the shared folder, like its checkpoints, and its state is in RocksDB, on the executors' disks.
 """
 
@@ -11,16 +11,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillspark.functions.messages import parse_messages
 from quillspark.operators.upserts import REPORT_KEY, REPORT_UPDATES, upsert_reports
-
-#: Parts of the stored reports; a batch rewrites those that it touches.
-REPORT_PARTS = 64
+from quillspark.streaming.merge_table import MergeTable
 
 #: Keys seen and open sessions can exceed the memory of executors; that of RocksDB is bounded, for all tasks of an executor.
 STATE = {
@@ -83,18 +83,27 @@ def branch(messages: DataFrame, classify: Callable[[DataFrame], DataFrame] | Non
     return kinds.withColumn("branch", F.when(F.col("kind") != "broker_report", "skip").when(F.col("quality") == "poor", "pending").otherwise("report"))
 
 
-def unseen(messages: DataFrame, target: str, number: int) -> DataFrame:
+def unseen(messages: DataFrame, target: str, number: int, counted: Observation | None = None) -> DataFrame:
     """The messages of a batch, each once, that no earlier batch under ``target`` holds.
 
-    Only stored ids between the least and the greatest of the batch are read, two columns of them.
+    Of several rows of one message the one posted last counts, then the one whose columns are greatest. Two columns are read
+    of the stored messages whose ids lie in the batch's span of their channel; the span over all channels prunes row groups.
+    ``counted`` gets the number of all rows as ``scanned`` when the result is made.
     """
     spark = messages.sparkSession
-    rows = messages.dropDuplicates(["channel", "message_id"])
-    span = rows.agg(F.min("message_id").alias("low"), F.max("message_id").alias("high")).first()
-    if span["low"] is None or not exists(spark, target):
+    told = [c for c in messages.columns if c not in ("channel", "message_id")]
+    order = [F.col(c).desc_nulls_last() for c in sorted(told, key=lambda c: (c != "posted_at", c))]
+    scan = messages if counted is None else messages.observe(counted, F.count(F.lit(1)).alias("scanned"))
+    rows = scan.withColumn("_n", F.row_number().over(W.partitionBy("channel", "message_id").orderBy(*order, F.lit(1)))).filter("_n = 1").drop("_n")
+    if not exists(spark, target):
+        return rows
+    spans = messages.groupBy("channel").agg(F.min("message_id").alias("low"), F.max("message_id").alias("high"))
+    whole = spans.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if whole["low"] is None:
         return rows
-    stored = spark.read.parquet(target).filter((F.col("batch") < number) & F.col("message_id").between(span["low"], span["high"]))
-    return rows.join(stored.select("channel", "message_id"), ["channel", "message_id"], "left_anti")
+    stored = spark.read.parquet(target).filter((F.col("batch") < number) & F.col("message_id").between(whole["low"], whole["high"]))
+    known = stored.select("channel", "message_id").join(spans, "channel").filter("message_id BETWEEN low AND high")
+    return rows.join(known.select("channel", "message_id"), ["channel", "message_id"], "left_anti")
 
 
 def report_rows(parsed: DataFrame) -> DataFrame:
@@ -103,43 +112,62 @@ def report_rows(parsed: DataFrame) -> DataFrame:
     return parsed.select("broker", day.alias("report_date"), "analyst", "stock_name", "title_normalized", "title", "stock_code", "pdf_url", "opinion", "target_price", F.col("body").alias("raw_text"), F.col("channel").alias("source_channel"), F.struct("message_id", "block_no", "channel").alias("seq"))
 
 
-def stored_reports(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The reports as the last batch left them, or as they were before one: of each part the newest version."""
-    versions = spark.read.parquet(path)
-    if before is not None:
-        versions = versions.filter(F.col("batch") < before)
-    newest = versions.groupBy("part").agg(F.max("batch").alias("batch"))
-    return versions.join(F.broadcast(newest), ["part", "batch"], "left_semi").drop("batch")  # REPORT_PARTS rows
+def report_table(spark: SparkSession, path: str) -> MergeTable:
+    return MergeTable(spark, path, REPORT_KEY)
+
 
+def stored_reports(spark: SparkSession, path: str) -> DataFrame | None:
+    """The reports as the last batch left them."""
+    return report_table(spark, path).read()
 
-def upsert_batch(parsed: DataFrame, path: str, number: int) -> None:
-    """Upsert a batch's reports: the parts of the stored ones that it touches are written anew under its number."""
+
+def upsert_batch(parsed: DataFrame, path: str, number: int) -> int:
+    """Upsert a batch's reports and return the rows that were written: those that are new or changed, and no others."""
     spark = parsed.sparkSession
-    part = F.pmod(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in REPORT_KEY]), F.lit(REPORT_PARTS)).cast("int")
-    incoming = report_rows(parsed).withColumn("part", part)
-    known = exists(spark, path) and stored_reports(spark, path, number)
-    touched = F.broadcast(incoming.select("part").distinct())
+    table, incoming = report_table(spark, path), report_rows(parsed)
     names = [c for c in incoming.columns if c != "seq"]
-    stored = known.select(*names).join(touched, "part", "left_semi") if known else spark.createDataFrame([], incoming.select(*names).schema)
-    after = upsert_reports(stored, incoming, [*REPORT_KEY, "part"], REPORT_UPDATES).drop("action")
-    after.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+    known = table.read()
+    if known is None:
+        touched = spark.createDataFrame([], incoming.select(*names).schema)
+    else:
+        keys = incoming.select(*REPORT_KEY).distinct()
+        touched = known.join(keys, reduce(lambda a, b: a & b, [known[k].eqNullSafe(keys[k]) for k in REPORT_KEY]), "left_semi")
+    after = upsert_reports(touched, incoming, REPORT_KEY, REPORT_UPDATES)
+    written = table.commit(number, after.filter(F.col("action").isin("inserted", "updated")).select(*names))
+    table.compact()
+    table.vacuum()
+    return written
+
+
+COUNTERS = ("scanned", "fresh", "saved", "pending", "skipped")
 
 
-def start_ingest(messages: DataFrame, target: str, checkpoint: str, active: Callable[[SparkSession], DataFrame] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None, reports: str | None = None) -> StreamingQuery:
+def start_ingest(
+    messages: DataFrame, target: str, checkpoint: str, active: Callable[[SparkSession], DataFrame] | None = None, classify: Callable[[DataFrame], DataFrame] | None = None, reports: str | None = None, runs: str | None = None
+) -> StreamingQuery:
     """Branch each micro-batch and write it, partitioned by branch, under its batch number; upsert its reports in ``reports``.
 
-    ``active`` reads the channels that count; it is read anew for every batch. A new run of the job goes on with the
-    numbers of its checkpoint; another checkpoint over the same target would start again from 0.
+    ``active`` reads the channels that count; it is read anew for every batch. The job that writes a batch also counts its
+    messages and what became of them, one row under ``runs`` for each batch: scanned, fresh (not stored before, of a channel
+    that counts), and rows saved, pending and skipped. A new run of the job goes on with the numbers of its checkpoint;
+    another checkpoint over the same target would start again from 0.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = unseen(batch, target, number)
+        scanned, fresh, made = (Observation(f"{name}-{uuid.uuid4().hex}") for name in ("scanned", "fresh", "made"))
+        rows = unseen(batch, target, number, scanned)
         if active is not None:
             rows = rows.join(active(spark), "channel", "left_semi")
-        branch(rows, classify).write.mode("overwrite").partitionBy("branch").parquet(f"{target}/batch={number}")
+        told = branch(rows.observe(fresh, F.count(F.lit(1)).alias("fresh")), classify)
+        counts = [F.count_if(F.col("branch") == name).alias(alias) for name, alias in (("report", "saved"), ("pending", "pending"), ("skip", "skipped"))]
+        told.observe(made, *counts).write.mode("overwrite").partitionBy("branch").parquet(f"{target}/batch={number}")
+        if runs is not None:
+            counted = {k: v for o in (scanned, fresh, made) for k, v in o.get.items()}
+            row = [(int(number), *(counted[c] for c in COUNTERS))]
+            spark.createDataFrame(row, ", ".join(f"{c} long" for c in ("number", *COUNTERS))).coalesce(1).write.mode("overwrite").parquet(f"{runs}/batch={number}")
         if reports is not None:
-            written = spark.read.schema(branch(rows, classify).schema).parquet(f"{target}/batch={number}")
+            written = spark.read.schema(told.schema).parquet(f"{target}/batch={number}")
             upsert_batch(written.filter("branch = 'report'"), reports, number)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
