@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from quillspark.operators import grounding as g
 from quillspark.operators import upserts as u
 from quillspark.plans.research import ALL_SQL
 from quillspark.sources import tables as t
-from quillspark.streaming import ingest
+from quillspark.streaming import ingest, windows
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -256,3 +258,23 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     rows = ingest.sessions(ingest.parquet_stream(spark, d, "events"))
     told = ingest.run_to_files(rows, "complete")
     return told.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+def gated(spark: SparkSession, d: str) -> str:
+    """The folder of a gated replay of all events, with its end mark."""
+    folder = f"{ingest.shared_folder(spark)}/gate-{uuid.uuid4().hex}"
+    windows.gate(ingest.parquet_stream(spark, d, "events"), folder).awaitTermination()
+    windows.end_replay(spark, folder)
+    return folder
+
+
+@query(ORACLE_SQL["stream_daily_counts"])
+def stream_closed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days told once each, in append mode, when the watermark has passed them."""
+    return ingest.run_to_files(windows.closed_days(windows.in_time(spark, gated(spark, d))), "append")
+
+
+@query(ORACLE_SQL["stream_sessions"])
+def stream_closed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    told = ingest.run_to_files(windows.closed_sessions(windows.in_time(spark, gated(spark, d))), "append")
+    return told.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
