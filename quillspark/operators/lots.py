@@ -22,19 +22,36 @@ from quillspark.functions.money import fee_share, profit_rate
 
 #: Bought units in one cell of the axis.
 CELL_UNITS = 4096
+#: Time that one task walks through at once, a unit of ``date_trunc``.
+SPAN = "quarter"
+SPANS = ("year", "quarter", "month", "week", "day", "hour", "minute")
 
 
-def walked(trades: DataFrame) -> DataFrame:
-    """The trades with ``lo`` and ``hi``: the stretch of the axis of bought units that each covers."""
+def walked(trades: DataFrame, span: str = SPAN) -> DataFrame:
+    """The trades with ``lo`` and ``hi``: the stretch of the axis of bought units that each covers.
+
+    A scan in two levels: running sums and minima within (symbol, ``span`` of time), and over the spans of a symbol the sums
+    before each and the lowest point so far, which shift them. No task holds more than a span of a symbol's trades.
+    """
+    if span not in SPANS:
+        raise ValueError(f"span is one of {', '.join(SPANS)}")
     usable = trades.filter(F.col("symbol").isNotNull() & F.col("traded_at").isNotNull() & F.col("side").isin("buy", "sell") & (F.col("quantity") > 0))
-    order = W.partitionBy("symbol").orderBy("traded_at", "id")
-    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     quantity = F.col("quantity").cast("bigint")
     is_buy = F.col("side") == "buy"
-    summed = usable.withColumn("signed", F.sum(F.when(is_buy, quantity).otherwise(-quantity)).over(so_far)).withColumn("bought", F.sum(F.when(is_buy, quantity).otherwise(0)).over(so_far))
-    held = summed.withColumn("inventory", F.col("signed") - F.least(F.lit(0), F.min("signed").over(so_far)))
-    before = F.coalesce(F.lag("inventory").over(order), F.lit(0))
-    return held.withColumn("lo", F.when(is_buy, F.col("bought") - quantity).otherwise(F.col("bought") - before)).withColumn("hi", F.when(is_buy, F.col("bought")).otherwise(F.col("bought") - F.col("inventory")))
+    order = W.partitionBy("symbol", "span").orderBy("traded_at", "id")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    moved = usable.withColumn("span", F.date_trunc(span, "traded_at")).withColumn("moved", F.when(is_buy, quantity).otherwise(-quantity))
+    summed = moved.withColumn("net", F.sum("moved").over(so_far)).withColumn("own_bought", F.sum(F.when(is_buy, quantity).otherwise(0)).over(so_far))
+    within = summed.withColumn("own_low", F.min("net").over(so_far)).withColumn("low_before", F.lag("own_low").over(order))
+    spans = within.groupBy("symbol", "span").agg(F.sum("moved").alias("moved"), F.min("net").alias("low"), F.max("own_bought").alias("bought"))
+    earlier = W.partitionBy("symbol").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    shifts = spans.withColumn("base", F.coalesce(F.sum("moved").over(earlier), F.lit(0))).withColumn("base_bought", F.coalesce(F.sum("bought").over(earlier), F.lit(0)))
+    shifts = shifts.withColumn("base_low", F.least(F.lit(0), F.min(F.col("base") + F.col("low")).over(earlier))).select("symbol", "span", "base", "base_bought", "base_low")
+    rows = within.join(shifts, ["symbol", "span"])
+    held = rows.withColumn("bought", F.col("base_bought") + F.col("own_bought")).withColumn("inventory", F.col("base") + F.col("net") - F.least("base_low", F.col("base") + F.col("own_low")))
+    before = F.col("base") + F.col("net") - F.col("moved") - F.least("base_low", F.col("base") + F.col("low_before"))
+    told = held.withColumn("lo", F.when(is_buy, F.col("bought") - quantity).otherwise(F.col("bought") - before)).withColumn("hi", F.when(is_buy, F.col("bought")).otherwise(F.col("bought") - F.col("inventory")))
+    return told.select(*trades.columns, "bought", "inventory", "lo", "hi")
 
 
 def match_lots(trades: DataFrame, cell_units: int = CELL_UNITS) -> DataFrame:

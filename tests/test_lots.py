@@ -5,6 +5,8 @@ from collections import deque
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pytest
+
 from quillspark.operators import lots
 
 SCHEMA = "id long, symbol string, side string, traded_at timestamp, price decimal(12,2), quantity int, fees decimal(14,2)"
@@ -52,6 +54,42 @@ def test_pairs_equal_a_queue(spark):
     assert {s: sorted(v) for s, v in open_now.items()} == {s: sorted(v) for s, v in held.items() if v}
 
 
+def test_spans_of_any_length_walk_alike(spark):
+    df = spark.createDataFrame(random_trades(11), SCHEMA)
+    stretches = [sorted((r["symbol"], r["id"], r["bought"], r["inventory"], r["lo"], r["hi"]) for r in lots.walked(df, span).collect()) for span in ("year", "month", "day", "minute")]
+    assert stretches[0] and all(s == stretches[0] for s in stretches)
+    with pytest.raises(ValueError):
+        lots.walked(df, "aeon")
+
+
+def test_a_symbol_is_walked_by_many_tasks(spark):
+    """One symbol: no window holds all its trades, only its spans."""
+    df = spark.range(40_000).selectExpr("id", "if(id >= 0, 'a', 'b') AS symbol", "if(id % 3 = 0, 'sell', 'buy') AS side", "timestamp '2000-01-01' + make_interval(0, 0, 0, cast(id % 3000 AS int)) AS traded_at", "10.0BD AS price", "id % 7 + 1 AS quantity", "cast(0 AS decimal(14,2)) AS fees")
+    plan = lots.walked(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol, span" in plan or "hashpartitioning(symbol#" in plan and "span#" in plan
+    sizes = df.selectExpr("date_trunc('quarter', traded_at) AS span").groupBy("span").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 2_000
+
+
+def test_changed_symbols_are_matched_anew(spark):
+    trades = random_trades(5)
+    df = spark.createDataFrame(trades, SCHEMA)
+    stored = lots.match_lots(df)
+    symbols = sorted({t[1] for t in trades if t[1]})
+    changed = spark.createDataFrame([(symbols[0],), ("none",)], "symbol string")
+    more = df.unionByName(spark.createDataFrame([(10**6, symbols[0], "buy", datetime(1990, 1, 1), Decimal(1), 5, None), (10**6 + 1, symbols[1], "buy", datetime(1990, 1, 1), Decimal(1), 5, None)], SCHEMA))
+    key = lambda rows: sorted((r["symbol"], r["buy_trade_id"], r["sell_trade_id"], r["matched_qty"]) for r in rows)
+    got = key(lots.rebuilt_pairs(stored, more, changed).collect())
+    fresh, old = key(lots.match_lots(more).collect()), key(stored.collect())
+    assert got == sorted([r for r in fresh if r[0] == symbols[0]] + [r for r in old if r[0] != symbols[0]]) and got != old
+
+
+def test_a_broken_trade_counts_as_failure(spark):
+    day = datetime(2024, 1, 1)
+    rows = [(1, "a", "buy", day, Decimal(1), 2, None), (2, "a", "sell", day, Decimal(2), 1, None), (3, "b", "buy", day, None, 1, None), (4, "c", "buy", day, Decimal(1), 1, None)]
+    assert sorted(map(tuple, lots.matched_counts(spark.createDataFrame(rows, SCHEMA)).collect())) == [("a", 1), ("b", -1), ("c", 0)]
+
+
 def test_fees_and_rates_round_half_up(spark):
     day = datetime(2024, 1, 1, 10)
     rows = [(1, "a", "buy", day, Decimal("10.00"), 3, Decimal("1.00")), (2, "a", "sell", day + timedelta(hours=30), Decimal("11.00"), 2, Decimal("0.05")), (3, "a", "sell", day + timedelta(hours=31), Decimal("9.00"), 5, None)]
