@@ -225,5 +225,7 @@ def broker_share(spark: SparkSession, d: str) -> DataFrame:
 SELECT round(sum(n * s) FILTER (s IS NOT NULL) / sum(n) FILTER (s IS NOT NULL), 6) AS weighted_sentiment, count(*) AS n_stocks FROM counted""")
 def weighted_sentiment(spark: SparkSession, d: str) -> DataFrame:
     rows = t.stock_mentions(spark, d).join(t.analyses(spark, d).select("report_id", r.sentiment("document").alias("s")), "report_id", "left")
-    counted = rows.groupBy("stock_code").agg(F.countDistinct("report_id").alias("n"), F.avg("s").alias("s"))
+    # a report's mentions of a code meet first, where they lie; no task keeps all reports of its codes to count them
+    by_report = rows.groupBy("stock_code", "report_id").agg(F.sum("s").alias("s"), F.count("s").alias("n_s"))
+    counted = by_report.groupBy("stock_code").agg(F.count("*").alias("n"), (F.sum("s") / F.nullif(F.sum("n_s"), F.lit(0))).alias("s"))
     return counted.agg(F.round(dash.weighted_mean("s", "n"), 6).alias("weighted_sentiment"), F.count("*").alias("n_stocks"))

@@ -21,6 +21,20 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Rows of a table that one task takes after ``dealt``.
+ROWS_A_TASK = 250_000
+
+
+def dealt(rows: DataFrame, *keys: str, of: DataFrame, each: int = ROWS_A_TASK) -> DataFrame:
+    """Rows dealt by ``keys``, or evenly without any, over tasks for ``each`` rows of the table ``of``, and over all cores at least.
+
+    The number of tasks grows with the table, so that what one of them holds doesn't. Steps by the same keys that follow
+    need no further shuffle. Counting a Parquet table reads its footers alone.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-of.count() // each))
+    return rows.repartition(tasks, *keys)
+
+
 def trades(spark: SparkSession, directory: str) -> DataFrame:
     """Line items as trades: returned ones are sales, the part is the symbol."""
     rows = table(spark, directory, "lineitem")
@@ -119,10 +133,10 @@ analyses AS (
 
 def stock_mentions(spark: SparkSession, directory: str) -> DataFrame:
     """(report_id, stock_code, company_name, relevance): each part of an order once."""
-    items = table(spark, directory, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey")).distinct()
-    parts = table(spark, directory, "part")
+    lines, parts = table(spark, directory, "lineitem"), table(spark, directory, "part")
+    items = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("report_id"), "l_partkey", "p_name")
     code = F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit("_"), F.col("p_name"))).otherwise(F.lpad(F.col("l_partkey").cast("string"), 6, "0"))
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("report_id", code.alias("stock_code"), F.col("p_name").alias("company_name"), (F.col("l_partkey") % 11 / 10.0).alias("relevance"))
+    return dealt(items, "report_id", of=lines).distinct().select("report_id", code.alias("stock_code"), F.col("p_name").alias("company_name"), (F.col("l_partkey") % 11 / 10.0).alias("relevance"))
 
 
 STOCK_MENTIONS_SQL = """
@@ -133,10 +147,10 @@ stock_mentions AS (
 
 def sector_mentions(spark: SparkSession, directory: str) -> DataFrame:
     """(report_id, sector, mention_type): the types of an order's parts, by their brand's parity."""
-    items = table(spark, directory, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey"))
-    parts = table(spark, directory, "part")
+    lines, parts = table(spark, directory, "lineitem"), table(spark, directory, "part")
     kind = F.when(F.col("p_size") % 2 == 0, "primary").otherwise("related")
-    return items.join(parts, F.col("l_partkey") == F.col("p_partkey")).select("report_id", F.col("p_type").alias("sector"), kind.alias("mention_type")).distinct()
+    items = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("report_id"), F.col("p_type").alias("sector"), kind.alias("mention_type"))
+    return dealt(items, "report_id", of=lines).distinct()
 
 
 SECTOR_MENTIONS_SQL = """
