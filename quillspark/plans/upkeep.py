@@ -48,7 +48,8 @@ def suspect_dates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{LOTS_SQL} SELECT symbol, buy_id AS buy_trade_id, sell_id AS sell_trade_id, q::BIGINT AS matched_qty FROM pairs WHERE symbol = 17")
 def pairs_of_symbol(spark: SparkSession, d: str) -> DataFrame:
     trades = t.trades(spark, d)
-    return w.pairs_of_symbol(lots.match_lots(trades), trades, 17).select("symbol", "buy_trade_id", "sell_trade_id", "matched_qty")
+    # a pair never leaves its symbol, so only that one's trades are matched
+    return w.pairs_of_symbol(lots.match_lots(trades.filter(F.col("symbol") == 17)), trades, 17).select("symbol", "buy_trade_id", "sell_trade_id", "matched_qty")
 
 
 @query(f"WITH {t.TRADES_SQL} SELECT id, side, quantity FROM trades WHERE symbol = 17 AND traded_at >= TIMESTAMP '1995-01-01'")
