@@ -26,7 +26,8 @@ def query(sql: str):
 def item_pages(spark: SparkSession, d: str) -> DataFrame:
     """The items of an order as the pages of a document."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return t.table(spark, d, "lineitem").select(
+    lines = t.table(spark, d, "lineitem")
+    return t.dealt(lines, "l_orderkey", of=lines).select(
         F.col("l_orderkey").alias("doc_id"),
         (F.row_number().over(order) - 1).alias("page_idx"),
         (F.col("l_discount") * 5).alias("text_coverage"),
