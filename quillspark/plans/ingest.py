@@ -170,12 +170,13 @@ def latest_wins(spark: SparkSession, d: str) -> DataFrame:
 ITEMS_SQL = "items AS (SELECT l_orderkey AS report_id, p.* , l_partkey FROM lineitem JOIN part p ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')"
 
 
-def order_payloads(spark: SparkSession, d: str, *items: Column) -> tuple[DataFrame, DataFrame]:
+def order_payloads(spark: SparkSession, d: str, *told: Column) -> tuple[DataFrame, DataFrame]:
     """(report_id, child_key) stored for every order, and (report_id, items array) of the filled ones."""
     orders = t.table(spark, d, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderstatus").alias("status"))
-    parts = t.table(spark, d, "part")
-    filled = t.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "report_id").join(orders.filter("status = 'F'"), "report_id").join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(*items).alias("item"))))
+    lines, parts = t.table(spark, d, "lineitem"), t.table(spark, d, "part")
+    items = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumnRenamed("l_orderkey", "report_id")
+    filled = t.dealt(items, "report_id", of=lines).join(orders.filter("status = 'F'"), "report_id")
+    ordered = F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(*told).alias("item"))))
     return orders.select("report_id", F.lit("old").alias("child_key")), filled.groupBy("report_id").agg(F.transform(ordered, lambda i: i["item"]).alias("items"))
 
 
