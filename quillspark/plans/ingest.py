@@ -75,6 +75,10 @@ def price_parse(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "orders").select("o_orderkey", x.parse_price(told).alias("price"))
 
 
+#: Reading a message costs much more than a row elsewhere: a task takes fewer.
+MESSAGES_A_TASK = 20_000
+
+
 @query()
 def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
     """Orders told as messages of three channels, and read back: digests of two blocks, changed prices, chat links, continuations."""
@@ -86,7 +90,8 @@ def parsed_messages(spark: SparkSession, d: str) -> DataFrame:
     link = F.when(k % 5 == 0, "https://t.me/room/7").otherwise(F.concat(F.lit("https://x.example/"), k.cast("string"), F.lit(".pdf")))
     block = F.concat(head, target, F.lit("원 (BUY)\n"), link)
     text = F.when(k % 3 == 0, F.concat(F.lit("오늘의 리포트\n\n"), block, F.lit("\n\n▶ 반도체 산업 - 삼성증권 [링크]\nhttps://y.example/a.pdf"))).when(k % 6 == 5, F.concat(F.lit("(Continuing) "), block)).otherwise(block)
-    told = t.spread(t.table(spark, d, "orders").select("o_orderkey", "o_totalprice")).select(channel.alias("channel"), k.alias("message_id"), text.alias("text"))
+    orders = t.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    told = t.dealt(orders, of=orders, each=MESSAGES_A_TASK).select(channel.alias("channel"), k.alias("message_id"), text.alias("text"))
     names = ["channel", "message_id", "block_no", "title", "stock_name", "stock_code", "broker", "analyst", "opinion", "prev_target_price", "target_price", "pdf_url", "quality"]
     return m.parse_messages(told).select(*names, F.element_at("chat_links", 1).alias("chat_link"))
 
