@@ -184,9 +184,9 @@ def import_outcomes(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """
     told = lines.filter((F.col("status") == "success") & F.col("payload").isNotNull())
     known = reports.select(F.col("id").alias("report_id"), F.coalesce(F.col("pipeline_status") == "done", F.lit(False)).alias("was_done"))
-    # the line stands for the id while payloads are checked: a report may have several
-    clean = sanitized(told.select(F.col("line").alias("report_id"), "payload")).withColumnRenamed("report_id", "line")
-    rows = told.select("line", "report_id").join(clean, "line").join(known, "report_id", "left")
+    # line and id stand for the id while payloads are checked: a report may have several, and nothing is joined back
+    clean = sanitized(told.select(F.struct("line", "report_id").alias("report_id"), "payload")).withColumnRenamed("report_id", "told")
+    rows = clean.select("told.*", *[c for c in clean.columns if c != "told"]).join(known, "report_id", "left")
     fits = F.col("was_done").isNotNull() & F.col("reject_reason").isNull() & ~F.col("was_done")
     first = F.min(F.when(fits, F.col("line"))).over(W.partitionBy("report_id"))
     done = F.coalesce(F.col("was_done"), F.lit(False)) | F.coalesce((F.col("line") > first) & F.col("report_id").isNotNull(), F.lit(False))
