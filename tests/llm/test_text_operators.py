@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import numpy as np
 import pytest
 from helpers import DATA, SMALL, documents, duck, same_as_sql
 from tokenizers import Tokenizer, models
@@ -258,6 +259,17 @@ def test_unlabelled_texts_all_count(spark):
     assert np.allclose(sums[0][1], fired * unlabelled.weight, rtol=1e-4)
 
 
+def test_voters_that_fire_together_make_no_row_for_each_pair(spark):
+    """A pattern of many votes sends on one row for each voter of a task, with the counts of plain sums."""
+    rows = [([0, 1, 2, 39], 7), (list(range(40)), 5), ([], 3), ([39], 2)]
+    patterns = spark.createDataFrame(rows, "votes array<int>, n long").repartition(3)
+    found = toxicity.firing_together(patterns, 40)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = {r["voter"]: np.frombuffer(r["counts"], dtype=np.int64).tolist() for r in found.collect()}
+    assert counts == {a: [sum(n for votes, n in rows if a in votes and b in votes) for b in range(40)] for a in range(40)}
+    assert (toxicity.Unlabelled(patterns.limit(0), 4, 10).together == 0).all()
+
+
 def test_toxicity_merges_nested_stems_only():
     counts = {("con*", 1): (4, 1), ("conc*", 1): (4, 1), ("concrete", 1): (4, 1), ("cont*", 1): (4, 1), ("contest", 1): (4, 0), ("cond*", 1): (3, 1), ("con*", 2): (3, 1), ("abc", 1): (4, 0), ("abcd", 1): (4, 0)}
     assert toxicity.without_nested(counts) == [("con*", 1), ("contest", 1), ("cond*", 1), ("con*", 2), ("abc", 1), ("abcd", 1)]
