@@ -35,6 +35,23 @@ def _full(value: Column, size: int, keys: list[str], counted: str | None = None)
     return F.when(full, value.over(frame))
 
 
+def _sliding_averages(bars: DataFrame, value: str, sizes: tuple[int, ...], keys: list[str]) -> DataFrame:
+    """Columns ma5, .. : averages of ``value`` over the last rows of each size, null while one is missing; null values count nowhere.
+
+    Each size is a multiple of the one before it, so its sum is added up from sums of that size some rows ago: only the
+    shortest frame is walked for each row, and nothing is subtracted.
+    """
+    over = _days(keys)
+    shortest = over.rowsBetween(1 - sizes[0], 0)
+    given = F.col(value).cast("double")
+    out = bars.withColumns({"ma_row": F.row_number().over(over), "ma_sum": F.sum(F.coalesce(given, F.lit(0.0))).over(shortest), "ma_told": F.count(given).over(shortest)})
+    for before, size in zip((sizes[0], *sizes), sizes):  # noqa: B905  pairs of neighbours, the first with itself
+        added = {c: reduce(lambda a, b: a + b, [F.lag(c, k, 0).over(over) for k in range(before, size, before)], F.col(c)) for c in ("ma_sum", "ma_told")}
+        out = out.withColumns(added) if before < size else out
+        out = out.withColumn(f"ma{size}", F.when((F.col("ma_row") >= size) & (F.col("ma_told") > 0), F.col("ma_sum") / F.col("ma_told")))
+    return out.drop("ma_row", "ma_sum", "ma_told")
+
+
 def _told(rows: DataFrame, given: list[str], keys: list[str], values: list[Column], under: str | None, valid: Column | None = None) -> DataFrame:
     """(keys, day, values) of all valid rows; or, with a name to put them ``under``, all given columns and the values as one struct.
 
@@ -104,9 +121,7 @@ def stochastic(bars: DataFrame, k: int, d: int, smooth: int, keys: list[str] | N
 def moving_averages(bars: DataFrame, keys: list[str] | None = None, under: str | None = None) -> DataFrame:
     """Averages of 5, 20, 60 and 120 closes, deviations in per cent, and how the averages are ordered."""
     keys = keys or ["symbol"]
-    out = bars
-    for p in AVERAGES:
-        out = out.withColumn(f"ma{p}", _full(F.avg("close"), p, keys))
+    out = _sliding_averages(bars, "close", AVERAGES, keys)
     a, b, c, e = (F.col(f"ma{p}") for p in AVERAGES)
     alignment = F.when(a.isNull(), "unknown").when(e.isNull(), "partial").when((a > b) & (b > c) & (c > e), "bullish").when((a < b) & (b < c) & (c < e), "bearish").otherwise("mixed")
     deviations = [F.round((F.col("close") - F.col(f"ma{p}")) / F.col(f"ma{p}") * 100, 4).alias(f"deviation{p}") for p in AVERAGES]

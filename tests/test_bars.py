@@ -69,3 +69,20 @@ def test_empty_and_null_bars(spark):
         assert f(empty).collect() == []
     holes = spark.createDataFrame([("a", date(2024, 1, 1), None, 1.0, 1.0, None, 1.0), (None, date(2024, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0), ("a", date(2024, 1, 8), 2.0, 3.0, 1.0, 2.5, 1.0)], SCHEMA)
     assert [r["day"] for r in b.weekly(holes).collect()] == [date(2024, 1, 12)]
+
+
+def test_averages_walk_no_long_frame(spark):
+    """Longer averages are added up from shorter ones, with nulls left out and values of any size beside each other."""
+    rng = random.Random(11)
+    closes = {"a": [rng.choice([None, rng.uniform(1, 9), 1e12, 0.01]) for _ in range(400)], "b": [None] * 130 + [3.0], "c": [float("nan")] + [2.0] * 125, "d": [1.0] * 4}
+    rows = [(s, date(2020, 1, 1) + timedelta(days=k), 1.0, 1.0, 1.0, c, 1.0) for s, several in closes.items() for k, c in enumerate(several)]
+    averages = b.moving_averages(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert "RowFrame, -119" not in averages._jdf.queryExecution().executedPlan().toString()
+    got = {(r["symbol"], r["day"]): r for r in averages.collect()}
+    assert len(got) == len(rows)
+    for symbol, several in closes.items():
+        for k in range(len(several)):
+            r = got[symbol, date(2020, 1, 1) + timedelta(days=k)]
+            for p in b.AVERAGES:
+                told = [c for c in several[k + 1 - p : k + 1] if c is not None] if k + 1 >= p else []
+                assert r[f"ma{p}"] == (pytest.approx(sum(told) / len(told), rel=1e-12, nan_ok=True) if told else None)
