@@ -35,21 +35,27 @@ def _full(value: Column, size: int, keys: list[str], counted: str | None = None)
     return F.when(full, value.over(frame))
 
 
-def _sliding_averages(bars: DataFrame, value: str, sizes: tuple[int, ...], keys: list[str]) -> DataFrame:
+def _sliding_averages(bars: DataFrame, value: str, sizes: tuple[int, ...], keys: list[str], width: int = 20) -> DataFrame:
     """Columns ma5, .. : averages of ``value`` over the last rows of each size, null while one is missing; null values count nowhere.
 
-    Each size is a multiple of the one before it, so its sum is added up from sums of that size some rows ago: only the
-    shortest frame is walked for each row, and nothing is subtracted.
+    Sizes are up to ``width`` or multiples of it. Rows are added up first row first, as plain sums over frames are, to the last
+    digit: the last ``width`` rows are brought beside each row, and a longer sum goes on with them from where the row before
+    them has come. No frame is walked for each row, and nothing is subtracted.
     """
     over = _days(keys)
-    shortest = over.rowsBetween(1 - sizes[0], 0)
     given = F.col(value).cast("double")
-    out = bars.withColumns({"ma_row": F.row_number().over(over), "ma_sum": F.sum(F.coalesce(given, F.lit(0.0))).over(shortest), "ma_told": F.count(given).over(shortest)})
-    for before, size in zip((sizes[0], *sizes), sizes):  # noqa: B905  pairs of neighbours, the first with itself
-        added = {c: reduce(lambda a, b: a + b, [F.lag(c, k, 0).over(over) for k in range(before, size, before)], F.col(c)) for c in ("ma_sum", "ma_told")}
-        out = out.withColumns(added) if before < size else out
-        out = out.withColumn(f"ma{size}", F.when((F.col("ma_row") >= size) & (F.col("ma_told") > 0), F.col("ma_sum") / F.col("ma_told")))
-    return out.drop("ma_row", "ma_sum", "ma_told")
+    told = F.count(given).over(over.rowsBetween(W.unboundedPreceding, 0))
+    out = bars.withColumns({"ma_row": F.row_number().over(over), "ma_told": told, "ma_0": F.coalesce(given, F.lit(0.0))})
+    out = out.withColumns({f"ma_{k}": F.lag("ma_0", k, 0).over(over) for k in range(1, width)} | {f"ma_told{size}": F.col("ma_told") - F.lag("ma_told", size, 0).over(over) for size in sizes})
+
+    def added(size: int, *start: Column) -> Column:
+        return reduce(lambda a, b: a + b, [*start, *[F.col(f"ma_{k}") for k in range(size - 1, -1, -1)]])
+
+    out = out.withColumns({f"ma_sum{size}": added(size) for size in {*sizes, width} if size <= width})
+    for size in range(2 * width, max(sizes) + 1, width):
+        out = out.withColumn(f"ma_sum{size}", added(width, F.lag(f"ma_sum{size - width}", width, 0).over(over)))
+    averages = [F.when((F.col("ma_row") >= size) & (F.col(f"ma_told{size}") > 0), F.col(f"ma_sum{size}") / F.col(f"ma_told{size}")).alias(f"ma{size}") for size in sizes]
+    return out.select(*bars.columns, *averages)
 
 
 def _told(rows: DataFrame, given: list[str], keys: list[str], values: list[Column], under: str | None, valid: Column | None = None) -> DataFrame:
@@ -68,6 +74,13 @@ def rounded(value: Column, places: int) -> Column:
     return F.round(F.round(value, 10), places)
 
 
+def rounded_as_sql(value: Column, places: int) -> Column:
+    """Half away from zero of the scaled double, as DuckDB rounds one: where the decimals end in a 5, Spark's round looks at the
+    shortest decimal instead. What rounds to nothing keeps its sign (-0.0)."""
+    scaled = value * float(10**places)
+    return F.signum(scaled) * F.round(F.abs(scaled)) / float(10**places)
+
+
 def resample(bars: DataFrame, bucket: Column, keys: list[str] | None = None) -> DataFrame:
     """One bar for each bucket: first open, highest high, lowest low, last close, summed volume."""
     keys = keys or ["symbol"]
@@ -124,7 +137,7 @@ def moving_averages(bars: DataFrame, keys: list[str] | None = None, under: str |
     out = _sliding_averages(bars, "close", AVERAGES, keys)
     a, b, c, e = (F.col(f"ma{p}") for p in AVERAGES)
     alignment = F.when(a.isNull(), "unknown").when(e.isNull(), "partial").when((a > b) & (b > c) & (c > e), "bullish").when((a < b) & (b < c) & (c < e), "bearish").otherwise("mixed")
-    deviations = [F.round((F.col("close") - F.col(f"ma{p}")) / F.col(f"ma{p}") * 100, 4).alias(f"deviation{p}") for p in AVERAGES]
+    deviations = [rounded_as_sql((F.col("close") - F.col(f"ma{p}")) / F.col(f"ma{p}") * 100, 4).alias(f"deviation{p}") for p in AVERAGES]
     return _told(out, bars.columns, keys, [F.col("close"), *[F.col(f"ma{p}") for p in AVERAGES], *deviations, alignment.alias("alignment")], under)
 
 

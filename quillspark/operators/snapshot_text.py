@@ -43,7 +43,7 @@ def snapshot_text(snapshots: DataFrame) -> DataFrame:
     averages = F.concat(
         F.lit("▸ 이평선: "),
         F.coalesce(_worded(F.col("ma.alignment"), ALIGNMENTS), F.lit("알수없음")),
-        F.when(deviation.isNull(), "").otherwise(F.concat(F.lit(", 20일선 "), F.when(deviation >= 0, "지지").otherwise("저항"), F.lit(" (괴리율 "), F.when(deviation >= 0, "+").otherwise(""), F.format_string("%.1f", deviation), F.lit("%)"))),
+        F.when(deviation.isNull(), "").otherwise(F.concat(F.lit(", 20일선 "), F.when(deviation >= 0, "지지").otherwise("저항"), F.lit(" (괴리율 "), F.when(deviation >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(deviation)), F.lit("%)"))),
     )
     position = F.col("bb.position")
     place = F.when(position.isNull(), "알수없음").when(position > 1.0, "상단 돌파").when(position > 0.8, "상단 근접").when(position > 0.5, "중심선 상향").when(position > 0.2, "중심선 하향").when(position >= 0.0, "하단 근접").otherwise("하단 돌파")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pandas as pd
 import pytest
 
@@ -86,3 +87,57 @@ def test_averages_walk_no_long_frame(spark):
             for p in b.AVERAGES:
                 told = [c for c in several[k + 1 - p : k + 1] if c is not None] if k + 1 >= p else []
                 assert r[f"ma{p}"] == (pytest.approx(sum(told) / len(told), rel=1e-12, nan_ok=True) if told else None)
+
+
+def closes_at_a_tie(rng, size):
+    """Closes in whole cents whose last one deviates from their average by a multiple of 100/128 per cent: five decimals, the last a 5."""
+    while True:
+        k, part = rng.randrange(65, 256, 2), rng.randrange(1_000, 40_000)
+        cents = [rng.randrange(90_000, 10_500_000) for _ in range(size - 1)]
+        missing = 128 * part * size - k * part - sum(cents)
+        for i in range(size - 1):
+            step = max(90_000 - cents[i], min(10_499_999 - cents[i], missing))
+            cents[i], missing = cents[i] + step, missing - step
+        if not missing:
+            rng.shuffle(cents)
+            return [c / 100 for c in (*cents, k * part)]
+
+
+def test_deviations_at_ties_are_those_of_sql(spark):
+    """Where the exact deviation ends in a 5, the order of sums and the rule of rounding decide; so does SQL for each symbol."""
+    rng = random.Random(2)
+    closes = {k: closes_at_a_tie(rng, rng.choice([5, 20])) for k in range(120)} | {120: [8.0] * 4 + [7.9999999], 121: [2.0] * 4 + [2.0000001]}
+    rows = [(str(s), date(2020, 1, 1) + timedelta(days=k), 1.0, 1.0, 1.0, c, 1.0) for s, several in closes.items() for k, c in enumerate(several)]
+    told = {(r["symbol"], r["day"]): (str(r["deviation5"]), str(r["deviation20"])) for r in b.moving_averages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE bars (symbol VARCHAR, day DATE, close DOUBLE)")
+    con.executemany("INSERT INTO bars VALUES (?, ?, ?)", [(s, day, c) for s, day, _, _, _, c, _ in rows])
+    wanted = {}
+    for s in closes:  # each alone: among other symbols SQL's own sums of 16 rows and more depend on where its rows lie
+        averages = ", ".join(f"CASE WHEN count(*) OVER w{p} = {p} THEN avg(close) OVER w{p} END AS ma{p}" for p in (5, 20))
+        frames = ", ".join(f"w{p} AS (ORDER BY day ROWS BETWEEN {p - 1} PRECEDING AND CURRENT ROW)" for p in (5, 20))
+        sql = f"SELECT day, round((close - ma5) / ma5 * 100, 4), round((close - ma20) / ma20 * 100, 4) FROM (SELECT day, close, {averages} FROM bars WHERE symbol = '{s}' WINDOW {frames})"
+        wanted |= {(str(s), day): (str(a), str(z)) for day, a, z in con.execute(sql).fetchall()}
+    assert told == wanted
+    assert told["120", date(2020, 1, 5)][0] == "-0.0"
+
+
+def test_averages_have_the_digits_of_plain_sums(spark):
+    rng = random.Random(4)
+    closes = {s: [rng.choice([None, rng.uniform(900, 105_000), rng.uniform(1e-3, 1)]) for _ in range(300)] for s in "ab"}
+    rows = [(s, date(2020, 1, 1) + timedelta(days=k), 1.0, 1.0, 1.0, c, 1.0) for s, several in closes.items() for k, c in enumerate(several)]
+    got = {(r["symbol"], r["day"]): r for r in b.moving_averages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for s, several in closes.items():
+        for k in range(len(several)):
+            for p in b.AVERAGES:
+                given, total = [c for c in several[max(0, k - p + 1) : k + 1] if c is not None], 0.0
+                for c in given:
+                    total += c
+                assert got[s, date(2020, 1, 1) + timedelta(days=k)][f"ma{p}"] == (total / len(given) if k + 1 >= p and given else None)
+
+
+def test_a_deviation_of_nothing_has_one_sign_in_words(spark):
+    rows = [("a", date(2023, 1, 2) + timedelta(days=k), 2.0, 2.0, 2.0, c, 1.0) for k, c in enumerate([2.0] * 39 + [1.9999999])]
+    trades = spark.createDataFrame([(1, "a", datetime(2023, 2, 10, 10))], "id long, symbol string, traded_at timestamp")
+    got = snapshot_text(b.trade_snapshots(trades, spark.createDataFrame(rows, SCHEMA))).collect()[0]
+    assert str(got["ma"]["deviation20"]) == "-0.0" and "20일선 지지 (괴리율 +0.0%)" in got["text"]
