@@ -130,16 +130,16 @@ by_word AS (SELECT id AS report_id, 0.3 AS s, 2 AS p FROM reports WHERE report_t
 scores AS (SELECT report_id, arg_min(s, p)::DOUBLE AS relevance FROM (SELECT * FROM by_stock UNION ALL SELECT * FROM by_sector UNION ALL SELECT * FROM by_word) GROUP BY 1)"""
 
 
-@query(f"""{ALL_SQL}{SCORES_SQL}, chosen AS (SELECT * FROM scores ORDER BY relevance DESC, report_id DESC LIMIT 50)
+@query(f"""{ALL_SQL}{SCORES_SQL}
 SELECT report_id, round(relevance * 0.7 + greatest(0.0, 1.0 - date_diff('day', report_date, DATE '{AS_OF}') / 365.0) * 0.3, 9) AS score
-FROM chosen JOIN reports ON id = report_id JOIN analyses USING (report_id) ORDER BY score DESC, report_id DESC LIMIT 25""")
+FROM scores JOIN reports ON id = report_id JOIN analyses USING (report_id) ORDER BY score DESC, report_id DESC LIMIT 25""")
 def context_rank(spark: SparkSession, d: str) -> DataFrame:
     reports = t.reports(spark, d)
     codes = spark.createDataFrame([("000017",), ("000021",), ("000102",)], "stock_code string")
     words = spark.createDataFrame([("ECONOMY",), ("1-URGENT",)], "keyword string")
     keywords = reports.select(F.col("id").alias("report_id"), F.col("report_type").alias("keyword"))
     scores = r.relevance(codes, words, t.stock_mentions(spark, d), t.sector_mentions(spark, d), keywords)
-    return r.ranked_context(reports, t.analyses(spark, d), scores, AS_OF).select("report_id", F.round("score", 9).alias("score"))
+    return r.ranked_context(reports, t.analyses(spark, d), scores, AS_OF).select("report_id", "score")
 
 
 @query(f"""{ALL_SQL} SELECT count(*) AS total_reports, count(*) FILTER (report_date = DATE '{AS_OF}') AS reports_today, count(pdf_url) AS reports_with_pdf, count(*) FILTER (pipeline_status = 'F') AS analysis_done,
