@@ -152,13 +152,13 @@ def bollinger(bars: DataFrame, length: int = 20, width: float = 2.0, keys: list[
     banded = banded.withColumn("share", breadth / F.col("mid") * 100)
     usual = _full(F.avg("share"), length, keys, "share")
     banded = banded.withColumn("usual", usual)
-    bandwidth = F.when(F.col("mid") > 0, F.round(F.col("share"), 4))
+    bandwidth = F.when(F.col("mid") > 0, rounded_as_sql(F.col("share"), 4))
     phase = F.when(bandwidth.isNull() | (F.col("n_bars") < 2 * length), "unknown").when(bandwidth > F.col("usual") * 1.05, "expanding").when(bandwidth < F.col("usual") * 0.95, "squeeze").otherwise("neutral")
     values = [
-        F.when(breadth > 0, F.round((F.col("close") - F.col("lower")) / breadth, 4)).alias("position"),
+        F.when(breadth > 0, rounded_as_sql((F.col("close") - F.col("lower")) / breadth, 4)).alias("position"),
         bandwidth.alias("bandwidth"),
         phase.alias("squeeze_expanding"),
-        *[F.round(c, 4).alias(c) for c in ("lower", "mid", "upper")],
+        *[rounded_as_sql(F.col(c), 4).alias(c) for c in ("lower", "mid", "upper")],
     ]
     return _told(banded, bars.columns, keys, values, under)
 

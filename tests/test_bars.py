@@ -141,3 +141,20 @@ def test_a_deviation_of_nothing_has_one_sign_in_words(spark):
     trades = spark.createDataFrame([(1, "a", datetime(2023, 2, 10, 10))], "id long, symbol string, traded_at timestamp")
     got = snapshot_text(b.trade_snapshots(trades, spark.createDataFrame(rows, SCHEMA))).collect()[0]
     assert str(got["ma"]["deviation20"]) == "-0.0" and "20일선 지지 (괴리율 +0.0%)" in got["text"]
+
+
+def test_positions_in_bands_have_the_signs_of_sql(spark):
+    """A close just under the lower band has the position -0.0, as SQL rounds it."""
+    closes = [90.0, 110.0] * 9 + [110.0]
+    # the last close lies a little under the lower band of its 20 bars: mean less two deviations
+    low, high = 0.0, 90.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        p = pd.Series([*closes, mid])
+        low, high = (mid, high) if mid < p.mean() - 2 * p.std(ddof=0) else (low, mid)
+    rows = [("a", date(2020, 1, 1) + timedelta(days=k), 1.0, 1.0, 1.0, c, 1.0) for k, c in enumerate([*closes, low - 1e-4])]
+    got = b.bollinger(spark.createDataFrame(rows, SCHEMA)).orderBy("day").collect()[-1]
+    con = duckdb.connect()
+    mid, spread = con.execute(f"SELECT avg(x), 2 * stddev_pop(x) FROM (SELECT unnest({[r[5] for r in rows]}::DOUBLE[]) AS x)").fetchone()
+    sql = "SELECT round((? - (? - ?)) / ((? + ?) - (? - ?)), 4)"
+    assert str(got["position"]) == str(con.execute(sql, [rows[-1][5], mid, spread, mid, spread, mid, spread]).fetchone()[0]) == "-0.0"
